@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from folioweave.llm.common import WORD, cut
 
 WEIGHTS = (5, 2, 1)
+#: Sources whose targets are broadcast, at most; beyond that they are joined by source.
+BROADCAST_SOURCES = 20_000
 SHARE = 1.5
 MOST = 2.0
 BUCKETS = 4096
@@ -85,6 +87,9 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[float, ...
     ends = before.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).where("before < rest and rest <= before + range_size")
     last = ends.groupBy("goal_source").agg(F.max(F.struct("range", "before")).alias("last")).withColumnRenamed("goal_source", "last_source")
     goal = goal.join(last, F.col("goal_source").eqNullSafe(F.col("last_source")), "left").select("goal_source", "source_size", "target", "complete", "rest", F.coalesce("last.range", F.lit(-1)).alias("last_range"), F.coalesce("last.before", F.lit(0)).alias("last_before"))
+    goal = cut(goal)
+    if goal.count() <= BROADCAST_SOURCES:
+        goal = F.broadcast(goal)
     rows = base.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     order = W.partitionBy("source", "range").orderBy("key", "doc_id", "text_key").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = rows.where("range = last_range").withColumn("reach", F.col("last_before") + F.sum("size").over(order))

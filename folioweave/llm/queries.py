@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, mixing, simhash, tokens, toxicity
+from folioweave.llm import decontam, mixing, pii, secrets, sharding, simhash, spans, tokens, toxicity
 from folioweave.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,10 +17,28 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _digests(found: DataFrame, kinds: list[spans.Kind]) -> DataFrame:
+    counts = [spans.count(F.col("base"), kind.name).alias(f"n_{kind.name}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +55,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_ids, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_token_ids, op5_pii, op6_secrets, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
