@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, mixing, pii, secrets, sharding, simhash, spans, tokens, toxicity
+from folioweave.llm import decontam, mixing, pii, search, secrets, sharding, simhash, spans, substrings, tokens, toxicity
 from folioweave.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,11 +17,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50, as a query by its whole text, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(search.build_index(docs), queries)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -55,6 +67,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_token_ids, op5_pii, op6_secrets, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_search, op2_sharding, op3_substrings, op4_token_ids, op5_pii, op6_secrets, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
