@@ -1,0 +1 @@
+"""Document retrieval, graph analytics and corpus maintenance as Spark jobs."""

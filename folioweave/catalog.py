@@ -1,4 +1,735 @@
-"""The queries of the library by name, and their SQL."""
+"""The queries of the library by name, over tables derived from the synthetic ones, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioweave import model as M
+from folioweave.functions import folders as A
+from folioweave.functions import text as T
+from folioweave.operators import chunking, filters, graph, listing, maintenance, retrieval
+from folioweave.plans import retrieve as plans
+from folioweave.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+USER = A.Principal("user", False, ("/en/", "/de/src1"))
+KEY = A.Principal("key", False, ("/fr",))
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a query, with SQL over the derived views if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = ("WITH " + ", ".join(views) + " " if views else "") + sql
+        return f
+
+    return add
+
+
+# ---- access ------------------------------------------------------------------------------------
+_USER_SQL = "(starts_with(folder, '/en/') OR starts_with(folder, '/de/src1/'))"
+
+
+@query(f"SELECT doc_id, folder FROM docs WHERE {_USER_SQL}", M.DOCS_SQL)
+def acl_user_visible(spark, d):
+    return A.restrict(M.docs(spark, d), USER).select("doc_id", "folder")
+
+
+@query("SELECT doc_id, folder FROM docs WHERE starts_with(folder, '/fr/')", M.DOCS_SQL)
+def acl_key_visible(spark, d):
+    return A.restrict(M.docs(spark, d), KEY).select("doc_id", "folder")
+
+
+@query("SELECT doc_id FROM docs WHERE 1 = 0", M.DOCS_SQL)
+def acl_empty_denies(spark, d):
+    return A.restrict(M.docs(spark, d), A.Principal("user")).select("doc_id")
+
+
+@query("SELECT doc_id FROM docs", M.DOCS_SQL)
+def acl_empty_key_allows(spark, d):
+    return A.restrict(M.docs(spark, d), A.Principal("key")).select("doc_id")
+
+
+@query("SELECT doc_id, folder FROM docs WHERE starts_with(folder, '/en/src1/') OR starts_with(folder, '/es/')", M.DOCS_SQL)
+def acl_by_table(spark, d):
+    allowed = spark.createDataFrame([("en/src1",), ("//es//",)], "folder string")
+    return A.restrict_by_table(M.docs(spark, d), allowed).select("doc_id", "folder")
+
+
+@query("SELECT doc_id, starts_with(folder, '/en/') AS by_key, doc_id % 2 = 0 OR starts_with(folder, '/en/') AS by_user FROM docs", M.DOCS_SQL)
+def acl_predicates(spark, d):
+    allowed = F.array(F.lit("/en"))
+    return M.docs(spark, d).select("doc_id", A.key_allows(F.col("folder"), allowed).alias("by_key"), A.user_allows(F.col("folder"), F.col("doc_id") % 2 == 0, allowed).alias("by_user"))
+
+
+@query("SELECT doc_id, regexp_replace('/' || trim(raw) || '/', '/+', '/', 'g') AS folder FROM (SELECT doc_id, '  /' || lang || '//' || source || ' ' AS raw FROM documents)")
+def folder_normalized(spark, d):
+    return M.read(spark, d, "documents").select("doc_id", A.normalize_folder(F.expr("concat('  /', lang, '//', source, ' ')")).alias("folder"))
+
+
+@query("SELECT DISTINCT folder FROM docs", M.DOCS_SQL)
+def distinct_folders(spark, d):
+    return M.docs(spark, d).select("folder").distinct()
+
+
+# ---- filters, lists, counts ------------------------------------------------------------------------
+@query("SELECT doc_id FROM docs WHERE language = 'en' AND (folder IN ('/en/src1/', '/en/src2/') OR status = 'failed')", M.DOCS_SQL)
+def filter_compiled(spark, d):
+    leaf = lambda f, o, v: {"field": f"meta.{f}", "operator": o, "value": v}
+    either = {"operator": "OR", "conditions": [leaf("folder", "in", ["/en/src1/", "/en/src2/"]), leaf("status", "==", "failed")]}
+    return M.docs(spark, d).where(filters.compile_filter({"operator": "AND", "conditions": [leaf("language", "==", "en"), either]})).select("doc_id")
+
+
+@query("SELECT chunk_id FROM chunks WHERE language = 'de' ORDER BY chunk_id LIMIT 50", M.CHUNKS_SQL)
+def scan_by_meta(spark, d):
+    return filters.scan_by_meta(M.chunks(spark, d), {"field": "language", "operator": "==", "value": "de"}, 50).select("chunk_id")
+
+
+@query("SELECT chunk_id, doc_id, vector FROM vectors", M.VECTORS_SQL)
+def scan_vectors(spark, d):
+    return M.vectors(spark, d).select("chunk_id", "doc_id", "vector")
+
+
+@query("SELECT doc_id FROM docs WHERE folder IN ('/en/src3/') AND doc_type = 'bericht' AND language = 'en'", M.DOCS_SQL)
+def access_filtered(spark, d):
+    return M.docs(spark, d).where(filters.access_filter(["/en/src3/"], "bericht", "en")).select("doc_id")
+
+
+@query("SELECT doc_id, uploaded_at FROM docs WHERE status = 'indexed' ORDER BY uploaded_at DESC, doc_id LIMIT 20 OFFSET 40", M.DOCS_SQL)
+def list_page(spark, d):
+    return filters.list_page(M.docs(spark, d), status="indexed", limit=20, offset=40).select("doc_id", "uploaded_at")
+
+
+@query("SELECT doc_id FROM docs WHERE contains(lower(file_name), 'doc_1') ORDER BY uploaded_at DESC, doc_id LIMIT 200", M.DOCS_SQL)
+def list_search(spark, d):
+    return filters.list_page(M.docs(spark, d), name="DOC_1").select("doc_id")
+
+
+@query("SELECT doc_id FROM docs WHERE starts_with(folder, '/es/src1') ORDER BY uploaded_at DESC, doc_id LIMIT 200", M.DOCS_SQL)
+def list_prefix(spark, d):
+    return filters.list_page(M.docs(spark, d), prefix="/es/src1").select("doc_id")
+
+
+@query("SELECT file_name, 'accepted' AS outcome FROM docs WHERE size_bytes <= 2000 UNION ALL SELECT file_name, 'skipped' FROM docs WHERE size_bytes > 2000", M.DOCS_SQL)
+def files_accepted(spark, d):
+    good, bad = filters.accepted_files(M.docs(spark, d), max_bytes=2000)
+    return good.select("file_name", F.lit("accepted").alias("outcome")).unionByName(bad.select("file_name", F.lit("skipped").alias("outcome")))
+
+
+@query("SELECT folder, count(*) AS n FROM docs GROUP BY folder", M.DOCS_SQL)
+def folder_counts(spark, d):
+    return listing.folder_counts(M.docs(spark, d))
+
+
+@query("SELECT f.folder, coalesce(n, 0) AS n FROM (SELECT DISTINCT folder FROM docs UNION SELECT DISTINCT '/' || language || '/' FROM docs UNION SELECT '/') f LEFT JOIN (SELECT folder, count(*) AS n FROM docs GROUP BY folder) c ON f.folder = c.folder", M.DOCS_SQL)
+def folder_tree(spark, d):
+    return listing.folder_tree(M.docs(spark, d))
+
+
+@query("SELECT norm_id AS value, count(*) AS n FROM docs WHERE norm_id IS NOT NULL AND status = 'indexed' GROUP BY norm_id ORDER BY n DESC, value LIMIT 20", M.DOCS_SQL)
+def overview_norms(spark, d):
+    return listing.top_values(M.docs(spark, d).where("status = 'indexed'"), "norm_id")
+
+
+@query("SELECT value, count(*) AS n FROM (SELECT unnest(tags) AS value FROM docs WHERE status = 'indexed') GROUP BY value ORDER BY n DESC, value LIMIT 20", M.DOCS_SQL)
+def overview_tags(spark, d):
+    return listing.top_values(M.docs(spark, d).where("status = 'indexed'"), "tags")
+
+
+@query("SELECT count(*) AS documents, sum(chunk_count)::BIGINT AS chunks FROM docs WHERE status = 'indexed'", M.DOCS_SQL)
+def overview(spark, d):
+    return listing.overview(M.docs(spark, d)).select("documents", "chunks")
+
+
+@query("SELECT count_if(status = 'indexed')::BIGINT AS documents, sum(chunk_count)::BIGINT AS chunks, sum(size_bytes)::BIGINT AS bytes FROM docs", M.DOCS_SQL)
+def corpus_stats(spark, d):
+    return listing.corpus_stats(M.docs(spark, d))
+
+
+_NOW = "TIMESTAMP '2024-01-28 00:00:00'"
+
+
+@query(f"SELECT count_if(ts >= {_NOW} - INTERVAL 1 DAY)::BIGINT AS queries_24h, count_if(ts >= {_NOW} - INTERVAL 7 DAY)::BIGINT AS queries_7d, round(avg(CASE WHEN ts >= {_NOW} - INTERVAL 7 DAY THEN value END), 6) AS avg_latency_ms FROM events")
+def ops_metrics(spark, d):
+    return listing.query_metrics(M.query_log(spark, d), F.expr(_NOW)).withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
+
+
+@query("SELECT count_if(status = 'indexed')::BIGINT AS indexed, count_if(status = 'failed')::BIGINT AS failed, count(*) AS total, round(count_if(status = 'indexed') / greatest(count(*), 1) * 100, 1) AS success_rate FROM docs", M.DOCS_SQL)
+def index_metrics(spark, d):
+    return listing.index_metrics(M.docs(spark, d))
+
+
+@query("""SELECT job_id, total, done, failed, pending, coalesce(errors, '') AS errors, folder, created_at, finished_at, CASE WHEN pending > 0 THEN 'running' WHEN failed > 0 AND done > 0 THEN 'partial' WHEN failed > 0 THEN 'failed' ELSE 'done' END AS status FROM (
+  SELECT job_id, count(*) AS total, count_if(status = 'done')::BIGINT AS done, count_if(status = 'failed')::BIGINT AS failed, count_if(status = 'queued')::BIGINT AS pending, substr(string_agg(error_msg, ' | ' ORDER BY created_at, error_msg), 1, 500) AS errors, min(folder) AS folder, min(created_at) AS created_at, max(finished_at) AS finished_at FROM jobs GROUP BY job_id)""", M.JOBS_SQL)
+def job_status(spark, d):
+    return listing.job_status(M.jobs(spark, d))
+
+
+@query("SELECT job_id, created_at FROM jobs WHERE status = 'queued' ORDER BY created_at, job_id LIMIT 1", M.JOBS_SQL)
+def queue_next(spark, d):
+    return listing.next_in_queue(M.jobs(spark, d)).select("job_id", "created_at")
+
+
+# ---- duplicates, versions -------------------------------------------------------------------------
+@query("SELECT doc_hash, count(*) AS n FROM docs GROUP BY doc_hash HAVING count(*) > 1", M.DOCS_SQL)
+def dup_groups(spark, d):
+    return listing.duplicate_groups(M.docs(spark, d))
+
+
+_PAIRS = "pairs AS (SELECT keep, doc_id AS remove, doc_hash FROM (SELECT *, first(doc_id) OVER (PARTITION BY doc_hash ORDER BY uploaded_at, doc_id) AS keep FROM docs) WHERE doc_id <> keep)"
+
+
+@query("SELECT * FROM pairs", M.DOCS_SQL, _PAIRS)
+def dup_pairs(spark, d):
+    return listing.duplicate_pairs(M.docs(spark, d))
+
+
+@query("SELECT keep, remove, doc_hash FROM pairs WHERE remove % 2 = 1", M.DOCS_SQL, _PAIRS)
+def dup_new_pairs(spark, d):
+    pairs = listing.duplicate_pairs(M.docs(spark, d))
+    return listing.new_pairs(pairs, pairs.where("remove % 2 = 0"))
+
+
+_VERSIONS = """years AS (SELECT *, CAST(doc_version AS INTEGER) AS year FROM docs), newest AS (SELECT norm_key, max(year) AS y FROM years WHERE norm_key IS NOT NULL AND year IS NOT NULL GROUP BY norm_key),
+  status AS (SELECT years.*, CASE WHEN year IS NULL OR y IS NULL THEN 'unknown' WHEN year = y THEN 'current' ELSE 'superseded' END AS valid_status, (SELECT min(o.doc_id) FROM years o WHERE o.norm_key = years.norm_key AND o.year = y) AS newest_id FROM years LEFT JOIN newest USING (norm_key)),
+  versions AS (SELECT *, CASE WHEN valid_status = 'superseded' THEN newest_id END AS superseded_by FROM status)"""
+
+
+@query("SELECT doc_id, norm_key, year, valid_status, superseded_by FROM versions", M.DOCS_SQL, _VERSIONS)
+def version_status(spark, d):
+    return listing.version_status(M.docs(spark, d)).select("doc_id", "norm_key", "year", "valid_status", "superseded_by")
+
+
+@query("SELECT doc_hash, folder FROM (SELECT DISTINCT doc_hash, folder FROM docs) WHERE (doc_hash, folder) NOT IN (SELECT (doc_hash, folder) FROM docs WHERE doc_id % 3 = 0)", M.DOCS_SQL)
+def new_uploads(spark, d):
+    docs = M.docs(spark, d)
+    return listing.new_files(docs, docs.where("doc_id % 3 = 0")).select("doc_hash", "folder")
+
+
+# ---- text -------------------------------------------------------------------------------------------
+_REFS = """reftext AS (SELECT doc_id, 'Siehe ' || coalesce(norm_id, 'nichts') || ':' || coalesce(doc_version, '2000') || ' und DIN EN ISO ' || (9000 + doc_id % 10) || ' sowie § ' || (doc_id % 30) || 'a. Art. ' || (doc_id % 9 + 1) || '. ' AS text FROM docs)"""
+_KEYS = """refs AS (SELECT doc_id, norm_key AS k, 'norm' AS kind FROM docs WHERE norm_key IS NOT NULL UNION ALL SELECT doc_id, 'din_en_iso_' || (9000 + doc_id % 10), 'norm' FROM docs UNION ALL SELECT doc_id, 'par_' || (doc_id % 30) || 'a', 'legal' FROM docs UNION ALL SELECT doc_id, 'art_' || (doc_id % 9 + 1), 'legal' FROM docs)"""
+
+
+@query("SELECT doc_id, kind || ':' || k AS ref FROM refs", M.DOCS_SQL, _KEYS)
+def refs_extract(spark, d):
+    return M.ref_text(spark, d).select("doc_id", F.explode(T.references(F.col("text"))).alias("ref"))
+
+
+@query("SELECT doc_id, norm_key, CASE WHEN doc_version IS NULL THEN '2000' ELSE doc_version END AS version FROM docs WHERE norm_id IS NOT NULL", M.DOCS_SQL)
+def canonical_keys(spark, d):
+    raw = F.concat("norm_id", F.lit(":"), F.coalesce("doc_version", F.lit("2000")))
+    return M.docs(spark, d).where("norm_id is not null").select("doc_id", T.norm_key(raw).alias("norm_key"), T.norm_version(raw).alias("version"))
+
+
+@query("SELECT doc_id, norm_key AS key FROM docs WHERE norm_id IS NOT NULL", M.DOCS_SQL)
+def normalized_keys(spark, d):
+    spaced = F.regexp_replace(F.regexp_replace("norm_id", "^(OENORM|önorm)", "ÖNORM"), "B ?(\\d)", "B $1")
+    return M.docs(spark, d).where("norm_id is not null").select("doc_id", T.normalize_key(spaced).alias("key"))
+
+
+@query("""SELECT doc_id, CASE WHEN norm_id IS NULL THEN NULL ELSE 'ÖNORM B ' || (1000 + doc_id % 40) || '-1' END AS own, CASE WHEN norm_id IS NULL THEN NULL ELSE 'Austrian Standards' END AS issuer FROM docs WHERE norm_id IS NOT NULL""", M.DOCS_SQL)
+def metadata_norms(spark, d):
+    rows = M.ref_text(spark, d).select("doc_id", T.metadata(F.col("text")).alias("m")).where("m.norm_id not like 'DIN%'")
+    return rows.select("doc_id", F.col("m.norm_id").alias("own"), F.col("m.issuer").alias("issuer"))
+
+
+def _hits(words):
+    return "len(list_intersect(list_distinct(w), [" + ", ".join(f"'{x}'" for x in words) + "]))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN len(w) < 20 THEN NULL WHEN {_hits(T.GERMAN)} > {_hits(T.ENGLISH)} THEN 'de' WHEN {_hits(T.ENGLISH)} > {_hits(T.GERMAN)} THEN 'en' WHEN regexp_matches(head, '[äöüß]') THEN 'de' END AS language
+  FROM (SELECT doc_id, substr(text, 1, 4000) AS head, regexp_extract_all(lower(substr(text, 1, 4000)), '[A-Za-zÄÖÜäöüß]+') AS w FROM documents)""")
+def language_guess(spark, d):
+    return M.read(spark, d, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
+
+
+_TYPES = " ".join("WHEN " + " OR ".join(f"contains(lower(head), '{w}')" for w in words) + f" THEN '{name}'" for name, words in T.DOC_TYPES)
+
+
+@query(f"SELECT doc_id, CASE {_TYPES} ELSE 'sonstiges' END AS doc_type FROM (SELECT doc_id, substr(text, 1, 1500) AS head FROM documents)")
+def doc_type(spark, d):
+    return M.read(spark, d, "documents").select("doc_id", T.doc_type(F.substring("text", 1, 1500)).alias("doc_type"))
+
+
+_STOPLIST = ", ".join(f"'{w}'" for w in T.STOP)
+_WORDS = f"""tokens AS (SELECT doc_id, regexp_replace(lower(t), '^-+|-+$', '', 'g') AS word, pos FROM (SELECT doc_id, unnest(r) AS t, unnest(range(len(r))) AS pos FROM (SELECT doc_id, regexp_extract_all(substr(text, 1, 200000), '[A-Za-zÄÖÜäöüß][A-Za-zÄÖÜäöüß\\-]{{4,}}') AS r FROM documents))),
+  counted AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM tokens WHERE length(word) >= 5 AND word NOT IN ({_STOPLIST}) AND NOT regexp_full_match(word, '[ivxlcdm]+') GROUP BY doc_id, word HAVING count(*) >= 2),
+  ranked AS (SELECT doc_id, word, n, n * (1 + least(length(word), 16) / 20) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY n * (1 + least(length(word), 16) / 20) DESC, first) AS rank FROM counted)"""
+
+
+@query("SELECT doc_id, word, n, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10", _WORDS)
+def keywords_top10(spark, d):
+    return listing.keywords(M.read(spark, d, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT d.doc_id, coalesce(t.tags, '') AS tags FROM documents d LEFT JOIN (SELECT doc_id, string_agg(word, ',' ORDER BY rank) AS tags FROM ranked WHERE rank <= 7 GROUP BY doc_id) t USING (doc_id) WHERE NOT regexp_matches(substr(d.text, 1, 1500), '(?i)(önorm|oenorm|onorm|din|en|iso|iec|oib)[^a-z]')", _WORDS)
+def autotags(spark, d):
+    docs = M.read(spark, d, "documents").where("not substring(text, 1, 1500) rlike '(?iU)(önorm|oenorm|onorm|din|en|iso|iec|oib)[^a-z]'")
+    return listing.auto_tags(docs).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT doc_id, CASE WHEN norm_id IS NOT NULL THEN '/Normen/OENORM/' WHEN doc_id % 2 = 0 THEN '/' || language || '/' ELSE folder END AS target FROM docs", M.DOCS_SQL)
+def folder_suggestions(spark, d):
+    docs = M.docs(spark, d)
+    tags = F.when(F.col("doc_id") % 2 == 0, F.col("tags")).otherwise(F.array(F.lit(" ")))
+    return docs.select("doc_id", T.suggest_folder(F.col("file_name"), F.concat(F.lit("zu "), "norm_id"), tags, F.col("folder")).alias("target"))
+
+
+@query("SELECT doc_id, CAST(doc_version AS INTEGER) AS year, greatest(1, length(text) // 4)::INTEGER AS tokens, len(string_split('1.2.' || doc_id % 10, '.'))::INTEGER AS level FROM docs", M.DOCS_SQL)
+def small_numbers(spark, d):
+    return M.docs(spark, d).select("doc_id", T.version_year(F.concat(F.lit("Ausgabe "), "doc_version")).alias("year"), T.token_estimate(F.col("text")).alias("tokens"), T.numbering_level(F.concat(F.lit("1.2."), F.col("doc_id") % 10, F.lit(" Titel"))).alias("level"))
+
+
+@query("SELECT doc_id, sha1(doc_id || chr(31) || chr(31) || text) AS chunk_id, sha1(doc_hash || chr(31) || 'a/b' || chr(31) || 'sha256:' || sha256(text)) AS layout_id FROM docs", M.DOCS_SQL)
+def content_ids(spark, d):
+    return M.docs(spark, d).select("doc_id", T.chunk_id(F.col("doc_id"), F.lit(None).cast("string"), F.col("text")).alias("chunk_id"), T.layout_chunk_id(F.col("doc_hash"), F.array(F.lit("a"), F.lit("b")), F.col("text")).alias("layout_id"))
+
+
+@query("SELECT doc_id, concat_ws(', ', file_name, 'S. ' || (doc_id % 9), CASE WHEN doc_id % 2 = 0 THEN '6 › 6.2' ELSE language END) AS citation FROM docs", M.DOCS_SQL)
+def citations(spark, d):
+    rows = M.docs(spark, d).select("doc_id", "file_name", (F.col("doc_id") % 9).alias("page"), F.when(F.col("doc_id") % 2 == 0, F.lit("6 › 6.2")).otherwise("").alias("section_path"), F.col("language").alias("section_title"))
+    return filters.with_citation(rows).select("doc_id", "citation")
+
+
+@query("SELECT doc_id, '***REDACTED***' AS secret, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...<+' || (length(text) - 100) || 'ch>' ELSE text END AS query, file_name AS other FROM docs", M.DOCS_SQL)
+def audit_masked(spark, d):
+    rows = M.docs(spark, d).select("doc_id", F.create_map(F.lit("token"), "doc_hash", F.lit("query"), "text", F.lit("name"), "file_name").alias("args"))
+    return files.audit(rows).select("doc_id", F.col("args")["token"].alias("secret"), F.col("args")["query"].alias("query"), F.col("args")["name"].alias("other"))
+
+
+@query("SELECT doc_id, list_distinct_in_order AS tags FROM (SELECT doc_id, CASE WHEN language = source THEN [language] ELSE [language, 'x'] END AS list_distinct_in_order FROM (SELECT doc_id, language, tags[2] AS source FROM docs))".replace("list_distinct_in_order", "merged"), M.DOCS_SQL)
+def merged_tags(spark, d):
+    return M.docs(spark, d).select("doc_id", T.merge_tags(F.array("language", F.lit("x")), F.array(F.lit("x"), "language")).alias("tags"))
+
+
+@query("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def full_text_reassembly(spark, d):
+    return listing.full_texts(M.read(spark, d, "conversations").selectExpr("conv_id as doc_id", "turn as ordinal", "text"))
+
+
+@query("SELECT doc_id, chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)", M.CHUNKS_SQL)
+def chunk_links(spark, d):
+    return listing.neighbour_links(M.chunks(spark, d)).select("doc_id", "chunk_id", "prev_id", "next_id")
+
+
+@query("SELECT doc_id, first(substr(text, 1, 300) ORDER BY ordinal) AS snippet FROM chunks GROUP BY doc_id", M.CHUNKS_SQL)
+def snippets(spark, d):
+    return filters.snippets(M.chunks(spark, d))
+
+
+@query()
+def chunk_documents(spark, d):
+    pages = F.array(F.struct(F.lit(1).alias("number"), F.col("text"), F.lit("Titel").alias("title"), F.lit(1).alias("title_level")))
+    return chunking.chunk_documents(M.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), pages.alias("pages")))
+
+
+@query()
+def parent_assembly(spark, d):
+    parts = M.chunks(spark, d).select("doc_id", "ordinal", F.concat(F.lit("s"), (F.col("ordinal") / 5).cast("int")).alias("section_path"), T.token_estimate(F.col("text")).alias("tokens"))
+    return chunking.assign_parents(parts)
+
+
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') AS title FROM pages")
+def html_title(spark, d):
+    return M.read(spark, d, "pages").selectExpr("page_id", "nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') as title")
+
+
+@query()
+def html_text(spark, d):
+    pages = M.read(spark, d, "pages").selectExpr("concat('/', page_id, '.html') as path", "encode(html, 'UTF-8') as content")
+    return files.parse_files(pages).select("file_name", F.col("pages")[0]["title"].alias("title"), F.col("pages")[0]["text"].alias("text"), "error")
+
+
+@query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
+def event_props_json(spark, d):
+    return M.query_log(spark, d).select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-28 00:00:00' - INTERVAL 9 DAY")
+def retention(spark, d):
+    return listing.retained(M.query_log(spark, d), F.expr(_NOW), 9).select("event_id")
+
+
+@query()
+def rate_limit_fold(spark, d):
+    return listing.rate_limit(M.query_log(spark, d), 3, 3600)
+
+
+@query("SELECT event_type, max(ts) AS last FROM events GROUP BY event_type ORDER BY last DESC, event_type LIMIT 8")
+def recent_values(spark, d):
+    return listing.recent_values(M.query_log(spark, d), "event_type")
+
+
+# ---- ranking ----------------------------------------------------------------------------------------
+QUESTION = "the than heat er"
+
+
+def _first_vector(spark, d) -> list[float]:
+    return M.vectors(spark, d).where("chunk_id = 0").first()["vector"]
+
+
+_BM25 = """terms AS (SELECT unnest(['the', 'than', 'heat', 'er']) AS t), toks AS (SELECT chunk_id, doc_id, folder, language, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {source}),
+  stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks), tf AS (SELECT chunk_id, len(w) AS l, t, len(list_filter(w, lambda x: x = t)) AS f FROM toks, terms),
+  df AS (SELECT t, count_if(f > 0) AS df FROM tf GROUP BY t),
+  bm AS (SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / mean))), 9) AS score FROM tf JOIN df USING (t), stats GROUP BY chunk_id HAVING sum(f) > 0),
+  bmk AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM bm)"""
+_TEXT_CHUNKS = "tchunks AS (SELECT 'v' || doc_id AS chunk_id, doc_id, '/' || lang || '/' || source || '/' AS folder, lang AS language, text FROM documents WHERE doc_id < 500)"
+
+
+def _searchable(spark, d) -> DataFrame:
+    """The first 500 documents as chunks with the vectors that exist for them: the tables' common ids."""
+    vec = M.read(spark, d, "embeddings").selectExpr("vec_id as doc_id", "embedding as vector")
+    docs = M.read(spark, d, "documents").where("doc_id < 500").selectExpr("concat('v', doc_id) as chunk_id", "doc_id", "concat('/', lang, '/', source, '/') as folder", "lang as language", "concat('doc_', doc_id, '.txt') as file_name", "cast(null as int) as page", "cast(null as string) as section_path", "cast(null as string) as section_title", "if(doc_id % 2 = 0, 'norm', 'bericht') as doc_type", "text")
+    return docs.join(vec, "doc_id", "left")
+
+
+@query("SELECT chunk_id, score, rank::INTEGER AS rank FROM bmk WHERE rank <= 20", M.CHUNKS_SQL, _BM25.format(source="chunks"))
+def bm25_topk(spark, d):
+    return retrieval.bm25(M.chunks(spark, d), QUESTION, 20)
+
+
+_KNN = "q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), knn AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT {key} AS chunk_id, round(list_inner_product(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]), 6) AS score FROM embeddings {where}))"
+
+
+@query("SELECT chunk_id, score, rank::INTEGER AS rank FROM knn WHERE rank <= 20", _KNN.format(key="vec_id", where=""))
+def knn_topk(spark, d):
+    return retrieval.nearest(M.vectors(spark, d), _first_vector(spark, d), 20)
+
+
+_RRF = "fused AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT chunk_id, rank FROM bmk WHERE rank <= 15 UNION ALL SELECT chunk_id, rank FROM knn WHERE rank <= 15) GROUP BY chunk_id), ranked AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM fused)"
+_HYBRID = (_TEXT_CHUNKS, _BM25.format(source="tchunks"), _KNN.format(key="'v' || vec_id", where="WHERE vec_id IN (SELECT doc_id FROM tchunks)"), _RRF)
+
+
+@query("SELECT chunk_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 15", *_HYBRID)
+def hybrid_rrf(spark, d):
+    return retrieval.hybrid(_searchable(spark, d), QUESTION, _first_vector(spark, d), 15)
+
+
+_ACL_CHUNKS = _TEXT_CHUNKS.replace("WHERE doc_id < 500", f"WHERE doc_id < 500 AND {_USER_SQL.replace('folder', chr(39) + '/' + chr(39) + ' || lang || ' + chr(39) + '/' + chr(39) + ' || source || ' + chr(39) + '/' + chr(39))}")
+_HYBRID_ACL = (_ACL_CHUNKS, *_HYBRID[1:])
+
+
+@query("SELECT chunk_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 15", *_HYBRID_ACL)
+def hybrid_acl(spark, d):
+    return retrieval.hybrid(A.restrict(_searchable(spark, d), USER), QUESTION, _first_vector(spark, d), 15)
+
+
+@query("SELECT chunk_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 15", _TEXT_CHUNKS.replace("doc_id < 500", "doc_id < 500 AND doc_id % 7 = 1"), *_HYBRID[1:])
+def restricted_search(spark, d):
+    return retrieval.hybrid(_searchable(spark, d), QUESTION, _first_vector(spark, d), 15, F.col("doc_id") % 7 == 1)
+
+
+def _request(spark, d, **more) -> plans.Request:
+    return plans.Request(QUESTION, _first_vector(spark, d), USER, top_k=15, **more)
+
+
+@query("""SELECT r.chunk_id, r.rank::INTEGER AS rank, 'doc_' || substr(r.chunk_id, 2) || '.txt' AS citation, v.valid_status = 'superseded' AS outdated, CASE WHEN s.doc_id IS NOT NULL THEN v.superseded_by END AS superseded_by
+  FROM ranked r JOIN versions v ON 'v' || v.doc_id = r.chunk_id LEFT JOIN versions s ON s.doc_id = v.superseded_by AND """ + _USER_SQL.replace("folder", "s.folder") + " WHERE r.rank <= 15", M.DOCS_SQL, _VERSIONS, _ACL_CHUNKS, _BM25.format(source="tchunks"), *_HYBRID_ACL[2:])
+def retrieve(spark, d):
+    docs = listing.version_status(M.docs(spark, d))
+    return plans.retrieve(_searchable(spark, d), docs, _request(spark, d)).select("chunk_id", "rank", "citation", "outdated", "superseded_by")
+
+
+@query()
+def retrieve_with_graph(spark, d):
+    docs = listing.version_status(M.docs(spark, d))
+    nodes, edges = graph.first_layer(docs, M.ref_text(spark, d))
+    request = _request(spark, d, walk=True, content_budget=8, reranker=_overlap)
+    request.question = "the than ÖNORM B 1003-1"
+    return plans.retrieve(_searchable(spark, d), docs, request, nodes, edges).select("chunk_id", "doc_id", "rank", "citation", "outdated")
+
+
+def _overlap(question: str, texts: list[str]) -> list[float]:
+    """A stand-in for a pair model: the share of a question's words in the text."""
+    asked = set(question.lower().split())
+    return [len(asked & set(t.lower().split())) / max(1, len(asked)) for t in texts]
+
+
+_LIST = "rows AS (SELECT doc_id AS chunk, doc_id % 37 AS doc_id, doc_id + 1 AS rank FROM documents WHERE doc_id < 300)"
+
+
+@query("SELECT chunk, r.doc_id, rank FROM rows r JOIN (SELECT doc_id FROM rows GROUP BY doc_id ORDER BY min(rank) LIMIT 10) b USING (doc_id)", _LIST)
+def content_budget(spark, d):
+    rows = M.read(spark, d, "documents").where("doc_id < 300").selectExpr("doc_id as chunk", "doc_id % 37 as doc_id", "doc_id + 1 as rank")
+    return filters.content_budget(rows, 10)
+
+
+@query("SELECT chunk_id, c.doc_id, v.valid_status = 'superseded' AS outdated, superseded_by FROM chunks c JOIN versions v USING (doc_id)", M.DOCS_SQL, _VERSIONS, M.CHUNKS_SQL)
+def status_join(spark, d):
+    return filters.with_status(M.chunks(spark, d), listing.version_status(M.docs(spark, d))).select("chunk_id", "doc_id", "outdated", "superseded_by")
+
+
+@query("SELECT doc_id FROM versions WHERE valid_status <> 'superseded'", M.DOCS_SQL, _VERSIONS)
+def only_current(spark, d):
+    docs = listing.version_status(M.docs(spark, d))
+    return filters.only_current(docs.select("doc_id", (F.col("valid_status") == "superseded").alias("outdated"))).select("doc_id")
+
+
+@query("SELECT v.doc_id, s.doc_id AS superseded_by FROM versions v LEFT JOIN versions s ON s.doc_id = v.superseded_by AND s.language = 'en'", M.DOCS_SQL, _VERSIONS)
+def scrub_refs(spark, d):
+    docs = listing.version_status(M.docs(spark, d))
+    return filters.scrub_references(docs.select("doc_id", "superseded_by"), docs.where("language = 'en'")).select("doc_id", "superseded_by")
+
+
+@query(f"SELECT doc_id FROM docs WHERE status = 'indexed' AND norm_key = 'önorm_b_1003_1' AND {_USER_SQL}", M.DOCS_SQL)
+def norm_lookup(spark, d):
+    docs = listing.version_status(M.docs(spark, d))
+    return plans.norm_lookup(docs, "Önorm B1003-1:2019", USER).select("doc_id")
+
+
+@query("SELECT doc_id, source, rank FROM (SELECT doc_id, 0 AS source, doc_id AS rank FROM documents WHERE doc_id % 5 = 0 AND doc_id < 100 UNION ALL SELECT doc_id, 1, doc_id FROM documents WHERE doc_id < 50 AND doc_id % 5 <> 0)")
+def candidates_merged(spark, d):
+    docs = M.read(spark, d, "documents").selectExpr("doc_id", "doc_id as rank")
+    return retrieval.merge_candidates(docs.where("doc_id % 5 = 0 and doc_id < 100"), docs.where("doc_id < 50")).select("doc_id", F.col("priority").alias("source"), "rank")
+
+
+@query()
+def embedded(spark, d):
+    return retrieval.embed(M.chunks(spark, d).select("chunk_id", "text"), retrieval.hashing_embedder).select("chunk_id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("norm"))
+
+
+# ---- graph --------------------------------------------------------------------------------------------
+_NORMALIZED = "'" + "oenorm" + "'"
+_L1 = """ok AS (SELECT * FROM versions WHERE status = 'indexed'),
+  edges AS (SELECT 'document:' || doc_id AS src_key, 'folder:' || folder AS tgt_key, 'in_folder' AS relation FROM ok UNION SELECT 'document:' || doc_id, 'tag:' || unnest(tags), 'has_tag' FROM ok UNION SELECT 'document:' || doc_id, 'issuer:austrian_standards', 'issued_by' FROM ok WHERE issuer IS NOT NULL
+  UNION SELECT 'document:' || doc_id, kind || ':' || k, 'references' FROM refs JOIN ok USING (doc_id))"""
+
+
+def _layer(spark, d):
+    docs = listing.version_status(M.docs(spark, d))
+    return graph.first_layer(docs, M.ref_text(spark, d))
+
+
+@query("SELECT * FROM edges", M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
+def graph_l1_edges(spark, d):
+    return _layer(spark, d)[1].select("src_key", "tgt_key", "relation")
+
+
+@query("SELECT DISTINCT key AS node_key FROM (SELECT src_key AS key FROM edges UNION SELECT tgt_key FROM edges UNION SELECT 'norm:' || norm_key FROM ok WHERE norm_key IS NOT NULL)", M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
+def graph_l1_nodes(spark, d):
+    return _layer(spark, d)[0].select("node_key")
+
+
+@query("SELECT DISTINCT 'norm:önorm_b_' || (1000 + n.doc_id % 40) || '_x' AS src_key, 'norm:önorm_b_' || (1000 + o.doc_id % 40) || '_x' AS tgt_key, 'supersedes' AS relation FROM docs o JOIN docs n ON n.doc_id = o.doc_id + 1 WHERE o.doc_id % 3 = 0", M.DOCS_SQL)
+def supersedes_edges(spark, d):
+    norm = M.docs(spark, d).selectExpr("doc_id", "if(doc_id % 3 = 0, doc_id + 1, null) as superseded_by", "concat('önorm_b_', 1000 + doc_id % 40, '_x') as key")
+    return graph.superseded(norm)
+
+
+@query("SELECT doc_id, list(round(x, 6) ORDER BY pos) AS vector FROM (SELECT doc_id, pos, avg(x) AS x FROM (SELECT doc_id, unnest(vector)::DOUBLE AS x, unnest(range(64)) AS pos FROM vectors) GROUP BY doc_id, pos) GROUP BY doc_id", M.VECTORS_SQL)
+def centroids(spark, d):
+    return graph.centroids(M.vectors(spark, d)).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query("""SELECT a.src, a.dst, round(a.score, 4) AS score FROM near a JOIN near b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""",
+       M.VECTORS_SQL, "c AS (SELECT doc_id, list(x ORDER BY pos) AS v FROM (SELECT doc_id, pos, avg(x) AS x FROM (SELECT doc_id, unnest(vector)::DOUBLE AS x, unnest(range(64)) AS pos FROM vectors) GROUP BY doc_id, pos) GROUP BY doc_id)",
+       "near AS (SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM (SELECT a.doc_id AS src, b.doc_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM c a, c b WHERE a.doc_id <> b.doc_id)) WHERE rank <= 8 AND score >= 0.05)")
+def similar_to_mutual(spark, d):
+    return graph.mutual_neighbours(graph.centroids(M.vectors(spark, d)), least=0.05).select("src", "dst", F.round("score", 4).alias("score"))
+
+
+_SHINGLES = "w AS (SELECT item_id AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark), s AS (SELECT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END) AS g FROM w)"
+
+
+@query("SELECT id, count(*)::INTEGER AS n FROM s GROUP BY id", _SHINGLES)
+def shingles(spark, d):
+    return M.read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.size(graph.shingles(F.col("text"))).alias("n"))
+
+
+@query("""SELECT a.id AS src, b.id AS dst, round(count(*) / (na.n + nb.n - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN (SELECT id, count(*) AS n FROM s GROUP BY id) na ON na.id = a.id JOIN (SELECT id, count(*) AS n FROM s GROUP BY id) nb ON nb.id = b.id GROUP BY a.id, b.id, na.n, nb.n HAVING count(*) / (na.n + nb.n - count(*)) >= 0.3""",
+       "w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text))", _SHINGLES.split(", s AS")[1].join(["s AS", ""]))
+def shingles_exact_jaccard(spark, d):
+    """Pairs of unlike texts that share shingles, by an equi join on shingles of texts, each text once."""
+    docs = M.read(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
+    g = docs.select("id", F.explode(graph.shingles(F.col("text"))).alias("g"))
+    n = g.groupBy("id").agg(F.count("*").alias("n"))
+    both = g.select(F.col("id").alias("src"), "g").join(g.select(F.col("id").alias("dst"), "g"), "g").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("k"))
+    sized = both.join(n.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+    jaccard = F.col("k") / (F.col("a") + F.col("b") - F.col("k"))
+    return sized.where(jaccard >= 0.3).select("src", "dst", F.round(jaccard, 6).alias("jaccard"))
+
+
+@query()
+def minhash_near_dup(spark, d):
+    return graph.near_duplicates(M.read(spark, d, "documents"))
+
+
+def _small_graph(spark, d):
+    """Suppliers' nations as a small graph: nodes by name, weighted edges from line items' parts of a nation to suppliers' nations."""
+    s, c = M.read(spark, d, "supplier"), M.read(spark, d, "customer")
+    o, line = M.read(spark, d, "orders"), M.read(spark, d, "lineitem")
+    e = line.join(o, line["l_orderkey"] == o["o_orderkey"]).join(s, line["l_suppkey"] == s["s_suppkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+    edges = e.groupBy(F.concat(F.lit("n:"), "c_nationkey").alias("src_key"), F.concat(F.lit("n:"), "s_nationkey").alias("tgt_key")).agg(F.count("*").cast("double").alias("w_eff")).where("src_key < tgt_key")
+    nodes = M.read(spark, d, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("node_key"), F.col("n_regionkey").alias("community_id"))
+    return nodes, edges
+
+
+_GRAPH = """edges AS (SELECT 'n:' || c_nationkey AS src_key, 'n:' || s_nationkey AS tgt_key, count(*)::DOUBLE AS w_eff FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE 'n:' || c_nationkey < 'n:' || s_nationkey GROUP BY ALL),
+  nodes AS (SELECT 'n:' || n_nationkey AS node_key, n_regionkey AS community_id FROM nation)"""
+_PAGERANK = """outw AS (SELECT src_key, sum(w_eff) AS t FROM edges GROUP BY src_key),
+  r0 AS (SELECT node_key, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)""" + "".join(f""",
+  r{i} AS (SELECT n.node_key, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * (coalesce(g.gain, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE node_key NOT IN (SELECT src_key FROM outw)) / (SELECT count(*) FROM nodes)) AS r
+    FROM nodes n LEFT JOIN (SELECT e.tgt_key, sum(p.r * e.w_eff / o.t) AS gain FROM edges e JOIN outw o USING (src_key) JOIN r{i - 1} p ON p.node_key = e.src_key GROUP BY e.tgt_key) g ON g.tgt_key = n.node_key)""" for i in range(1, 11))
+
+
+@query("SELECT node_key, round(r, 9) AS pagerank FROM r10", _GRAPH, _PAGERANK)
+def pagerank_10(spark, d):
+    nodes, edges = _small_graph(spark, d)
+    return graph.pagerank(nodes, edges, rounds=10, tolerance=0.0).select("node_key", F.round("pagerank", 9).alias("pagerank"))
+
+
+_BOTH = "und AS (SELECT src_key AS a, tgt_key AS b, w_eff AS w FROM edges UNION ALL SELECT tgt_key, src_key, w_eff FROM edges)"
+_PPR = """degree AS (SELECT a, sum(w) AS t FROM und GROUP BY a), p AS (SELECT node_key, CASE WHEN node_key IN ('n:0', 'n:5') THEN 0.5 ELSE 0 END::DOUBLE AS p FROM nodes), r0 AS (SELECT node_key, p AS r FROM p)""" + "".join(f""",
+  r{i} AS (SELECT p.node_key, 0.15 * p.p + 0.85 * (coalesce(g.gain, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE node_key NOT IN (SELECT a FROM degree)) * p.p) AS r
+    FROM p LEFT JOIN (SELECT u.b, sum(q.r * u.w / t) AS gain FROM und u JOIN degree USING (a) JOIN r{i - 1} q ON q.node_key = u.a GROUP BY u.b) g ON g.b = p.node_key)""" for i in range(1, 11))
+
+
+@query("SELECT node_key, round(r, 9) AS score FROM r10", _GRAPH, _BOTH, _PPR)
+def ppr_10(spark, d):
+    nodes, edges = _small_graph(spark, d)
+    seeds = spark.createDataFrame([("n:0",), ("n:5",)], "node_key string")
+    return graph.personalised(nodes, edges, seeds, rounds=10, tolerance=0.0).select("node_key", F.round("score", 9).alias("score"))
+
+
+@query("SELECT n.node_key, round(coalesce(x.p, 0), 9) AS participation FROM nodes n LEFT JOIN (SELECT a, 1 - sum(k * k) / (sum(k) * sum(k)) AS p FROM (SELECT u.a, m.community_id, sum(w) AS k FROM und u JOIN nodes m ON m.node_key = u.b GROUP BY ALL) GROUP BY a) x ON x.a = n.node_key", _GRAPH, _BOTH)
+def participation(spark, d):
+    nodes, edges = _small_graph(spark, d)
+    return graph.participation(nodes, edges).withColumn("participation", F.round("participation", 9))
+
+
+@query("SELECT c AS community_id, round(CASE WHEN least(v, t - v) > 0 THEN cut / least(v, t - v) END, 9) AS conductance FROM (SELECT x.community_id AS c, sum(w) AS v, sum(CASE WHEN x.community_id <> y.community_id THEN w ELSE 0 END) AS cut, (SELECT sum(w) FROM und) AS t FROM und JOIN nodes x ON x.node_key = a JOIN nodes y ON y.node_key = b GROUP BY x.community_id)", _GRAPH, _BOTH)
+def conductance(spark, d):
+    nodes, edges = _small_graph(spark, d)
+    return graph.conductance(nodes, edges).withColumn("conductance", F.round("conductance", 9))
+
+
+@query("SELECT community_id, count(*) AS size, sha1(string_agg(node_key, chr(31) ORDER BY node_key)) AS member_fingerprint FROM nodes GROUP BY community_id", _GRAPH)
+def community_fingerprints(spark, d):
+    nodes, _ = _small_graph(spark, d)
+    return graph.describe_communities(nodes, nodes.select("node_key", F.lit(1.0).alias("pagerank"))).select("community_id", "size", "member_fingerprint")
+
+
+@query()
+def louvain_partition(spark, d):
+    nodes, edges = _small_graph(spark, d)
+    return graph.communities(nodes, edges)
+
+
+@query("SELECT src_key, tgt_key, relation FROM edges e JOIN ok ON src_key = 'document:' || doc_id WHERE relation IN ('has_tag', 'references') AND (starts_with(tgt_key, 'tag:') OR starts_with(tgt_key, 'legal:')) AND " + _USER_SQL, M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
+def graph_view_acl(spark, d):
+    nodes, edges = _layer(spark, d)
+    shown = graph.graph_view(nodes.withColumn("pagerank", F.lit(0.0)), edges, USER, ["document", "tag", "legal"], 100_000)
+    return shown[1].select("src_key", "tgt_key", "relation")
+
+
+@query("SELECT relation, CASE WHEN src_key = 'tag:en' THEN tgt_key ELSE src_key END AS neighbour, CASE WHEN src_key = 'tag:en' THEN 'out' ELSE 'in' END AS direction FROM edges WHERE src_key = 'tag:en' OR tgt_key = 'tag:en'", M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
+def node_neighbours(spark, d):
+    return graph.neighbours(_layer(spark, d)[1], "tag:en")
+
+
+@query("SELECT DISTINCT doc_id FROM refs JOIN ok USING (doc_id) WHERE k IN ('önorm_b_1003_1', 'par_7a') AND " + _USER_SQL, M.DOCS_SQL, _VERSIONS, _KEYS, _L1.split(",\n")[0])
+def fastpath_docs(spark, d):
+    nodes, edges = _layer(spark, d)
+    return graph.referring_documents(edges, "Was sagt OENORM B1003-1:2020 zu § 7a?", graph.visible_documents(nodes, USER))
+
+
+@query("SELECT count(*) AS rows, count_if(kind = 'node')::BIGINT AS nodes FROM (SELECT 'node' AS kind FROM (SELECT DISTINCT key FROM (SELECT src_key AS key FROM edges UNION SELECT tgt_key FROM edges UNION SELECT 'norm:' || norm_key FROM ok WHERE norm_key IS NOT NULL)) UNION ALL SELECT 'edge' FROM edges)", M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
+def graph_export(spark, d):
+    return files.graph_json(*_layer(spark, d)).agg(F.count("*").alias("rows"), F.count_if(F.col("kind") == "node").alias("nodes"))
+
+
+@query("SELECT (SELECT count(*) FROM docs) AS node_count, (SELECT max(uploaded_at) FROM docs) AS node_last, (SELECT count(*) FROM events) AS edge_count, (SELECT max(ts) FROM events) AS edge_last", M.DOCS_SQL)
+def version_token(spark, d):
+    return listing.version_token(M.docs(spark, d).withColumnRenamed("uploaded_at", "created_at"), M.query_log(spark, d))
+
+
+# ---- maintenance ---------------------------------------------------------------------------------------
+_TAGS = "counts AS (SELECT tag, count(*) AS n FROM (SELECT lower(trim(p_brand)) AS tag FROM part UNION ALL SELECT lower(n_name) FROM nation, part WHERE p_partkey % 25 = n_nationkey) GROUP BY tag)"
+
+
+def _tag_counts(spark, d):
+    part, nation = M.read(spark, d, "part"), M.read(spark, d, "nation")
+    joined = part.join(F.broadcast(nation), F.expr("cast(p_partkey % 25 as int) = n_nationkey"))  # 25 nations
+    return maintenance.tag_counts(part.select(F.array("p_brand").alias("tags")).unionByName(joined.select(F.array("n_name").alias("tags"))))
+
+
+@query("SELECT a.tag AS a, b.tag AS b, levenshtein(a.tag, b.tag)::INTEGER AS distance FROM counts a JOIN counts b ON a.tag < b.tag WHERE levenshtein(a.tag, b.tag) <= 2", _TAGS)
+def tag_near_pairs(spark, d):
+    return maintenance.near_tags(_tag_counts(spark, d))
+
+
+@query("SELECT tag, n FROM counts", _TAGS)
+def tag_frequencies(spark, d):
+    return _tag_counts(spark, d)
+
+
+@query()
+def tag_consolidation(spark, d):
+    docs = M.docs(spark, d).select("doc_id", "tags")
+    merges = maintenance.tag_merges(maintenance.tag_counts(docs))
+    return maintenance.apply_merges(docs, merges)
+
+
+_REORG = """m AS (SELECT doc_id, (doc_id % 50)::INTEGER AS c, folder, tags FROM docs WHERE status = 'indexed'), f AS (SELECT c, folder, count(*) AS k FROM m GROUP BY c, folder),
+  top AS (SELECT c, sum(k) AS n, count(*) AS folders, max_by(folder, (k, folder)) AS tf, max(k) AS tk FROM f GROUP BY c), t AS (SELECT c, max_by(tag, (k, tag)) AS tag FROM (SELECT c, tag, count(*) AS k FROM (SELECT c, unnest(tags) AS tag FROM m) GROUP BY c, tag) GROUP BY c),
+  goal AS (SELECT c, CASE WHEN tk / n >= 0.6 THEN tf ELSE '/' || tag || '/' END AS target FROM top JOIN t USING (c) WHERE n >= 3 AND folders >= 2)"""
+
+
+@query("SELECT doc_id, folder AS current_folder, target AS suggested_folder, c AS community_id, 'pending' AS status FROM m JOIN goal USING (c) WHERE folder <> target AND doc_id % 9 <> 0", M.DOCS_SQL, _REORG)
+def reorg_suggestions(spark, d):
+    docs = M.docs(spark, d)
+    members = docs.selectExpr("doc_id", "cast(doc_id % 50 as int) as community_id")
+    all_ = maintenance.reorganisation(members, docs, spark.createDataFrame([], "doc_id long, suggested_folder string"), members.selectExpr("community_id", "'x' as label").distinct())
+    return maintenance.reorganisation(members, docs, all_.where("doc_id % 9 = 0"), members.selectExpr("community_id", "'x' as label").distinct())
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'accepted' WHEN doc_id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status FROM docs", M.DOCS_SQL)
+def suggestions_decided(spark, d):
+    docs = M.docs(spark, d)
+    pending = docs.select("doc_id", F.lit("pending").alias("status"))
+    return maintenance.decide(pending, docs.selectExpr("doc_id", "case doc_id % 3 when 0 then 'accept' when 1 then 'reject' else 'undo' end as action"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '/archiv/' || language || '/' ELSE folder END AS folder FROM docs", M.DOCS_SQL)
+def move_documents(spark, d):
+    docs = M.docs(spark, d)
+    return maintenance.move_documents(docs, docs.where("doc_id % 4 = 0").selectExpr("doc_id", "concat('archiv/', language) as target")).select("doc_id", "folder")
+
+
+@query("SELECT doc_id FROM docs WHERE NOT starts_with(folder, '/en/src1/')", M.DOCS_SQL)
+def delete_subtree(spark, d):
+    return maintenance.without_subtree(M.docs(spark, d), "en/src1").select("doc_id")
+
+
+@query("SELECT chunk_id FROM chunks WHERE NOT starts_with(folder, '/en/')", M.CHUNKS_SQL)
+def cascade_delete(spark, d):
+    kept = maintenance.without_subtree(M.docs(spark, d), "/en/")
+    return maintenance.cascade(M.chunks(spark, d), kept).select("chunk_id")
+
+
+@query("SELECT doc_id, list_distinct(CASE WHEN language = 'en' THEN ['english', tags[2]] ELSE tags END) AS tags FROM docs".replace("list_distinct(", "("), M.DOCS_SQL)
+def tag_replaced(spark, d):
+    return M.docs(spark, d).select("doc_id", T.replace_tag(F.col("tags"), "en", "english").alias("tags"))
+
+
+@query("SELECT doc_id, '/Steuer/' || CASE WHEN doc_id % 2 = 0 THEN language || '/' ELSE '' END AS folder FROM docs", M.DOCS_SQL)
+def zip_folders(spark, d):
+    member = F.when(F.col("doc_id") % 2 == 0, F.concat("language", F.lit("/"), "file_name")).otherwise(F.col("file_name"))
+    return M.docs(spark, d).select("doc_id", A.zip_folder(member, F.lit("/Steuer/")).alias("folder"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g') AS text FROM documents".replace("\\x00-\\xFF", "\\x{00}-\\x{FF}"))
+def latin1_text(spark, d):
+    return M.read(spark, d, "documents").select("doc_id", files.latin1(F.col("text")).alias("text"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval under a user's access, with status and citation."""
+    return retrieve(spark, sf_dir)
