@@ -112,9 +112,8 @@ def references(text: Column) -> Column:
 
 def own_norm(head: Column) -> Column:
     """The most frequent norm of a head, the earliest of equals: struct of key, raw, version."""
-    found = norm_matches(head)
-    numbered = F.transform(found, lambda m, i: F.struct(F.size(F.filter(found, lambda o: o["key"] == m["key"])).alias("n"), (-i).alias("first"), m.alias("m")))
-    return F.array_max(numbered)["m"]
+    count = lambda found: F.transform(found, lambda m, i: F.struct(F.size(F.filter(found, lambda o: o["key"] == m["key"])).alias("n"), (-i).alias("first"), m.alias("m")))
+    return F.array_max(F.get(F.transform(F.array(norm_matches(head)), count), F.lit(0)))["m"]
 
 
 def display_norm(raw: Column) -> Column:

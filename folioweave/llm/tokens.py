@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import scratch_table, shared_dir, text_key
+from folioweave.llm.common import scratch_table, shared_dir
 
 END = 0
 BLOCK_IDS = 1 << 18
 #: Words that a Python worker keeps the ids of.
 CACHE_WORDS = 600_000
+#: Texts that are encoded together.
+ROWS = 2048
 
 #: The pre-token pattern of byte-level BPE. (?U): \s as the tokenizer's own engine reads it.
 PIECES = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,6 +61,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a token of a byte-level vocabulary has a character for each of its bytes
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.clear()
 
     def clear(self) -> None:
@@ -71,19 +77,27 @@ class Encoder:
             self.clear()
             new = words
         if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            length = np.fromiter(map(len, found), np.int64, len(found))
+            # words of a space and letters stay whole when they are laid end to end, so that hundreds
+            # are encoded as one text; their tokens are told apart by bytes
+            plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+            other = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
+            joined = self.tokenizer.encode_batch_fast(["".join(plain[i : i + 256]) for i in range(0, len(plain), 256)], add_special_tokens=False)
+            single = [x.ids for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x.ids, np.int64) for x in joined)])
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in plain), np.int64, len(plain)))
+            upto = np.append(0, np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1) if len(plain) else np.zeros(1, np.int64)
+            length = np.concatenate([np.diff(upto), np.fromiter(map(len, single), np.int64, len(single))])
             base = len(self.start)
-            self.index.update(zip(new, range(base, base + len(new)), strict=True))
+            self.index.update(zip(plain + other, range(base, base + len(new)), strict=True))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint16, int(length.sum()))])
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint16), np.fromiter((i for x in single for i in x), np.uint16)])
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """For each list of pieces its ids and the end id."""
-        for at in range(0, len(column), 512):
-            part = column.slice(at, 512)
+        for at in range(0, len(column), ROWS):
+            part = column.slice(at, ROWS)
             values, ends = part.flatten().dictionary_encode(), np.append(0, np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
             at_word = self.find(values.dictionary.to_pylist())[values.indices.to_numpy()]
             length = self.length[at_word]
@@ -114,7 +128,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part, np.int32)), pa.array(np.arange(seq, seq + rows)), pa.array(before + np.cumsum(n) - n), batch.column(0), pa.array(n), pa.array(ids, pa.binary())], names=["part", "seq", "before", "doc_id", "n", "ids"])
             seq, before = seq + rows, before + int(n.sum())
 
-    ordered = docs.select("doc_id", "text", text_key(F.col("text")).alias("key")).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
     return ordered.select("doc_id", pieces(F.col("text")).alias("pieces")).mapInArrow(run, f"part int, seq long, before long, doc_id {kind}, n long, ids binary")
 
 

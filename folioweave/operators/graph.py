@@ -104,8 +104,9 @@ def mutual_neighbours(centers: DataFrame, k: int = 8, least: float = 0.6, block:
 def shingles(text, words: int = 5):
     """The distinct runs of words of a text; a shorter text is one run."""
     parts = F.filter(F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(parts) - words)), lambda i: F.array_join(F.slice(parts, i + 1, words), " "))
-    return F.when(F.size(parts) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    # bound as a lambda's variable: an expression inside a lambda is evaluated for each element
+    runs = lambda p: F.when(F.size(p) > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(p) - words)), lambda i: F.array_join(F.slice(p, i + 1, words), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(parts), runs), F.lit(0))
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
