@@ -380,13 +380,16 @@ _BM25 = """terms AS (SELECT unnest(['the', 'than', 'heat', 'er']) AS t), toks AS
   df AS (SELECT t, count_if(f > 0) AS df FROM tf GROUP BY t),
   bm AS (SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / mean))), 9) AS score FROM tf JOIN df USING (t), stats GROUP BY chunk_id HAVING sum(f) > 0),
   bmk AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM bm)"""
-_TEXT_CHUNKS = "tchunks AS (SELECT 'v' || doc_id AS chunk_id, doc_id, '/' || lang || '/' || source || '/' AS folder, lang AS language, text FROM documents WHERE doc_id < 500)"
+
+
+def _text_chunks(where: str = "true") -> str:
+    return f"tchunks AS (SELECT * FROM (SELECT 'v' || doc_id AS chunk_id, doc_id, '/' || lang || '/' || source || '/' AS folder, lang AS language, text FROM documents) WHERE {where})"
 
 
 def _searchable(spark, d) -> DataFrame:
-    """The first 500 documents as chunks with the vectors that exist for them: the tables' common ids."""
+    """Every document as a chunk, with the vector of its id where there is one."""
     vec = M.read(spark, d, "embeddings").selectExpr("vec_id as doc_id", "embedding as vector")
-    docs = M.read(spark, d, "documents").where("doc_id < 500").selectExpr("concat('v', doc_id) as chunk_id", "doc_id", "concat('/', lang, '/', source, '/') as folder", "lang as language", "concat('doc_', doc_id, '.txt') as file_name", "cast(null as int) as page", "cast(null as string) as section_path", "cast(null as string) as section_title", "if(doc_id % 2 = 0, 'norm', 'bericht') as doc_type", "text")
+    docs = M.read(spark, d, "documents").selectExpr("concat('v', doc_id) as chunk_id", "doc_id", "concat('/', lang, '/', source, '/') as folder", "lang as language", "concat('doc_', doc_id, '.txt') as file_name", "cast(null as int) as page", "cast(null as string) as section_path", "cast(null as string) as section_title", "if(doc_id % 2 = 0, 'norm', 'bericht') as doc_type", "text")
     return docs.join(vec, "doc_id", "left")
 
 
@@ -404,7 +407,7 @@ def knn_topk(spark, d):
 
 
 _RRF = "fused AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT chunk_id, rank FROM bmk WHERE rank <= 15 UNION ALL SELECT chunk_id, rank FROM knn WHERE rank <= 15) GROUP BY chunk_id), ranked AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM fused)"
-_HYBRID = (_TEXT_CHUNKS, _BM25.format(source="tchunks"), _KNN.format(key="'v' || vec_id", where="WHERE vec_id IN (SELECT doc_id FROM tchunks)"), _RRF)
+_HYBRID = (_text_chunks(), _BM25.format(source="tchunks"), _KNN.format(key="'v' || vec_id", where="WHERE vec_id IN (SELECT doc_id FROM tchunks)"), _RRF)
 
 
 @query("SELECT chunk_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 15", *_HYBRID)
@@ -412,7 +415,7 @@ def hybrid_rrf(spark, d):
     return retrieval.hybrid(_searchable(spark, d), QUESTION, _first_vector(spark, d), 15)
 
 
-_ACL_CHUNKS = _TEXT_CHUNKS.replace("WHERE doc_id < 500", f"WHERE doc_id < 500 AND {_USER_SQL.replace('folder', chr(39) + '/' + chr(39) + ' || lang || ' + chr(39) + '/' + chr(39) + ' || source || ' + chr(39) + '/' + chr(39))}")
+_ACL_CHUNKS = _text_chunks(_USER_SQL)
 _HYBRID_ACL = (_ACL_CHUNKS, *_HYBRID[1:])
 
 
@@ -421,9 +424,9 @@ def hybrid_acl(spark, d):
     return retrieval.hybrid(A.restrict(_searchable(spark, d), USER), QUESTION, _first_vector(spark, d), 15)
 
 
-@query("SELECT chunk_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 15", _TEXT_CHUNKS.replace("doc_id < 500", "doc_id < 500 AND doc_id % 7 = 1"), *_HYBRID[1:])
+@query("SELECT chunk_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 15", _text_chunks("language = 'fr'"), *_HYBRID[1:])
 def restricted_search(spark, d):
-    return retrieval.hybrid(_searchable(spark, d), QUESTION, _first_vector(spark, d), 15, F.col("doc_id") % 7 == 1)
+    return retrieval.hybrid(_searchable(spark, d), QUESTION, _first_vector(spark, d), 15, F.col("language") == "fr")
 
 
 def _request(spark, d, **more) -> plans.Request:
@@ -452,13 +455,13 @@ def _overlap(question: str, texts: list[str]) -> list[float]:
     return [len(asked & set(t.lower().split())) / max(1, len(asked)) for t in texts]
 
 
-_LIST = "rows AS (SELECT doc_id AS chunk, doc_id % 37 AS doc_id, doc_id + 1 AS rank FROM documents WHERE doc_id < 300)"
+_HITS = "hits AS (SELECT chunk_id, split_part(chunk_id, '_', 1)::BIGINT AS doc_id, rank::INTEGER AS rank FROM bmk WHERE rank <= 50)"
 
 
-@query("SELECT chunk, r.doc_id, rank FROM rows r JOIN (SELECT doc_id FROM rows GROUP BY doc_id ORDER BY min(rank) LIMIT 10) b USING (doc_id)", _LIST)
+@query("SELECT chunk_id, h.doc_id, rank FROM hits h JOIN (SELECT doc_id FROM hits GROUP BY doc_id ORDER BY min(rank) LIMIT 10) b USING (doc_id)", M.CHUNKS_SQL, _BM25.format(source="chunks"), _HITS)
 def content_budget(spark, d):
-    rows = M.read(spark, d, "documents").where("doc_id < 300").selectExpr("doc_id as chunk", "doc_id % 37 as doc_id", "doc_id + 1 as rank")
-    return filters.content_budget(rows, 10)
+    hits = retrieval.bm25(M.chunks(spark, d), QUESTION, 50)
+    return filters.content_budget(hits.selectExpr("chunk_id", "cast(substring_index(chunk_id, '_', 1) as long) as doc_id", "rank"), 10)
 
 
 @query("SELECT chunk_id, c.doc_id, v.valid_status = 'superseded' AS outdated, superseded_by FROM chunks c JOIN versions v USING (doc_id)", M.DOCS_SQL, _VERSIONS, M.CHUNKS_SQL)
@@ -484,10 +487,10 @@ def norm_lookup(spark, d):
     return plans.norm_lookup(docs, "Önorm B1003-1:2019", USER).select("doc_id")
 
 
-@query("SELECT doc_id, source, rank FROM (SELECT doc_id, 0 AS source, doc_id AS rank FROM documents WHERE doc_id % 5 = 0 AND doc_id < 100 UNION ALL SELECT doc_id, 1, doc_id FROM documents WHERE doc_id < 50 AND doc_id % 5 <> 0)")
+@query("SELECT doc_id, CASE WHEN folder = '/en/src1/' THEN 0 ELSE 1 END AS source, doc_id AS rank FROM docs WHERE language = 'en'", M.DOCS_SQL)
 def candidates_merged(spark, d):
-    docs = M.read(spark, d, "documents").selectExpr("doc_id", "doc_id as rank")
-    return retrieval.merge_candidates(docs.where("doc_id % 5 = 0 and doc_id < 100"), docs.where("doc_id < 50")).select("doc_id", F.col("priority").alias("source"), "rank")
+    docs = M.docs(spark, d).selectExpr("doc_id", "folder", "language", "doc_id as rank")
+    return retrieval.merge_candidates(docs.where("folder = '/en/src1/'"), docs.where("language = 'en'")).select("doc_id", F.col("priority").alias("source"), "rank")
 
 
 @query()
@@ -543,17 +546,12 @@ def shingles(spark, d):
     return M.read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.size(graph.shingles(F.col("text"))).alias("n"))
 
 
-@query("""SELECT a.id AS src, b.id AS dst, round(count(*) / (na.n + nb.n - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN (SELECT id, count(*) AS n FROM s GROUP BY id) na ON na.id = a.id JOIN (SELECT id, count(*) AS n FROM s GROUP BY id) nb ON nb.id = b.id GROUP BY a.id, b.id, na.n, nb.n HAVING count(*) / (na.n + nb.n - count(*)) >= 0.3""",
+@query("""SELECT a.id AS src, b.id AS dst, round(count(*) / (na.n + nb.n - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN (SELECT id, count(*) AS n FROM s GROUP BY id) na ON na.id = a.id JOIN (SELECT id, count(*) AS n FROM s GROUP BY id) nb ON nb.id = b.id GROUP BY a.id, b.id, na.n, nb.n HAVING count(*) / (na.n + nb.n - count(*)) >= 0.8""",
        "w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text))", _SHINGLES.split(", s AS")[1].join(["s AS", ""]))
 def shingles_exact_jaccard(spark, d):
-    """Pairs of unlike texts that share shingles, by an equi join on shingles of texts, each text once."""
+    """Pairs of unlike texts, each text once."""
     docs = M.read(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
-    g = docs.select("id", F.explode(graph.shingles(F.col("text"))).alias("g"))
-    n = g.groupBy("id").agg(F.count("*").alias("n"))
-    both = g.select(F.col("id").alias("src"), "g").join(g.select(F.col("id").alias("dst"), "g"), "g").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("k"))
-    sized = both.join(n.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
-    jaccard = F.col("k") / (F.col("a") + F.col("b") - F.col("k"))
-    return sized.where(jaccard >= 0.3).select("src", "dst", F.round(jaccard, 6).alias("jaccard"))
+    return graph.similar_texts(docs).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query()

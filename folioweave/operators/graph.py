@@ -109,6 +109,25 @@ def shingles(text, words: int = 5):
     return F.get(F.transform(F.array(parts), runs), F.lit(0))
 
 
+def similar_texts(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """src < dst, jaccard of the texts (id, text; each text once) that share enough of their shingles.
+
+    Two sets with a Jaccard of ``least`` share one of the rarest n - ceil(least n) + 1 shingles of
+    either: texts meet by these alone, so that a passage which many share brings no pairs together
+    unless it is most of a text. Whole sets decide.
+    """
+    own = checkpointed(docs.select("id", shingles(F.col("text")).alias("g")).where(F.size("g") > 0))
+    each = own.select("id", F.size("g").alias("n"), F.explode("g").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(W.partitionBy("id").orderBy("df", "s"))
+    rare = each.join(often, "s").withColumn("nth", nth).where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("df") > 1)).select("id", "n", "s")
+    left, right = rare.select(F.col("id").alias("src"), F.col("n").alias("a"), "s"), rare.select(F.col("id").alias("dst"), F.col("n").alias("b"), "s")
+    met = left.join(right, "s").where((F.col("src") < F.col("dst")) & (F.least("a", "b") >= F.greatest("a", "b") * least - 1e-9)).select("src", "dst").distinct()
+    sides = met.join(own.select(F.col("id").alias("src"), F.col("g").alias("x")), "src").join(own.select(F.col("id").alias("dst"), F.col("g").alias("y")), "dst")
+    both = F.size(F.array_intersect("x", "y"))
+    return sides.select("src", "dst", (both / (F.size("x") + F.size("y") - both)).alias("jaccard")).where(F.col("jaccard") >= least - 1e-9)
+
+
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return rng.integers(1, 2**32, size=PERMUTATIONS, dtype=np.uint64), rng.integers(0, 2**32, size=PERMUTATIONS, dtype=np.uint64)
@@ -183,26 +202,24 @@ def personalised(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart:
 def _walk(start: DataFrame, edges: DataFrame, keep: float, rounds: int, tolerance: float) -> DataFrame:
     """r = (1 - keep) p + keep (M r + dangling p), until it changes by less than the tolerance.
 
-    A round is one join of ranks to out-edges and one aggregate; lineage is cut every fifth.
+    A round is one join of ranks to out-edges and one aggregate, checkpointed: the next round reads
+    its ranks more than once. The driver gets two sums.
     """
     start = checkpointed(start)
     edges = edges.join(start.select(F.col("node_key").alias("src_key")), "src_key", "left_semi").join(start.select(F.col("node_key").alias("tgt_key")), "tgt_key", "left_semi")
     edges = edges.groupBy("src_key", "tgt_key").agg(F.sum("w").alias("w"))
     out = edges.groupBy("src_key").agg(F.sum("w").alias("total"))
     shares = checkpointed(edges.join(out, "src_key").select(F.col("src_key").alias("node_key"), "tgt_key", (F.col("w") / F.col("total")).alias("share")))
-    sources = out.select(F.col("src_key").alias("node_key"), F.lit(True).alias("flows"))
-    ranks = checkpointed(start.join(sources, "node_key", "left").select("node_key", "p", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("p").alias("r")))
-    for at in range(rounds):
-        lost = ranks.where("not flows").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
+    sources = shares.select("node_key", F.lit(True).alias("flows")).distinct()
+    ranks = checkpointed(start.join(sources, "node_key", "left").select("node_key", "p", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("p").alias("r"), F.col("p").alias("old")))
+    for _ in range(rounds):
+        lost, change = ranks.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("r"))), F.lit(0.0)), F.sum(F.when(F.col("r") != F.col("old"), F.abs(F.col("r") - F.col("old"))))).first()
+        if change is not None and change < tolerance:
+            break
         into = ranks.join(shares, "node_key").groupBy("tgt_key").agg(F.sum(F.col("r") * F.col("share")).alias("gain"))
-        step = ranks.join(into, ranks["node_key"] == into["tgt_key"], "left").join(F.broadcast(lost))  # lost is one row
-        step = step.select("node_key", "p", "flows", F.col("r").alias("old"), ((1 - keep) * F.col("p") + keep * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("r"))
-        if at % 5 == 4 or at == rounds - 1:
-            step = checkpointed(step)
-            if step.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] < tolerance:
-                return step.drop("old")
-        ranks = step.drop("old")
-    return ranks
+        step = ranks.join(into, ranks["node_key"] == into["tgt_key"], "left")
+        ranks = checkpointed(step.select("node_key", "p", "flows", ((1 - keep) * F.col("p") + keep * (F.coalesce("gain", F.lit(0.0)) + lost * F.col("p"))).alias("r"), F.col("r").alias("old")))
+    return ranks.drop("old")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -19,6 +19,15 @@ def tag_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode("tags").alias("tag")).select(tag.alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def deletions(tag, most: int):
+    """The strings that remain of a tag after up to ``most`` deletions."""
+    level = out = F.array(tag)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
 def near_tags(counts: DataFrame, distance: int = 2) -> DataFrame:
     """a < b, distance: tags within an edit distance.
 
@@ -39,9 +48,9 @@ def near_tags(counts: DataFrame, distance: int = 2) -> DataFrame:
     probe = own.select("tag", "len", F.explode(F.sequence(F.greatest(F.col("len") - distance, F.lit(1)), F.col("len") + distance)).alias("size")).select("tag", "size", F.explode(F.sequence(F.lit(-distance), F.lit(distance))).alias("shift"))
     right = probe.select(F.col("tag").alias("y"), F.explode(cut(F.col("tag"), F.col("size"), F.col("shift"))).alias("p")).select("y", "p.*").distinct()
     pairs = left.join(right, ["i", "piece", "size"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    # tags so short that a piece may be empty meet directly: there are few of them
-    short = own.where(F.col("len") <= 2 * pieces)
-    close = short.select(F.col("tag").alias("x"), "len").join(short.select(F.col("tag").alias("y"), F.col("len").alias("other")), F.expr(f"x < y and abs(len - other) <= {distance}")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # a piece of a short tag may be empty: short tags meet by what is left after as many deletions
+    short = own.where(F.col("len") <= 2 * pieces).select("tag", F.explode(deletions(F.col("tag"), distance)).alias("rest"))
+    close = short.select(F.col("tag").alias("a"), "rest").join(short.select(F.col("tag").alias("b"), "rest"), "rest").where("a < b").select("a", "b")
     return pairs.unionByName(close).distinct().withColumn("distance", F.levenshtein("a", "b", distance)).where("distance >= 0")
 
 

@@ -57,8 +57,10 @@ def retrieve(chunks: DataFrame, docs: DataFrame, request: Request, nodes: DataFr
             lists.insert(0, _of_documents(own, named.join(found.select("doc_id").distinct(), "doc_id", "left_anti"), request, k))
         found = retrieval.merge_candidates(*lists)
         if request.walk:
-            seeds = found.orderBy("priority", "rank").select("doc_id").distinct().limit(request.seeds).join(visible, "doc_id").select("node_key")
-            near = walk_candidates(nodes, edges, visible, seeds, request)
+            found = checkpointed(found)  # a few candidates, read several times below
+            best = found.groupBy("doc_id").agg(F.min(F.struct("priority", "rank")).alias("first")).orderBy("first", "doc_id").limit(request.seeds)
+            seeds = checkpointed(best.join(visible, "doc_id").select("node_key"))
+            near = checkpointed(walk_candidates(nodes, edges, visible, seeds, request))
             found = retrieval.merge_candidates(found.drop("priority"), _of_documents(own, near, request, k))
         found = found.withColumn("rank", F.col("priority") * 1_000_000 + F.col("rank")).drop("priority")
     if request.reranker:
