@@ -80,15 +80,15 @@ def mutual_neighbours(centers: DataFrame, k: int = 8, least: float = 0.6, block:
     dealt = centers.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.withColumn("o", other)
-    right = dealt.withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = dealt.select(F.col("doc_id").alias("other_id"), F.col("vector").alias("other_vector"), F.col("b").alias("o"), other.alias("b"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["vector"].to_numpy())
+        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["other_vector"].to_numpy())
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
         s = np.round(x @ y.T, 6)
-        ids, others = a["doc_id"].to_numpy(), b["doc_id"].to_numpy()
+        ids, others = a["doc_id"].to_numpy(), b["other_id"].to_numpy()
         s[ids[:, None] == others[None, :]] = -2.0
         order = np.lexsort((np.broadcast_to(others, s.shape), -s), axis=1)[:, :k]
         i = np.repeat(np.arange(len(ids)), order.shape[1])

@@ -130,7 +130,7 @@ def test_watched_folder(spark, folder, tmp_path):
 
 
 def test_streams_equal_batches(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_id", "user_id", "ts", "ts as created_at", "value as latency_ms")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_id", "user_id", "cast(ts as timestamp) as ts", "cast(ts as timestamp) as created_at", "value as latency_ms")
     events.coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
 
