@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioweave.functions.folders import Principal
 from folioweave.operators import listing
 from folioweave.plans import retrieve as plans
+from folioweave.session import checkpointed
 from folioweave.sources import files
 from folioweave.sources.warehouse import Warehouse, migrate
 from folioweave.streaming import jobs
@@ -95,7 +96,7 @@ def test_ingest_then_retrieve_then_graph(spark, folder):
     (folder / "n.txt").write_text(text)
     (folder / "old.txt").write_text(text.replace("2022", "2015"))
     parsed = files.parse_files(files.read_files(spark, str(folder))).withColumn("folder", files.folder_of(F.col("path"), str(folder)))
-    docs, chunks = plans.ingest(parsed, spark.createDataFrame([], "doc_hash string, folder string"))
+    docs, chunks = map(checkpointed, plans.ingest(parsed, spark.createDataFrame([], "doc_hash string, folder string")))
     assert docs.count() == 6 and chunks.where("vector is null").count() == 0
     assert {r["doc_version"] for r in docs.where("norm_key = 'önorm_b_1801_1'").collect()} == {"2022", "2015"}
     assert plans.ingest(parsed, docs)[0].count() == 0
@@ -106,7 +107,7 @@ def test_ingest_then_retrieve_then_graph(spark, folder):
     assert got and got[0]["file_name"] in ("n.txt", "old.txt") and {r["outdated"] for r in got if r["file_name"] == "old.txt"} <= {True}
     with pytest.raises(PermissionError):
         plans.retrieve(parts, status, plans.Request("x", [1.0] + [0.0] * 63, Principal("user", False, ("/a/",)), folder="/b/"))
-    made = plans.refresh_graph(numbered.withColumn("doc_id", F.col("doc_id")), parts.select("doc_id", "text"), parts.select("doc_id", "vector"), rounds=20)
+    made = plans.refresh_graph(numbered, parts.select("doc_id", "text"), parts.select("doc_id", "vector"), rounds=2)
     assert made["nodes"].agg(F.round(F.sum("pagerank"), 6)).first()[0] == 1.0
     assert made["edges"].where("relation = 'references'").count() >= 2 and made["communities"].count() >= 1
 
