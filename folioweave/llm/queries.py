@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, mixing, pii, search, secrets, sharding, simhash, spans, substrings, tokens, toxicity
+from folioweave.llm import decontam, mixing, oracles, pii, search, secrets, sharding, simhash, spans, substrings, tokens, toxicity
 from folioweave.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,4 +69,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_search, op2_sharding, op3_substrings, op4_token_ids, op5_pii, op6_secrets, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
