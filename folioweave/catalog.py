@@ -275,6 +275,12 @@ def autotags(spark, d):
     return listing.auto_tags(docs).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
+@query()
+def autotags_all(spark, d):
+    """The tags of every document, families of norms before keywords."""
+    return listing.auto_tags(M.read(spark, d, "documents")).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
 @query("SELECT doc_id, CASE WHEN norm_id IS NOT NULL THEN '/Normen/OENORM/' WHEN doc_id % 2 = 0 THEN '/' || language || '/' ELSE folder END AS target FROM docs", M.DOCS_SQL)
 def folder_suggestions(spark, d):
     docs = M.docs(spark, d)
