@@ -240,6 +240,13 @@ def metadata_norms(spark, d):
     return rows.select("doc_id", F.col("m.norm_id").alias("own"), F.col("m.issuer").alias("issuer"))
 
 
+@query()
+def metadata_all(spark, d):
+    """Norm and issuer of every document, those without a norm of their own too."""
+    rows = M.ref_text(spark, d).select("doc_id", T.metadata(F.col("text")).alias("m"))
+    return rows.select("doc_id", F.col("m.norm_id").alias("own"), F.col("m.issuer").alias("issuer"))
+
+
 def _hits(words):
     return "len(list_intersect(list_distinct(w), [" + ", ".join(f"'{x}'" for x in words) + "]))"
 

@@ -46,8 +46,9 @@ VECTORS_SQL = "vectors AS (SELECT vec_id AS chunk_id, vec_id // 5 AS doc_id, emb
 
 
 def ref_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and a text that names the document's norm, the next one and a paragraph."""
-    return docs(spark, sf_dir).selectExpr("doc_id", "concat('Siehe ', coalesce(norm_id, 'nichts'), ':', coalesce(doc_version, '2000'), ' und DIN EN ISO ', 9000 + doc_id % 10, ' sowie § ', doc_id % 30, 'a. Art. ', doc_id % 9 + 1, '. ') as text")
+    """doc_id and a document's text after a line that names its norm, the next one and a paragraph."""
+    named = "'Siehe ', coalesce(norm_id, 'nichts'), ':', coalesce(doc_version, '2000'), ' und DIN EN ISO ', 9000 + doc_id % 10, ' sowie § ', doc_id % 30, 'a. Art. ', doc_id % 9 + 1, '. '"
+    return docs(spark, sf_dir).selectExpr("doc_id", f"concat({named}, coalesce(text, '')) as text")
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:

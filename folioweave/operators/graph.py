@@ -35,7 +35,9 @@ def first_layer(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFram
     tag = own.select("src", "folder", F.explode("tags").alias("label")).withColumn("key", T.fast_key(F.col("label"))).where("key <> ''")
     by = own.where("issuer is not null").select("src", "folder", F.col("issuer").alias("label"), T.fast_key(F.col("issuer")).alias("key")).where("key <> ''")
     norm = own.where("norm_id is not null").select("src", "doc_id", "superseded_by", "folder", F.col("norm_id").alias("label"), T.norm_key(F.col("norm_id")).alias("key")).where("key <> ''")
-    refs = chunks.join(docs.select("doc_id", "folder"), "doc_id").select(doc.alias("src"), "folder", F.explode(T.references(F.col("text"))).alias("ref"))
+    # references are read where the texts lie: only they are shuffled
+    named = chunks.select("doc_id", F.explode(T.references(F.col("text"))).alias("ref"))
+    refs = named.join(docs.select("doc_id", "folder"), "doc_id").select(doc.alias("src"), "folder", "ref")
     refs = refs.select("src", "folder", F.substring_index("ref", ":", 1).alias("kind"), F.col("ref").alias("tgt"), F.substring_index("ref", ":", -1).alias("key"))
 
     row = lambda df, kind, key, label: df.select(F.lit(kind).alias("node_type") if isinstance(kind, str) else kind.alias("node_type"), key.alias("canonical_key"), label.alias("label"), "folder", (F.col("doc_id") if kind == "document" else F.lit(None).cast("long")).alias("doc_id"))

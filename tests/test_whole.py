@@ -45,3 +45,21 @@ def test_tags_of_every_document(spark, folder):
     found = {r["doc_id"]: r["tags"] for r in catalog.QUERIES["autotags_all"](spark, d).collect()}
     assert found == {i: brute_tags(t) for i, t in enumerate(texts)}
     assert found[0].startswith("önorm,din,oib,") and found[1].startswith("garden,taken")
+
+
+def test_references_inside_long_texts(spark, folder):
+    long = "garden window " * 20_000
+    texts = ["nothing", f"{long} ÖNORM B 1801-1:2022 {long} siehe § 16 und Artikel 17", f"DIN 4108-2, DIN 4108-2 und din 4108-2 {long} EN 1992", None]
+    rows = [(doc, t, "de", "src0", len(t or "")) for doc, t in zip([7, 8, 14, 21], texts, strict=True)]
+    d = folder("documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    inside = {7: set(), 8: {"norm:önorm_b_1801_1", "legal:par_16", "legal:art_17"}, 14: {"norm:din_4108_2", "norm:en_1992"}, 21: set()}
+    first = {i: {f"norm:din_en_iso_{9000 + i % 10}", f"legal:par_{i % 30}a", f"legal:art_{i % 9 + 1}"} | ({f"norm:önorm_b_{1000 + i % 40}_1"} if i % 7 else set()) for i in inside}
+    expected = {(i, ref) for i in inside for ref in inside[i] | first[i]}
+    found = [tuple(r) for r in catalog.QUERIES["refs_extract"](spark, d).select("doc_id", "ref").collect()]
+    assert sorted(found) == sorted(expected)
+    edges = catalog.QUERIES["graph_l1_edges"](spark, d).where("relation = 'references'").collect()
+    assert {(r["src_key"], r["tgt_key"]) for r in edges} == {(f"document:{i}", ref) for i, ref in expected}
+    nodes = {r["node_key"] for r in catalog.QUERIES["graph_l1_nodes"](spark, d).collect()}
+    assert {ref for _, ref in expected} <= nodes
+    metadata = {r["doc_id"]: (r["own"], r["issuer"]) for r in catalog.QUERIES["metadata_all"](spark, d).collect()}
+    assert metadata == {7: ("DIN EN ISO 9007", "DIN"), 8: ("ÖNORM B 1008-1", "Austrian Standards"), 14: ("DIN 4108-2", "DIN"), 21: ("DIN EN ISO 9001", "DIN")}
