@@ -15,7 +15,8 @@ two bits each, the first number lowest; then the numbers' bytes, little end firs
 256 control bytes gives the lengths of all numbers at once, so that numpy decodes without a loop
 over numbers.
 
-Null and empty texts give the end id alone; repeated rows are encoded each. Rows with equal ids
+The ids are the library's with ``add_special_tokens=False``: the string of an added token in a text
+is that token. Null and empty texts give the end id alone; repeated rows are encoded each. Rows with equal ids
 follow each other by text; a null doc_id comes first. An empty table gives an empty file.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,20 @@ PIECES = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 PLAIN = r"^[\t\n\r\x20-\x7E¡-¬®-ɏ‐-‧‰-⁞]*$"
 
 
-def pieces(text: Column) -> Column:
-    """The pre-tokens of a text, or the whole text where it isn't plain; tokens never cross them."""
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(text.rlike(PLAIN), F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))).otherwise(F.array(text))
+def added_tokens(path: str) -> list[str]:
+    """The strings that a tokenizer finds in a text before it is cut into pre-tokens."""
+    from tokenizers import Tokenizer
+
+    return sorted(x.content for x in Tokenizer.from_file(path).get_added_tokens_decoder().values())
+
+
+def pieces(text: Column, added: Sequence[str] = ()) -> Column:
+    """The pre-tokens of a text; tokens never cross them. A text that isn't plain, or holds the
+    string of an added token, is one piece."""
+    cuts = text.rlike(PLAIN)
+    for token in added:
+        cuts = cuts & ~F.contains(text, F.lit(token))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(cuts, F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))).otherwise(F.array(text))
 
 
 class Encoder:
@@ -60,11 +72,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # a token of a byte-level vocabulary has a character for each of its bytes
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        # an added token of letters and spaces may arise where words are laid end to end
+        self.joins = not any(x.content.replace(" ", "").isalpha() for x in self.tokenizer.get_added_tokens_decoder().values())
         self.clear()
 
     def clear(self) -> None:
@@ -79,8 +92,8 @@ class Encoder:
         if new:
             # words of a space and letters stay whole when they are laid end to end, so that hundreds
             # are encoded as one text; their tokens are told apart by bytes
-            plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
-            other = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
+            plain = [w for w in new if self.joins and w[0] == " " and w[1:].isalpha()]
+            other = [w for w in new if not (self.joins and w[0] == " " and w[1:].isalpha())]
             joined = self.tokenizer.encode_batch_fast(["".join(plain[i : i + 256]) for i in range(0, len(plain), 256)], add_special_tokens=False)
             single = [x.ids for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
             ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x.ids, np.int64) for x in joined)])
@@ -116,6 +129,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     The texts are dealt by ranges of doc_id before they are encoded; each task counts its own ids.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    added = added_tokens(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:  # kept while the worker lives
@@ -129,7 +143,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
             seq, before = seq + rows, before + int(n.sum())
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
-    return ordered.select("doc_id", pieces(F.col("text")).alias("pieces")).mapInArrow(run, f"part int, seq long, before long, doc_id {kind}, n long, ids binary")
+    return ordered.select("doc_id", pieces(F.col("text"), added).alias("pieces")).mapInArrow(run, f"part int, seq long, before long, doc_id {kind}, n long, ids binary")
 
 
 def encode_numbers(x: np.ndarray) -> bytes:
