@@ -567,6 +567,18 @@ def shingles_exact_jaccard(spark, d):
     return graph.similar_texts(docs).withColumn("jaccard", F.round("jaccard", 6))
 
 
+_PAIRS = ORACLES["shingles_exact_jaccard"].removeprefix("WITH ")
+
+
+@query(f"""WITH {_PAIRS} UNION ALL SELECT f.id, d.doc_id, 1.0 FROM documents d JOIN (SELECT min(doc_id) AS id, text FROM documents GROUP BY text) f ON f.text = d.text WHERE d.doc_id <> f.id""")
+def shingles_exact_jaccard_all(spark, d):
+    """As ``shingles_exact_jaccard``, and each copy of a text linked to the first document that has it."""
+    docs = M.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    first = docs.groupBy("key").agg(F.min("doc_id").alias("src"))
+    copies = docs.join(first, "key").where("doc_id <> src").select("src", F.col("doc_id").alias("dst"), F.lit(1.0).alias("jaccard"))
+    return shingles_exact_jaccard(spark, d).unionByName(copies)
+
+
 @query()
 def minhash_near_dup(spark, d):
     return graph.near_duplicates(M.read(spark, d, "documents"))

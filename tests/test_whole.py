@@ -63,3 +63,11 @@ def test_references_inside_long_texts(spark, folder):
     assert {ref for _, ref in expected} <= nodes
     metadata = {r["doc_id"]: (r["own"], r["issuer"]) for r in catalog.QUERIES["metadata_all"](spark, d).collect()}
     assert metadata == {7: ("DIN EN ISO 9007", "DIN"), 8: ("ÖNORM B 1008-1", "Austrian Standards"), 14: ("DIN 4108-2", "DIN"), 21: ("DIN EN ISO 9001", "DIN")}
+
+
+def test_exact_copies_are_linked(spark, folder):
+    a, b = "the quick brown fox jumps over the lazy dog again", " ".join(f"w{i}" for i in range(300))
+    texts = [a, a, b, "", b.replace("w150", "zz"), a, b, "", None, None]
+    d = folder("documents", list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["src"], r["dst"]): r["jaccard"] for r in catalog.QUERIES["shingles_exact_jaccard_all"](spark, d).collect()}
+    assert found == {(0, 1): 1.0, (0, 5): 1.0, (2, 6): 1.0, (3, 7): 1.0, (2, 4): pytest.approx(291 / 301, abs=1e-6)}
