@@ -645,6 +645,47 @@ def louvain_partition(spark, d):
     return graph.communities(nodes, edges)
 
 
+def _members(spark, d):
+    """Nodes, edges and communities of the graph of all documents."""
+    nodes, edges = (graph.checkpointed(x) for x in _layer(spark, d))
+    return nodes, edges, graph.checkpointed(graph.communities(nodes, edges))
+
+
+@query()
+def louvain_documents(spark, d):
+    return _members(spark, d)[2]
+
+
+@query()
+def pagerank_documents(spark, d):
+    return graph.pagerank(*_layer(spark, d))
+
+
+@query()
+def ppr_documents(spark, d):
+    """Walks from the documents of the first layer whose id is one more than a multiple of 100."""
+    nodes, edges = _layer(spark, d)
+    return graph.personalised(nodes, edges, nodes.where("node_type = 'document' and doc_id % 100 = 1").select("node_key"))
+
+
+@query()
+def participation_documents(spark, d):
+    _, edges, members = _members(spark, d)
+    return graph.participation(members, edges)
+
+
+@query()
+def conductance_documents(spark, d):
+    _, edges, members = _members(spark, d)
+    return graph.conductance(members, edges)
+
+
+@query()
+def communities_documents(spark, d):
+    nodes, edges, members = _members(spark, d)
+    return graph.describe_communities(members, graph.pagerank(nodes, edges))
+
+
 @query("SELECT src_key, tgt_key, relation FROM edges e JOIN ok ON src_key = 'document:' || doc_id WHERE relation IN ('has_tag', 'references') AND (starts_with(tgt_key, 'tag:') OR starts_with(tgt_key, 'legal:')) AND " + _USER_SQL, M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
 def graph_view_acl(spark, d):
     nodes, edges = _layer(spark, d)

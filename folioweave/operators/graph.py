@@ -254,28 +254,71 @@ def describe_communities(members: DataFrame, ranks: DataFrame) -> DataFrame:
     return joined.groupBy("community_id").agg(F.count("*").alias("size"), F.max_by(F.expr("substring(node_key, instr(node_key, ':') + 1)"), F.struct("pagerank", "node_key")).alias("label"), F.sha1(F.array_join(F.array_sort(F.collect_set("node_key")), "\x1f")).alias("member_fingerprint"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """node_key, community_id: modularity is climbed by local moves, all nodes of a half at a time.
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_key, community_id: modularity is climbed by local moves, then communities become nodes.
 
-    In a round every node of the half that a hash picks moves to the neighbouring community with the
-    best gain; taking halves keeps neighbours from swapping for ever. Isolated nodes stay alone.
+    Levels follow until none moves a node. Isolated nodes stay alone.
     """
     links = checkpointed(undirected(edges))
-    degree = checkpointed(links.groupBy("node").agg(F.sum("w").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
-    at = checkpointed(degree.select("node", "k", F.col("node").alias("c")))
-    for turn in range(rounds):
+    own = checkpointed(links.groupBy("node").agg(F.sum("w").alias("k")))
+    total = own.agg(F.sum("k")).first()[0] or 1.0
+    members = own.select(F.col("node").alias("node_key"), "node")
+    while True:
+        at, moved = _local_moves(links, own, total)
+        if not moved:
+            break
+        members = checkpointed(members.join(at.select("node", "c"), "node").select("node_key", F.col("c").alias("node")))
+        own = checkpointed(at.groupBy("c").agg(F.sum("k").alias("k")).withColumnRenamed("c", "node"))
+        ends = links.join(at.select("node", F.col("c").alias("a")), "node").join(at.select(F.col("node").alias("other"), F.col("c").alias("b")), "other")
+        links = checkpointed(ends.where("a <> b").groupBy(F.col("a").alias("node"), F.col("b").alias("other")).agg(F.sum("w").alias("w")))
+    named = members.groupBy("node").agg(F.min("node_key").alias("community_id"))
+    placed = members.join(named, "node").select("node_key", "community_id")
+    return nodes.select("node_key").distinct().join(placed, "node_key", "left").select("node_key", F.coalesce("community_id", "node_key").alias("community_id"))
+
+
+def _local_moves(links: DataFrame, own: DataFrame, total: float) -> tuple[DataFrame, bool]:
+    """(node, k, c; whether any moved) once no node gains by a move to a neighbouring community.
+
+    In a round every node of the half that a hash picks moves to its best community. A round that
+    doesn't raise modularity is replaced by the moves that are best for both communities they touch:
+    their gains add up, and one at least is there, so that the rounds end.
+    """
+    at, turn, moved = checkpointed(own.select("node", "k", F.col("node").alias("c"))), 0, False
+    score, careful = _within(links, at, total), False
+    while True:
         volume = at.groupBy("c").agg(F.sum("k").alias("volume"))
-        moving = at.where(F.pmod(F.xxhash64("node", F.lit(SEED + turn)), F.lit(2)) == 0).select("node", "k", F.col("c").alias("own"))
+        moving = at.select("node", "k", F.col("c").alias("own"))
         to = links.join(moving, "node").join(at.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "k", "own", "c").agg(F.sum("w").alias("w"))
         stay = moving.select("node", "k", "own", F.col("own").alias("c"), F.lit(0.0).alias("w"))
         options = to.unionByName(stay).groupBy("node", "k", "own", "c").agg(F.sum("w").alias("w")).join(volume, "c")
-        gain = F.col("w") - F.col("k") * (F.col("volume") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-        best = options.groupBy("node").agg(F.max_by("c", F.struct(F.round(gain, 9), (F.col("c") == F.col("own")).alias("same"), "c")).alias("best"))
-        at = checkpointed(at.join(best, "node", "left").select("node", "k", F.coalesce("best", "c").alias("c")))
-    named = at.groupBy("c").agg(F.min("node").alias("community_id"))
-    placed = at.join(named, "c").select(F.col("node").alias("node_key"), "community_id")
-    return nodes.select("node_key").distinct().join(placed, "node_key", "left").select("node_key", F.coalesce("community_id", "node_key").alias("community_id"))
+        same = F.col("c") == F.col("own")
+        gain = F.round((F.col("w") - F.col("k") * (F.col("volume") - F.when(same, F.col("k")).otherwise(0.0)) / total) / total, 12)
+        best = options.groupBy("node", "own").agg(F.max(F.struct(gain.alias("gain"), same.alias("same"), F.col("c").alias("c"))).alias("to"), F.max(F.when(same, gain)).alias("now"))
+        wanted = checkpointed(best.select("node", "own", F.col("to.c").alias("c"), (F.col("to.gain") - F.col("now")).alias("gain")).where("c <> own and gain > 1e-11"))
+        if wanted.isEmpty():
+            return at, moved
+        if careful:
+            rank = F.struct("gain", "node")
+            first = wanted.select(F.explode(F.array("own", "c")).alias("x"), rank.alias("rank")).groupBy("x").agg(F.max("rank").alias("rank"))
+            chosen = wanted.withColumn("rank", rank).join(first.select(F.col("x").alias("own"), "rank"), ["own", "rank"]).join(first.select(F.col("x").alias("c"), "rank"), ["c", "rank"])
+        else:
+            chosen = wanted.where(F.pmod(F.xxhash64("node", F.lit(SEED + turn)), F.lit(2)) == 0)
+        tried = checkpointed(at.join(chosen.select("node", F.col("c").alias("to")), "node", "left").select("node", "k", F.coalesce("to", "c").alias("c")))
+        after = _within(links, tried, total)
+        # moves that are best for both of their communities rise by their gains, whatever the sums' last digits
+        if careful or after > score + 1e-12:
+            at, score, moved, careful = tried, after, True, False
+        else:
+            careful = True
+        turn += 1
+
+
+def _within(links: DataFrame, at: DataFrame, total: float) -> float:
+    """Modularity of a level but for the weight within its nodes, which no move changes."""
+    ends = links.join(at.select("node", F.col("c").alias("a")), "node").join(at.select(F.col("node").alias("other"), F.col("c").alias("b")), "other")
+    inner = ends.where("a = b").agg(F.sum("w")).first()[0] or 0.0
+    square = at.groupBy("c").agg((F.sum("k") / total).alias("v")).agg(F.sum(F.col("v") ** 2)).first()[0] or 0.0
+    return inner / total - square
 
 
 def modularity(members: DataFrame, edges: DataFrame) -> float:

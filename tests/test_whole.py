@@ -6,6 +6,7 @@ import pytest
 
 from folioweave import catalog
 from folioweave.functions import text as T
+from folioweave.operators import graph
 
 
 @pytest.fixture
@@ -71,3 +72,26 @@ def test_exact_copies_are_linked(spark, folder):
     d = folder("documents", list(enumerate(texts)), "doc_id long, text string")
     found = {(r["src"], r["dst"]): r["jaccard"] for r in catalog.QUERIES["shingles_exact_jaccard_all"](spark, d).collect()}
     assert found == {(0, 1): 1.0, (0, 5): 1.0, (2, 6): 1.0, (3, 7): 1.0, (2, 4): pytest.approx(291 / 301, abs=1e-6)}
+
+
+def test_communities_settle_and_contract(spark):
+    n = 8  # a ring of triangles
+    pairs = [(f"n{3 * i + a}", f"n{3 * i + b}", 1.0) for i in range(n) for a, b in ((0, 1), (0, 2), (1, 2))] + [(f"n{3 * i + 2}", f"n{3 * ((i + 1) % n)}", 1.0) for i in range(n)]
+    edges = spark.createDataFrame(pairs, "src_key string, tgt_key string, w_eff double")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(3 * n)], "node_key string")
+    found = graph.communities(nodes, edges).cache()
+    by = {r["node_key"]: r["community_id"] for r in found.collect()}
+    assert len(by) == 3 * n and all(len({by[f"n{3 * i + a}"] for a in range(3)}) == 1 for i in range(n))
+    total = 2.0 * len(pairs)
+
+    def quality(of):
+        volume, inner = {}, 0.0
+        for a, b, w in pairs:
+            volume[of[a]], inner = volume.get(of[a], 0.0) + w, inner + 2 * w * (of[a] == of[b])
+            volume[of[b]] = volume.get(of[b], 0.0) + w
+        return inner / total - sum((v / total) ** 2 for v in volume.values())
+
+    q, groups = quality(by), set(by.values())
+    assert q == pytest.approx(graph.modularity(found, edges))
+    # no two communities gain by becoming one: the levels have ended
+    assert all(quality({k: x if v == y else v for k, v in by.items()}) <= q + 1e-9 for x in groups for y in groups if x < y)
