@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set, as in tests, a temporary one."""
+    """The cluster's checkpoint folder; in local mode, as in tests, a temporary one where none is set."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioweave-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="folioweave-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
@@ -29,15 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_table(df: DataFrame) -> DataFrame:
-    """Wide rows written as compressed Parquet in the shared folder and read back.
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
-    The folder goes when the application ends.
-    """
+
+def scratch_table(df: DataFrame) -> DataFrame:
+    """Wide rows written as compressed Parquet in the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +56,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, or one made of it, that no column has in any case."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def text_key(text):
     """16 bytes that stand for a text; a null text counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

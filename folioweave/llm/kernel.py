@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 512 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -73,15 +73,32 @@ def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray = NOT_SPACE) -
     return starts, ends, np.searchsorted(offsets[:-1], starts, side="right") - 1
 
 
-def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial modulo 2**64 and the inverse powers that align its differences."""
-    powers = np.full(len(data) + 1, _BASE, np.uint64)
-    inverse = np.full(len(data) + 1, _BASE_INVERSE, np.uint64)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    powers, inverse = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _BASE_INVERSE, np.uint64)
     powers[0] = inverse[0] = 1
     np.multiply.accumulate(powers, out=powers)
     np.multiply.accumulate(inverse, out=inverse)
+    return powers, inverse
+
+
+_KEPT: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base up to n and their inverses; those that a slice needs are kept."""
+    if n > 2 * SLICE_BYTES:
+        return _powers(n)
+    if not _KEPT:
+        _KEPT.append(_powers(2 * SLICE_BYTES))
+    return _KEPT[0]
+
+
+def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial modulo 2**64 and the inverse powers that align its differences."""
+    power, inverse = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+    np.multiply(data.astype(np.uint64) + np.uint64(1), power[: len(data)], out=sums[1:])
+    np.cumsum(sums, out=sums)
     return sums, inverse
 
 
