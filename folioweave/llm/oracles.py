@@ -9,12 +9,13 @@ _WORDS = rf"regexp_extract_all({_FOLDED}, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+')"
 
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT row_number() OVER () AS iid, item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
-ds AS (SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-bs AS (SELECT DISTINCT iid, item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT iid, item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+b AS (SELECT row_number() OVER () AS iid, item_id, {_WORDS} AS w, least(5, len({_WORDS})) AS k FROM benchmark WHERE text IS NOT NULL),
+ks AS (SELECT DISTINCT k FROM b WHERE k > 0),
+ds AS (SELECT DISTINCT rid, doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT rid, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks)),
+bs AS (SELECT DISTINCT iid, item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT iid, item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b WHERE k > 0)),
 n AS (SELECT iid, count(*) AS n FROM bs GROUP BY iid)
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*)::DOUBLE / n AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (iid)
+FROM ds JOIN bs USING (k, s) JOIN n USING (iid)
 GROUP BY rid, doc_id, iid, item_id, n
 HAVING count(*) >= 0.8 * n - 1e-9
 """

@@ -111,7 +111,7 @@ def alnum(text):
     return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", folded)
 
 
-def test_decontamination_against_counting(spark, odd_docs, no_docs):
+def test_decontamination_against_counting(spark, odd_docs, no_docs, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -122,17 +122,22 @@ def test_decontamination_against_counting(spark, odd_docs, no_docs):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(len(w))] = "zzz"
         own.append((1000 + k, " ".join(w)))
-    own += [(2000, None), (2001, ""), (2002, "one two three")]
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [alnum(t)] for i in range(len(w) - 4)}
-    held = {i: grams(t) for i, t in own}
+    own += [(2000, None), (2001, ""), (2002, "one two three"), (2003, " ".join(alnum(texts[3][1])[4:7])), (2004, texts[4][1].split()[9] + "!"), (2005, " ".join(alnum(texts[5][1])[:4]))]
+    grams = lambda t, k: {tuple(w[i : i + k]) for w in [alnum(t)] for i in range(len(w) - k + 1)}
+    width = {i: min(5, len(alnum(t))) for i, t in own}
+    held = {i: grams(t, width[i]) for i, t in own if width[i]}
     expected = set()
     for d, t in texts:
-        g = grams(t)
-        expected |= {(d, i, len(h), len(h & g)) for i, h in held.items() if h and len(h & g) >= 0.8 * len(h) - 1e-9}
+        g = {k: grams(t, k) for k in range(1, 6)}
+        expected |= {(d, i, len(h), len(h & g[width[i]])) for i, h in held.items() if len(h & g[width[i]]) >= 0.8 * len(h) - 1e-9}
+    assert {2003, 2004, 2005} <= {e[1] for e in expected}
     found = decontam.contained(docs, spark.createDataFrame(own, "item_id long, text string"))
     assert {(r[0], r[1], r[2], r[3]) for r in found.collect()} == expected and len(expected) > 30
     clean = decontam.drop_contaminated(docs, spark.createDataFrame(own, "item_id long, text string"))
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in texts} - {e[0] for e in expected}
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    found = decontam.contained(docs, spark.createDataFrame(own, "item_id long, text string"))
+    assert {(r[0], r[1], r[2], r[3]) for r in found.collect()} == expected
     assert decontam.contained(no_docs, items).count() == 0 and decontam.drop_contaminated(odd_docs, items).count() == odd_docs.count()
     assert decontam.contained(odd_docs, items.limit(0)).count() == 0
 
