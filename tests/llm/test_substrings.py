@@ -4,8 +4,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from folioweave.llm import substrings
 from tests.llm.test_filters import no_docs, odd_docs  # noqa: F401
@@ -58,19 +58,33 @@ def test_against_all_windows(spark, odd_docs, no_docs):  # noqa: F811
     assert substrings.remove_repeats(no_docs).count() == 0
 
 
-def test_large_groups_go_by_window(spark):
-    """The two ways of deciding agree."""
+def test_large_groups_are_dealt_again(spark, monkeypatch):
+    """Groups of more than ``GROUP`` contexts, and parts of more, give what all windows give."""
     rng = random.Random(6)
-    docs = spark.createDataFrame(list(enumerate(planted(rng))), "doc_id long, text string").selectExpr("unhex(md5(text)) as key", "text")
-    maps = [substrings.bit_map(substrings._anchor_hashes(docs), c) for c in ("gram", "gram")]
-    rows = substrings._repeated_anchors(docs, *maps).groupBy("gram", "context").agg(F.count("*").alias("copies"), F.first("at").alias("at"), F.first("n").alias("n"), F.max("bytes").alias("bytes"))
-    rows = substrings.cut(rows)
-    by_sort = {(r["gram"], r["context"]): r["runs"] for r in substrings._decide(rows).collect()}
-    by_window = {(r["gram"], r["context"]): r["runs"] for r in substrings._by_window(rows).collect()}
-    copies = {(r["gram"], r["context"]) for r in rows.where("copies > 1").collect()}
-    spread = lambda runs: {w for a, b in zip(runs[::2], runs[1::2], strict=True) for w in range(a, b)}
-    assert {k: spread(v) for k, v in by_sort.items() if k not in copies} == {k: spread(v) for k, v in by_window.items() if k not in copies}
-    assert len(by_window) > 100
+    line = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    common, short = line(420), line(380)
+    texts = planted(rng) + [line(500) + common + line(500) for _ in range(30)] + [line(500) + short + line(500) for _ in range(30)] + [line(9) + short + line(30) for _ in range(9)]
+    texts += [common[:200] + line(3) + short + x + "tail" * 9 for x in ("a", "b") for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (2, 12):
+        monkeypatch.setattr(substrings, "GROUP", group)
+        check(spark, docs)
+
+
+def test_texts_longer_than_a_slice(spark, monkeypatch):
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("abcdefghij klmnopé") for _ in range(n))
+    shared = [line(n) for n in (400, 900, 5000)]
+    long = "".join(line(rng.randint(0, 3000)) + rng.choice(shared) for _ in range(60))
+    column = pa.array([long, "short", None, long[5:], line(3000) + shared[1]])
+    monkeypatch.setattr(substrings.kernel, "SLICE_BYTES", 7000)
+    windows = Counter()
+    for row, data, offsets, at in substrings.chunks(column):
+        r, first, last, anchor, gram = substrings.anchors(data, offsets)
+        for a, i, j in zip((row + r).tolist(), (at + first - offsets[r]).tolist(), (at + last - offsets[r]).tolist(), strict=True):
+            windows.update((a, k) for k in range(i, j + 1))
+    sizes = [len((x or "").encode()) for x in column.to_pylist()]
+    assert windows == Counter((i, k) for i, n in enumerate(sizes) for k in range(n - LENGTH + 1))
 
 
 def test_suffix_sort_against_sorted():
@@ -79,7 +93,7 @@ def test_suffix_sort_against_sorted():
     starts = np.sort(rng.integers(0, 2900, 400))
     ends = np.minimum(starts + rng.integers(1, 300, 400), 3000)
     group = np.sort(rng.integers(0, 9, 400))
-    order, shared = substrings.suffix_sort(text, starts, ends, group)
+    order, shared = substrings.suffix_sort(text, substrings.Prefixes(text), starts, ends, group)
     suffix = [text[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
     assert [(group[i], suffix[i]) for i in order] == sorted((g, s) for g, s in zip(group, suffix, strict=True))
     for k in range(1, 400):
@@ -88,8 +102,35 @@ def test_suffix_sort_against_sorted():
         assert shared[k] == (same if group[order[k]] == group[order[k - 1]] else 0)
 
 
-def test_collisions_are_seen():
+def test_prefix_hashes_against_integers():
+    rng = np.random.default_rng(5)
+    data, prime = rng.integers(0, 256, 700).astype(np.uint8), (1 << 61) - 1
+    for base in substrings.BASES:
+        hashes = substrings.Prefixes(data, base)
+        for a, b in rng.integers(0, 700, (40, 2)).tolist():
+            a, b = min(a, b), max(a, b)
+            plain = sum((int(c) + 1) * pow(base, i, prime) for i, c in enumerate(data[a:b].tolist())) * pow(base, substrings.LONGEST, prime) % prime
+            assert int(hashes.spans(np.array([a]), np.array([b]))[0]) == plain
+
+
+def test_collisions_are_seen(monkeypatch):
     data = np.frombuffer(b"abcabd", np.uint8)
     substrings.verify(data, np.array([0]), np.array([3]), np.array([2]))
-    with pytest.raises(RuntimeError):
+    with pytest.raises(substrings.Collision):
         substrings.verify(data, np.array([0]), np.array([3]), np.array([3]))
+    # a base of zero makes strings of one first byte equal; the next base finds what is right
+    rng = random.Random(1)
+    line = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    content = [line(20) + b"x" * 48 + line(500) for _ in range(6)]
+    content[3] = line(3) + content[1][3:]
+    arguments = content, np.full(6, 20), np.array([len(x) - LENGTH + 1 for x in content]), np.zeros(6, np.int64)
+    right = substrings.repeated_windows(*arguments)
+    assert right.any() and not right.all()
+    tried = []
+    plain = substrings.Prefixes
+    monkeypatch.setattr(substrings, "Prefixes", lambda data, base: tried.append(base) or plain(data, base))
+    monkeypatch.setattr(substrings, "BASES", (0, *substrings.BASES[:1]))
+    assert (substrings.repeated_windows(*arguments) == right).all() and len(tried) == 2
+    monkeypatch.setattr(substrings, "BASES", (0,))
+    with pytest.raises(RuntimeError):
+        substrings.repeated_windows(*arguments)
