@@ -19,7 +19,6 @@ from folioweave.llm import spans
 from folioweave.llm.common import cut, text_key
 from folioweave.llm.spans import Kind
 
-ROUNDS = 3
 SUPPORT = 3
 CONFIDENT = 0.6
 ACCEPT = 0.75
@@ -34,6 +33,8 @@ KINDS = [
     Kind("card", r"[0-9]++(?:[ -][0-9]++)*+", f"length({_DIGITS}) between 14 and 19 and {_LUHN.replace('{d}', _DIGITS)}", "{text} rlike '[0-9]'"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) between 10 and 15", "contains({text}, '+')"),
 ]
+#: Runs of white space between words.
+SEPARATOR = r"[\x20\x09-\x0D]+"
 _MENTION = Kind("context", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+", "true", "{text} rlike '[0-9@]'")
 
 
@@ -46,27 +47,33 @@ def mentions(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, key, text and base.
     """
-    window = 80  # characters of context that are looked at
-    found = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "key", "text", "base", F.explode(spans.find(_MENTION, len(KINDS))).alias("m"))
-    before = F.substring("text", F.greatest(F.lit(1), F.col("m.start") - window + 1), F.least(F.lit(window), F.col("m.start")))
-    after = F.substring("text", F.col("m.end") + 1, F.lit(window))
+    # the words of a text and its mentions come in the same order: a mention is a word with a digit or an at sign
+    words = f"split(text, r'{SEPARATOR}', -1)"
+    beside = f"element_at(transform(array({words}), w -> transform(filter(sequence(1, size(w)), i -> element_at(w, i) rlike '[0-9@]'), i -> named_struct('left', if(i > 1, element_at(w, i - 1), ''), 'right', if(i < size(w), element_at(w, i + 1), '')))), 1)"
+    both = F.arrays_zip(spans.find(_MENTION, len(KINDS)).alias("m"), F.expr(beside).alias("w"))
+    found = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "key", "base", F.explode(both).alias("x"))
+    found = found.select("doc_id", "key", "base", "x.m", "x.w")
     return found.select(
         "doc_id", "key", F.col("m.start").alias("start"), F.col("m.end").alias("end"),
         F.regexp_replace(F.lower("m.value"), r"^[^a-z0-9+(]+|[^a-z0-9)]+$", "").alias("instance"),
-        F.regexp_extract(F.lower(before), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1).alias("left"),
-        F.regexp_extract(F.lower(after), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1).alias("right"),
+        F.lower("w.left").alias("left"), F.lower("w.right").alias("right"),
         F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))).alias("seed"),
     )
 
 
-def scored_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """instance, score of every instance of ``found`` (instance, left, right, seed)."""
+def scored_instances(found: DataFrame) -> DataFrame:
+    """instance, score of every instance of ``found`` (instance, left, right, seed).
+
+    Scores only rise; the turns end when no more instances reach ``ACCEPT``.
+    """
     shape = F.regexp_replace(F.regexp_replace("instance", "[0-9]", "0"), r"\p{L}", "a")
     patterns = F.array(F.concat_ws("\x1f", F.lit("l"), F.nullif("left", F.lit("")), shape), F.concat_ws("\x1f", F.lit("r"), F.nullif("right", F.lit("")), shape))
     edges = found.where("instance <> ''").select(F.explode(patterns).alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = cut(edges)
     scores = cut(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")))
-    for _ in range(rounds):
+    accepted = None
+    while (now := scores.where(F.col("score") >= ACCEPT).count()) != accepted:
+        accepted = now
         rated = edges.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= ACCEPT).alias("positive"))
         confident = rated.where((F.col("confidence") >= CONFIDENT) & (F.col("positive") >= SUPPORT))
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
@@ -79,7 +86,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of start, rank, end, kind, value) of every row of ``docs``.
 
     Null texts count as empty and have none; repeated rows each get all of their spans. An empty
-    table gives no rows.
+    table gives no rows. The words beside a mention count whole, however long or far off.
     """
     own = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("base", base_spans())
     found = cut(mentions(own))

@@ -14,6 +14,8 @@ are allowed if they look like words.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,22 +49,33 @@ ALLOWED = [
 ]
 
 
+#: Characters of candidates, and the signs of 0 to ``WINDOW`` occurrences of one.
+_ALPHABET = string.ascii_letters + string.digits + "+/_=-"
+_COUNTS = string.digits + string.ascii_letters
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def entropy(value: str) -> str:
-    """SQL: the largest entropy of a window of ``WINDOW`` characters in a string at least as long."""
+    """SQL: the largest entropy of a window of ``WINDOW`` characters in a string at least as long.
+
+    A string with a sign for each character of the alphabet carries the window's counts: at each step
+    one sign goes down and one goes up.
+    """
     f = lambda n: f"if({n} > 1, ({n}) * log2({n}), 0D)"
-    count = lambda c, text: f"(length({text}) - length(replace({text}, {c}, '')))"
+    place = lambda c: f"instr('{_ALPHABET}', {c})"
+    count = lambda counts, at: f"instr('{_COUNTS}', substr({counts}, {at}, 1)) - 1"
+    sign = lambda n: f"substr('{_COUNTS}', {n} + 1, 1)"
     # s is the sum of n log2 n over the counts n of the window's characters
-    enter = "substr(v, i, 1)"
-    leave = f"substr(v, i - {WINDOW}, 1)"
-    most = f"(if(i > {WINDOW}, {count(leave, f'substr(v, i - {WINDOW}, {WINDOW})')}, 0))"
-    kept = f"{count(enter, f'substr(v, greatest(1, i - {WINDOW} + 1), least(i, {WINDOW}) - 1)')}"
-    s = f"a.s - ({f(most)} - {f(f'({most} - 1)')}) + {f(f'({kept} + 1)')} - {f(kept)}"
-    fold = (
-        f"aggregate(sequence(1, length(v)), named_struct('s', 0D, 'least', 1e9D), (a, i) -> named_struct('s', {s}, 'least', if(i >= {WINDOW}, least(a.least, {s}), a.least)), "
-        f"a -> log2({WINDOW}) - a.least / {WINDOW})"
-    )
-    step = CHUNK - WINDOW + 1
-    chunks = f"transform(sequence(0, greatest(0, length({value}) - {WINDOW}) div {step}), j -> substr({value}, j * {step} + 1, {CHUNK}))"
+    left = _let("p", place(f"substr(v, i - {WINDOW}, 1)"), _let("n", count("a.counts", "p"), f"named_struct('s', a.s - ({f('n')} - {f('(n - 1)')}), 'counts', overlay(a.counts placing {sign('n - 1')} from p for 1))"))
+    after = f"if(i > {WINDOW}, {left}, named_struct('s', a.s, 'counts', a.counts))"
+    entered = _let("p", place("substr(v, i, 1)"), _let("n", count("b.counts", "p"), f"named_struct('s', b.s + {f('(n + 1)')} - {f('n')}, 'counts', overlay(b.counts placing {sign('n + 1')} from p for 1))"))
+    step = _let("b", after, _let("c", entered, f"named_struct('s', c.s, 'counts', c.counts, 'least', if(i >= {WINDOW}, least(a.least, c.s), a.least))"))
+    fold = f"aggregate(sequence(1, length(v)), named_struct('s', 0D, 'counts', repeat('0', {len(_ALPHABET)}), 'least', 1e9D), (a, i) -> {step}, a -> log2({WINDOW}) - a.least / {WINDOW})"
+    chunk = CHUNK - WINDOW + 1
+    chunks = f"transform(sequence(0, greatest(0, length({value}) - {WINDOW}) div {chunk}), j -> substr({value}, j * {chunk} + 1, {CHUNK}))"
     return f"array_max(transform({chunks}, v -> {fold}))"
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+PART = 512
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -36,10 +37,16 @@ def find(kind: Kind, rank: int, text: str = "text") -> Column:
     end = "a.pos + length(x.p) + length(x.m)"
     span = f"named_struct('start', {start}, 'rank', {rank}, 'end', {end}, 'kind', '{kind.name}', 'value', x.m)"
     valid = kind.valid.replace("{m}", "x.m")
+    # arrays grow by a part of ``PART`` matches at a time, so that a text may have a million of them
+    part = (
+        f"aggregate(slice(pairs, j + 1, {PART}), named_struct('pos', 0, 'out', cast(array() as {SPANS})), "
+        f"(a, x) -> if(x.m is null, a, named_struct('pos', {end}, 'out', if({valid}, concat(a.out, array({span})), a.out))))"
+    )
+    moved = "transform(c.out, s -> named_struct('start', s.start + b.pos, 'rank', s.rank, 'end', s.end + b.pos, 'kind', s.kind, 'value', s.value))"
     fold = (
-        f"aggregate(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, p) -> named_struct('m', m, 'p', p)), "
-        f"named_struct('pos', 0, 'out', cast(array() as {SPANS})), "
-        f"(a, x) -> if(x.m is null, a, named_struct('pos', {end}, 'out', if({valid}, concat(a.out, array({span})), a.out))), a -> a.out)"
+        f"element_at(transform(array(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, p) -> named_struct('m', m, 'p', p))), pairs -> "
+        f"aggregate(transform(sequence(0, size(pairs) - 1, {PART}), j -> {part}), named_struct('pos', 0, 'out', cast(array() as array<{SPANS}>)), "
+        f"(b, c) -> named_struct('pos', b.pos + c.pos, 'out', concat(b.out, array({moved}))), b -> flatten(b.out))), 1)"
     )
     return F.expr(f"if({kind.possible.replace('{text}', text)}, {fold}, cast(array() as {SPANS}))")
 
