@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import WORD, cut
+from folioweave.llm.common import WORD, cut, free_name
 
 WEIGHTS = (5, 2, 1)
 #: Sources whose targets are broadcast, at most; beyond that they are joined by source.
@@ -101,13 +101,16 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[float, ...
 
 def draw(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, columns as they are."""
-    times = mix(docs, **settings).groupBy("doc_id", "source", "text_key").agg(F.sum("epochs").cast("int").alias("__mix_epochs"), F.count("*").alias("__mix_copies"))
-    times = times.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("text_key").alias("__mix_key"), "__mix_epochs", "__mix_copies")
+    name = {x: free_name(docs.columns, f"mix_{x}") for x in ("id", "source", "key", "epochs", "copies", "nth", "takes")}
+    times = mix(docs, **settings).groupBy("doc_id", "source", "text_key").agg(F.sum("epochs").cast("int").alias("epochs"), F.count("*").alias("copies"))
+    times = times.select(*[F.col(c).alias(name[x]) for x, c in (("id", "doc_id"), ("source", "source"), ("key", "text_key"), ("epochs", "epochs"), ("copies", "copies"))])
     key = F.md5(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__mix_id"]) & docs["source"].eqNullSafe(times["__mix_source"]) & (key == times["__mix_key"]))
-    # rows that repeat as a whole share their takes: the first of them get one more
-    nth = F.row_number().over(W.partitionBy("__mix_id", "__mix_source", "__mix_key").orderBy(F.lit(0)))
-    single = joined.where("__mix_copies = 1").withColumn("__mix_takes", F.col("__mix_epochs"))
-    many = joined.where("__mix_copies > 1").withColumn("__mix_nth", nth).withColumn("__mix_takes", (F.floor(F.col("__mix_epochs") / F.col("__mix_copies")) + (F.col("__mix_nth") <= F.col("__mix_epochs") % F.col("__mix_copies")).cast("int")).cast("int")).drop("__mix_nth")
-    taken = single.unionByName(many).where("__mix_takes > 0")
-    return taken.withColumn("__mix_take", F.explode(F.array_repeat(F.lit(1), F.col("__mix_takes")))).select(*docs.columns)
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times[name["id"]]) & docs["source"].eqNullSafe(times[name["source"]]) & (key == times[name["key"]]))
+    epochs, copies = F.col(name["epochs"]), F.col(name["copies"])
+    # rows with equal id, source and text share their takes: the first of them, in order of their JSON, get one more
+    nth = F.row_number().over(W.partitionBy(name["id"], name["source"], name["key"]).orderBy(F.to_json(F.struct(*[docs[c] for c in docs.columns]))))
+    single = joined.where(copies == 1).withColumn(name["takes"], epochs)
+    many = joined.where(copies > 1).withColumn(name["nth"], nth)
+    many = many.withColumn(name["takes"], (F.floor(epochs / copies) + (F.col(name["nth"]) <= epochs % copies).cast("int")).cast("int")).drop(name["nth"])
+    taken = single.unionByName(many).where(F.col(name["takes"]) > 0)
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(name["takes"]))).alias(name["nth"])).select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.llm import kernel
-from folioweave.llm.common import cut, text_key
+from folioweave.llm.common import cut, free_name, text_key
 
 RADIUS = 3
 TABLES = (1 << (RADIUS + 1)) - 1
@@ -173,17 +173,14 @@ def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(src) if src else empty), (np.concatenate(dst) if dst else empty)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of its component, for every node of ``src, dst``.
 
     Large stars hang a node's larger neighbours on its least one, small stars the others; both keep
     components and the edges shrink to stars. Ends when a round changes nothing.
     """
     now, before = cut(edges.select("src", "dst").where("src <> dst").distinct()), None
-    for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
+    while (state := now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()) != before:
         before = state
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("least")).select("src", F.least("src", "least").alias("least"))
@@ -193,8 +190,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         low = down.groupBy("src").agg(F.min("dst").alias("least"))
         small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst")
         now = cut(small.unionByName(low.select("src", F.col("least").alias("dst"))).distinct())
-    else:
-        raise RuntimeError("components did not settle")
     return now.groupBy("src").agg(F.min("dst").alias("root")).select(F.col("src").alias("node"), "root")
 
 
@@ -223,13 +218,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component, columns as they are: the one with the smallest doc_id (null last);
-    of several such rows with different texts the one with the smallest text key."""
+    of several such rows with different texts the one with the smallest text key, of several with
+    equal texts the one that is smallest as JSON."""
     own, classes = _classes(docs)
     rows = own.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n")).join(classes, "fp")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "n")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__kept_id"), F.col("best.key").alias("__kept_key"), F.col("best.n").alias("__kept_n"))
-    key = text_key(F.col("text"))
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["__kept_id"]) & (key == best["__kept_key"]))
-    # only rows that repeat as a whole need to be dealt again
-    once, more = kept.where("__kept_n = 1"), kept.where("__kept_n > 1").dropDuplicates(["__kept_id", "__kept_key"])
-    return once.unionByName(more).select(*docs.columns)
+    kept_id, kept_key, kept_n = (free_name(docs.columns, f"kept_{x}") for x in ("id", "key", "n"))
+    best = best.select(F.col("best.doc_id").alias(kept_id), F.col("best.key").alias(kept_key), F.col("best.n").alias(kept_n))
+    key = text_key(docs["text"])
+    kept = docs.join(best, docs["doc_id"].eqNullSafe(best[kept_id]) & (key == best[kept_key]))
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    more = kept.where(F.col(kept_n) > 1).groupBy(kept_id, kept_key).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return kept.where(F.col(kept_n) == 1).select(*docs.columns).unionByName(more)

@@ -2,7 +2,7 @@
 
 A text is the set of its lower-case words (runs of letters and digits), word pairs and pairs with
 one word skipped, each hashed into one of 2**20 slots with the value 1 + ln(occurrences), the whole
-scaled to a fixed length. Every slot has its own learning rate and an L1 penalty keeps most weights
+scaled to a fixed length; more than ``MOST_TIMES`` occurrences count as that many. Every slot has its own learning rate and an L1 penalty keeps most weights
 at zero, so that the model is a list of at most ``MAX_WEIGHTS`` pairs that can be broadcast.
 
 Null and empty texts have no features and get the model's base rate. Repeated rows are scored each.
@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.llm import kernel
+from folioweave.llm.common import free_name
 
 SLOTS_BITS = 20
-#: Labelled rows that the model is fitted on, at most.
+#: Labelled rows that the model is fitted on, and features of all of them, at most: the fit holds four
+#: bytes for each feature. Rows come in order of a hash of the id; the first that doesn't fit ends them.
 TRAIN_ROWS = 20_000
+TRAIN_FEATURES = 24_000_000
+MOST_TIMES = 4095
 #: Pairs of slot and weight that are broadcast, at most: one for each slot and the intercept.
 MAX_WEIGHTS = (1 << SLOTS_BITS) + 1
 THRESHOLD = 0.7
@@ -57,10 +61,13 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 
 
+_VALUES = np.append(0.0, 1.0 + np.log(np.arange(1, MOST_TIMES + 1)))
+
+
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: first row, end row, then row, slot and value of every feature, by row."""
+    """For each slice: first row, end row, then row, slot and occurrences of every feature, by row."""
     shift = np.uint64(64 - SLOTS_BITS)
-    for lo, hi, data, offsets in kernel.slices(column, 1 << 20):
+    for lo, hi, data, offsets in kernel.slices(column):
         words, row = kernel.word_hashes(data, offsets, kernel.ALNUM)
         grams, rows = [words], [row]
         for gap in (1, 2):
@@ -69,38 +76,49 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
             rows.append(row[:-gap][same])
         keys = (np.concatenate(rows) << SLOTS_BITS) | (np.concatenate(grams) >> shift).astype(np.int64)
         keys, count = np.unique(keys, return_counts=True)
-        row, slot = keys >> SLOTS_BITS, keys & ((1 << SLOTS_BITS) - 1)
-        value = 1.0 + np.log(count)
-        length = np.sqrt(np.bincount(row, value**2, hi - lo))
-        yield lo, hi, row, slot, value * NORM / np.maximum(length, 1e-9)[row]
+        yield lo, hi, keys >> SLOTS_BITS, keys & ((1 << SLOTS_BITS) - 1), np.minimum(count, MOST_TIMES)
+
+
+def values(row: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
+    """The value of each feature: its row's have a fixed length."""
+    value = _VALUES[count]
+    length = np.sqrt(np.bincount(row, value**2, rows))
+    return value * NORM / np.maximum(length, 1e-9)[row]
 
 
 def fit(sample: DataFrame, epochs: int = 4) -> list[tuple[int, float]]:
-    """Slots and weights other than zero, learnt in one task from at most ``TRAIN_ROWS`` rows of
-    ``order, text, label``."""
+    """Slots and weights other than zero, learnt in one task from rows of
+    ``doc_id, order, text, label``, ``TRAIN_ROWS`` at most."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, np.ndarray, np.ndarray, int]] = []
+        rows: list[tuple[np.ndarray, int]] = []  # slots and occurrences in one number each
+        held, open_ = 0, True
         for batch in batches:
-            order, label = batch.column("order").to_numpy(), batch.column("label").to_numpy()
-            for lo, hi, row, slot, value in features(batch.column("text")):
+            label = batch.column("label").to_numpy()
+            for lo, hi, row, slot, count in features(batch.column("text")) if open_ else ():
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
-                rows += [(order[lo + i], np.append(slot[a:b], MAX_WEIGHTS - 1).astype(np.int32), np.append(value[a:b], 1.0).astype(np.float32), label[lo + i]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-        rows.sort(key=lambda x: x[0])
+                packed = (slot.astype(np.uint32) << np.uint32(12)) | count.astype(np.uint32)
+                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    open_ = open_ and held + b - a <= TRAIN_FEATURES
+                    if open_:
+                        rows.append((packed[a:b].copy(), int(label[lo + i])))
+                        held += b - a
         model = Ftrl()
         for epoch in range(epochs):
             for i in np.random.default_rng(epoch).permutation(len(rows)):
-                model.learn(rows[i][1], rows[i][2], rows[i][3])
+                packed, y = rows[i]
+                value = values(np.zeros(len(packed), np.int64), packed & np.uint32(MOST_TIMES), 1)
+                model.learn(np.append(packed >> np.uint32(12), MAX_WEIGHTS - 1).astype(np.int64), np.append(value, 1.0), y)
         weights = model.weights()
         slots = np.flatnonzero(weights)
         yield pa.record_batch({"slot": pa.array(slots, pa.int32()), "weight": pa.array(weights[slots], pa.float64())})
 
-    found = sample.select("order", "text", "label").coalesce(1).mapInArrow(learn, "slot int, weight double").toPandas()
+    found = sample.coalesce(1).sortWithinPartitions("order", "doc_id").select("text", "label").mapInArrow(learn, "slot int, weight double").toPandas()
     return list(zip(found["slot"].tolist(), found["weight"].tolist(), strict=True))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` documents with a label, chosen by a hash of the id, as ``order, text, label``.
+    """At most ``rows`` documents with a label, chosen by a hash of the id, as ``doc_id, order, text, label``.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and label. The ids are chosen from the narrow
     table of labels first, so that only chosen texts move.
@@ -128,8 +146,8 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], text: str = "text",
             dense[slot] = weight
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for lo, hi, row, slot, value in features(batch.column(batch.schema.names.index(text))):
-                out[lo:hi] = sigmoid(np.bincount(row, dense[slot] * value, hi - lo) + dense[-1])
+            for lo, hi, row, slot, count in features(batch.column(batch.schema.names.index(text))):
+                out[lo:hi] = sigmoid(np.bincount(row, dense[slot] * values(row, count, hi - lo), hi - lo) + dense[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
@@ -152,5 +170,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` whose score stays below the threshold, columns as they are."""
     known = labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out(F.col("doc_id")))
     weights = fit(training_sample(docs.select("doc_id", "text"), known))
-    name = next(x for x in ("score", "toxic_score", "folioweave_toxic_score") if x not in docs.columns)
+    name = free_name(docs.columns, "score")
     return score(docs, weights, name=name).where(F.col(name) < threshold).drop(name)
