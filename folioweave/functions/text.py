@@ -16,6 +16,8 @@ LEGAL = r"(?iU)(?:§§?\s*\d+[a-z]?|\bArt(?:ikel|\.)?\s*\d+[a-z]?)"
 EDITION_WORDS = "(?:Ausgabe|Edition|Fassung|Ed\\.?)"
 HEAD_DATE = r"\b((?:19|20)\d{2})-(\d{2})-(\d{2})\b"
 HEAD_EDITION = r"(?iU)(?:Ausgabe|Ausgabedatum|Edition|Fassung|Stand|gültig\s+ab)\b[^\d]{0,12}((?:19|20)\d{2})"
+HYPHENATED, SOFT_END = "-\n(?=[a-zäöüA-ZÄÖÜ])", "(?<!\n)\n(?!\n)(?=[a-zäöü(])"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])"
 ISSUERS = {"önorm": "Austrian Standards", "oenorm": "Austrian Standards", "onorm": "Austrian Standards", "oib": "OIB", "din": "DIN", "en": "CEN", "iso": "ISO", "iec": "IEC"}
 FAMILIES = {"önorm": "önorm", "oenorm": "önorm", "onorm": "önorm", "din": "din", "en": "en", "iso": "iso", "iec": "iec"}
 DOC_TYPES = [
@@ -217,23 +219,27 @@ def token_estimate(text: Column) -> Column:
 
 def repair_layout(text: Column) -> Column:
     """Hyphens at line ends joined, soft line ends and runs of spaces made one space."""
-    text = F.regexp_replace(text, "-\n(?=[a-zäöüA-ZÄÖÜ])", "")
-    text = F.regexp_replace(text, "(?<!\n)\n(?!\n)(?=[a-zäöü(])", " ")
-    return F.regexp_replace(text, " {2,}", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, HYPHENATED, ""), SOFT_END, " "), " {2,}", " ")
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n{2,}"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, "\n{2,}"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), SENTENCE_END), lambda s: s.rlike(r"(?U)\S"))
 
 
 def hard_split(text: Column, chars: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / chars))), lambda i: F.substring(text, (i * chars + 1).cast("int"), F.lit(chars)))
 
 
+def units(text: Column, chars: int) -> Column:
+    """The paragraphs of a repaired text, long ones as sentences, long sentences cut."""
+    parts = lambda p: F.when(F.length(p) <= chars, F.array(p)).otherwise(sentences(p))
+    return F.flatten(F.flatten(F.transform(paragraphs(repair_layout(text)), lambda p: F.transform(parts(p), lambda s: hard_split(s, chars)))))
+
+
 def replace_tag(tags: Column, old: str, new: str) -> Column:
     return F.array_distinct(F.transform(tags, lambda t: F.when(t == old, F.lit(new)).otherwise(t)))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -152,16 +155,23 @@ def ingest_report(chunks: DataFrame) -> DataFrame:
 
 
 def rate_limit(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """request order and ``allowed`` of each request: a window opens with a key's first request and
+    """user_id, event_id and ``allowed`` of each request: a window opens with a key's first request and
     again with the first one after it has passed; the first ``limit`` of a window are allowed.
 
-    A key's requests are folded in order; streaming/jobs.py has the same rule with kept state.
+    Requests stream by in order, sorted by Spark, so that a task holds the open window alone.
+    streaming/jobs.py has the same rule with kept state.
     """
-    ordered = requests.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("r"))
-    step = (
-        "aggregate(r, named_struct('at', cast(null as timestamp), 'n', 0, 'out', cast(array() as array<struct<event_id:bigint,allowed:boolean>>)), "
-        f"(a, x) -> if(a.at is null or x.ts >= a.at + interval {seconds} seconds, "
-        f"named_struct('at', x.ts, 'n', 1, 'out', concat(a.out, array(named_struct('event_id', x.event_id, 'allowed', {limit} >= 1)))), "
-        f"named_struct('at', a.at, 'n', a.n + 1, 'out', concat(a.out, array(named_struct('event_id', x.event_id, 'allowed', a.n < {limit}))))), a -> a.out)"
-    )
-    return ordered.select("user_id", F.explode(F.expr(step)).alias("x")).select("user_id", "x.event_id", "x.allowed")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, start, used = None, 0, 0
+        for frame in frames:
+            allowed = []
+            for key, at in zip(frame["user_id"], frame["at"], strict=True):
+                if key != user or at - start >= seconds * 1_000_000:
+                    user, start, used = key, at, 0
+                allowed.append(used < limit)
+                used += 1
+            yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"], "allowed": allowed})
+
+    rows = requests.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, "user_id long, event_id long, allowed boolean")

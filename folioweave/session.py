@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,17 @@ def build_session(app: str = "folioweave", **conf: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder, or in a temporary one where none is set."""
-    spark = df.sparkSession
+    """A reliable checkpoint in the cluster's folder; in local mode in a temporary one where none is set."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints and intermediate tables."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioweave-"))
-    return df.checkpoint(eager=True)
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="folioweave-"))
+    return context._jsc.sc().getCheckpointDir().get()

@@ -1,5 +1,7 @@
 """Literal cases of keys, access, ranking, versions, graph and upkeep."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,7 +154,22 @@ def test_chunks(spark):
     assert chunking.breadcrumbs([("A", 1), ("B", 2), ("leaf", None), (None, None), ("C", 1)]) == ["A", "A › B", "A › B › leaf", "A › B", "C"]
     parts = chunking.packed(["a" * 40, "b" * 40, "c" * 40], 90, 45)
     assert parts == ["a" * 40 + "\n" + "b" * 40, "b" * 40 + "\n" + "c" * 40]
-    assert chunking.repaired("Bau-\nwerk und\nmehr  da") == "Bauwerk und mehr da"
-    assert chunking.units("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+    rng = random.Random(7)
+    for _ in range(300):  # against taking units one by one
+        units = ["u" * rng.randint(1, 40) for _ in range(rng.randint(0, 30))]
+        most, overlap = rng.randint(1, 90), rng.randint(0, 60)
+        expected, at, repeated = [], 0, []
+        while at < len(units):
+            chunk, room = [*repeated, units[at]], most - sum(map(len, repeated)) - len(units[at]) - 1
+            at += 1
+            while at < len(units) and len(units[at]) + 1 <= room:
+                room -= len(units[at]) + 1
+                chunk.append(units[at])
+                at += 1
+            expected.append("\n".join(chunk))
+            repeated = next(chunk[i:] for i in range(len(chunk) + 1) if sum(map(len, chunk[i:])) <= overlap)
+        assert chunking.packed(units, most, overlap) == expected
+    assert column(spark, ["Bau-\nwerk und\nmehr  da"], T.repair_layout) == ["Bauwerk und mehr da"]
+    assert column(spark, ["x" * 25, "Kurz. \n\n" + "Eins zwei. Drei vier!", ""], lambda v: T.units(v, 10)) == [["x" * 10, "x" * 10, "x" * 5], ["Kurz.", "Eins zwei.", "Drei vier!"], []]
     kids = spark.createDataFrame([("d", i, p, t) for i, (p, t) in enumerate([("s", 600), ("s", 400), ("s", 100), ("t", 5)])], "doc_id string, ordinal int, section_path string, tokens int")
     assert [r["parent"] for r in chunking.assign_parents(kids).orderBy("ordinal").collect()] == [0, 0, 1, 2]
