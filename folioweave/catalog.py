@@ -388,7 +388,7 @@ def _first_vector(spark, d) -> list[float]:
     return M.vectors(spark, d).where("chunk_id = 0").first()["vector"]
 
 
-_BM25 = """terms AS (SELECT unnest(['the', 'than', 'heat', 'er']) AS t), toks AS (SELECT chunk_id, doc_id, folder, language, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {source}),
+_BM25 = """terms AS (SELECT unnest(['the', 'than', 'heat', 'er']) AS t), toks AS (SELECT chunk_id, doc_id, folder, language, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source}),
   stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks), tf AS (SELECT chunk_id, len(w) AS l, t, len(list_filter(w, lambda x: x = t)) AS f FROM toks, terms),
   df AS (SELECT t, count_if(f > 0) AS df FROM tf GROUP BY t),
   bm AS (SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / mean))), 9) AS score FROM tf JOIN df USING (t), stats GROUP BY chunk_id HAVING sum(f) > 0),

@@ -176,12 +176,15 @@ def metadata(text: Column, head_chars: int = 1500) -> Column:
     )
 
 
-def keyword_tokens(text: Column, chars: int = 200_000) -> Column:
-    """The words of a text that may be keywords, in order."""
-    found = F.regexp_extract_all(F.substring(text, 1, chars), F.lit(r"[A-Za-zÄÖÜäöüß][A-Za-zÄÖÜäöüß\-]{4,}"), F.lit(0))
-    words = F.transform(found, lambda w: F.regexp_replace(F.lower(w), "^-+|-+$", ""))
-    stop = F.array(*[F.lit(w) for w in STOP])
-    return F.filter(words, lambda w: (F.length(w) >= 5) & ~F.array_contains(stop, w) & ~w.rlike("^[ivxlcdm]+$"))
+def keyword_candidates(text: Column, chars: int = 200_000) -> Column:
+    """The words of a text, in order, as they may become keywords."""
+    return F.regexp_extract_all(F.substring(text, 1, chars), F.lit(r"[A-Za-zÄÖÜäöüß][A-Za-zÄÖÜäöüß\-]{4,}"), F.lit(0))
+
+
+def keyword(word: Column) -> Column:
+    """A candidate in lower case without hyphens at its ends; null if it is short, a stop word or a Roman number."""
+    bare = F.regexp_replace(F.lower(word), "^-+|-+$", "")
+    return F.when((F.length(bare) >= 5) & ~bare.isin(STOP) & ~bare.rlike("^[ivxlcdm]+$"), bare)
 
 
 def keyword_score(word: Column, n: Column) -> Column:

@@ -119,7 +119,8 @@ def similar_texts(docs: DataFrame, least: float = 0.8) -> DataFrame:
     unless it is most of a text. Whole sets decide.
     """
     own = checkpointed(docs.select("id", shingles(F.col("text")).alias("g")).where(F.size("g") > 0))
-    each = own.select("id", F.size("g").alias("n"), F.explode("g").alias("s"))
+    # texts meet by hashes; whole shingles decide
+    each = own.select("id", F.size("g").alias("n"), F.explode(F.transform("g", lambda g: F.xxhash64(g))).alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("df"))
     nth = F.row_number().over(W.partitionBy("id").orderBy("df", "s"))
     rare = each.join(often, "s").withColumn("nth", nth).where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("df") > 1)).select("id", "n", "s")

@@ -118,7 +118,8 @@ def neighbour_links(parts: DataFrame) -> DataFrame:
 
 def keywords(docs: DataFrame, top: int = 10) -> DataFrame:
     """doc_id, rank, word, n, score: the words of each document that occur at least twice, best first."""
-    words = docs.select("doc_id", F.posexplode(T.keyword_tokens(F.col("text"))).alias("pos", "word"))
+    words = docs.select("doc_id", F.posexplode(T.keyword_candidates(F.col("text"))).alias("pos", "word"))
+    words = words.select("doc_id", "pos", T.keyword(F.col("word")).alias("word")).where("word is not null")
     counted = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n >= 2").withColumn("score", T.keyword_score(F.col("word"), F.col("n")))
     return counted.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "first"))).where(F.col("rank") <= top).drop("first")
 

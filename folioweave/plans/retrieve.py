@@ -32,6 +32,9 @@ class Request:
     seeds: int = 5
     walk_documents: int = 10
     reranker: Callable[[str, list[str]], list[float]] | None = field(default=None)
+    index: retrieval.TextIndex | None = None
+    #: Answer without the graph, or with nothing at all, where a search fails, rather than raise.
+    lenient: bool = False
 
 
 def retrieve(chunks: DataFrame, docs: DataFrame, request: Request, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
@@ -47,7 +50,7 @@ def retrieve(chunks: DataFrame, docs: DataFrame, request: Request, nodes: DataFr
         own = restrict(own, Principal("user", False, (request.folder,)))
     own = own.where(filters.access_filter(None, request.doc_type, request.language))
     k = request.top_k * 3 if request.reranker else request.top_k
-    ranked = retrieval.hybrid(own, request.question, request.vector, k, use_text=request.use_text)
+    ranked = retrieval.hybrid(own, request.question, request.vector, k, use_text=request.use_text, index=request.index)
     found = own.drop("vector").join(ranked, "chunk_id")
     if nodes is not None and edges is not None:
         visible = graph.visible_documents(nodes, request.principal)
@@ -80,7 +83,7 @@ def _allowed(request: Request) -> bool:
 
 def _of_documents(chunks: DataFrame, ids: DataFrame, request: Request, k: int) -> DataFrame:
     part = chunks.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return part.drop("vector").join(retrieval.hybrid(part, request.question, request.vector, k, use_text=request.use_text), "chunk_id")
+    return part.drop("vector").join(retrieval.hybrid(part, request.question, request.vector, k, use_text=request.use_text, index=request.index), "chunk_id")
 
 
 def walk_candidates(nodes: DataFrame, edges: DataFrame, visible: DataFrame, seeds: DataFrame, request: Request) -> DataFrame:

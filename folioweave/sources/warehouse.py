@@ -1,13 +1,19 @@
-"""Versioned tables: immutable folders of Parquet and one manifest that names the versions in use.
+"""Versioned tables: immutable folders of Parquet and numbered manifests that name those in use.
 
-A commit writes new versions of any number of tables and then one manifest; readers resolve a tag to
-paths once and are not touched by later commits. Paths go through Hadoop's file systems, so a
-warehouse may lie in any store that Spark reads.
+A table's version is a list of folders. A commit writes new folders of any number of tables and then
+one manifest; readers resolve a tag to folders once and are not touched by later commits. Appends
+add a folder, changes of documents rewrite the folders that hold them. Paths go through Hadoop's file
+systems, so a warehouse may lie in any store that Spark reads.
+
+A manifest is written once, under a number that no other has, and never replaced: a reader takes the
+highest one that is whole. A writer that dies leaves at most an unfinished manifest, which nobody
+reads, and folders that ``prune`` deletes.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
@@ -17,6 +23,8 @@ from pyspark.sql.types import StructType
 
 from folioweave.functions.folders import normalize_folder_name
 
+FILE_BYTES = 128 << 20
+
 
 class Warehouse:
     """Single writer, many readers. ``tag`` pins what is read: latest, current, prev."""
@@ -30,59 +38,71 @@ class Warehouse:
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _write_text(self, name: str, text: str) -> None:
-        """Writes beside the file and renames: readers see the old or the new one."""
-        temporary, fs = self._file(f"{name}.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(temporary, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        target, _ = self._file(name)
-        fs.delete(target, False)
-        if not fs.rename(temporary, target):
-            raise OSError(f"{name} could not be replaced")
-
-    def _read_text(self, name: str) -> str | None:
+    def _read_text(self, name: str) -> str:
         where, fs = self._file(name)
-        if not fs.exists(where):
-            return None
         stream = fs.open(where)
         try:
-            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode(errors="replace")
         finally:
             stream.close()
 
+    def _numbers(self) -> list[int]:
+        """The numbers of the manifests, finished or not, latest first."""
+        where, fs = self._file("manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted((int(m[1]) for n in names if (m := re.fullmatch(r"(\d+)\.json", n))), reverse=True)
+
     # -- versions ------------------------------------------------------------------------------
     def manifest(self) -> dict:
-        text = self._read_text("manifest.json")
-        return json.loads(text) if text else {"number": 0, "tags": {"latest": {}}, "written": {}}
+        """tags: for each tag the folders of each table; written: when each folder was made."""
+        for number in self._numbers():
+            try:
+                return json.loads(self._read_text(f"manifests/{number:012d}.json"))
+            except ValueError:  # its writer died
+                continue
+        return {"tags": {"latest": {}}, "written": {}}
+
+    def _put(self, manifest: dict) -> None:
+        number = max(self._numbers(), default=0) + 1
+        where, fs = self._file(f"manifests/{number:012d}.json")
+        stream = fs.create(where, False)  # fails if another writer was faster
+        stream.write(bytearray(json.dumps(manifest | {"number": number, "at": time.time()}).encode()))
+        stream.close()
+
+    def _write(self, manifest: dict, name: str, df: DataFrame) -> str:
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        manifest["written"][folder] = time.time()
+        return folder
 
     def commit(self, **tables: DataFrame) -> None:
         """New versions of the tables, visible together or not at all."""
         manifest = self.manifest()
-        number = manifest["number"] + 1
-        latest = dict(manifest["tags"]["latest"])
-        for name, df in tables.items():
-            version = f"{name}/version={number}-{uuid.uuid4().hex[:8]}"
-            df.write.parquet(f"{self.path}/{version}")
-            latest[name] = version
-            manifest["written"][version] = time.time()
-        manifest["tags"]["latest"], manifest["number"] = latest, number
-        self._write_text("manifest.json", json.dumps(manifest))
+        written = {name: [self._write(manifest, name, df)] for name, df in tables.items()}
+        manifest["tags"]["latest"] = manifest["tags"]["latest"] | written
+        self._put(manifest)
+
+    def _folders(self, name: str, manifest: dict | None = None) -> list[str]:
+        tags = (manifest or self.manifest())["tags"]
+        return tags.get(self.tag, tags["latest"]).get(name, [])
+
+    def _parquet(self, folders: list[str], schema: StructType | None = None) -> DataFrame:
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*[f"{self.path}/{f}" for f in folders])
 
     def read(self, name: str, schema: StructType | None = None) -> DataFrame | None:
         """The table under this reader's tag; None, or empty with a schema, if there is none."""
-        tags = self.manifest()["tags"]
-        version = tags.get(self.tag, tags["latest"]).get(name)
-        if version is None:
+        folders = self._folders(name)
+        if not folders:
             return None if schema is None else self.spark.createDataFrame([], schema)
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self.path}/{version}")
+        return self._parquet(folders, schema)
 
     def append(self, name: str, rows: DataFrame, schema: StructType) -> None:
-        """Rows under a fixed schema: missing columns are null, others are dropped."""
-        rows = conform(rows, schema)
-        old = self.read(name)
-        self.commit(**{name: rows if old is None else old.unionByName(rows)})
+        """Rows under a fixed schema: missing columns are null, others are dropped. Old rows stay where they are."""
+        manifest = self.manifest()
+        latest = manifest["tags"]["latest"]
+        latest[name] = [*latest.get(name, []), self._write(manifest, name, conform(rows, schema))]
+        self._put(manifest)
 
     def reset(self, name: str, schema: StructType) -> None:
         self.commit(**{name: self.spark.createDataFrame([], schema)})
@@ -99,46 +119,85 @@ class Warehouse:
             if "current" in tags:
                 tags["prev"] = tags["current"]
             tags["current"] = dict(tags["latest"])
-            self._write_text("manifest.json", json.dumps(manifest))
+            self._put(manifest)
 
     def prune(self, grace_seconds: float = 7 * 86400) -> list[str]:
-        """Deletes versions that no tag names and that are older than the grace."""
-        manifest = self.manifest()
-        used = {v for tag in manifest["tags"].values() for v in tag.values()}
-        old = [v for v, at in manifest["written"].items() if v not in used and time.time() - at >= grace_seconds]
-        for version in old:
-            where, fs = self._file(version)
+        """Deletes folders that no tag names, and manifests but the last, that are older than the grace."""
+        manifest, before = self.manifest(), self._numbers()
+        used = {f for tag in manifest["tags"].values() for folders in tag.values() for f in folders}
+        old = [f for f, at in manifest["written"].items() if f not in used and time.time() - at >= grace_seconds]
+        for folder in old:
+            del manifest["written"][folder]
+        self._put(manifest)
+        for folder in old:
+            where, fs = self._file(folder)
             fs.delete(where, True)
-            del manifest["written"][version]
-        self._write_text("manifest.json", json.dumps(manifest))
+        for number in before:
+            where, fs = self._file(f"manifests/{number:012d}.json")
+            if time.time() - fs.getFileStatus(where).getModificationTime() / 1000 >= grace_seconds:
+                fs.delete(where, False)
         return old
 
-    def compact(self, name: str, files: int = 1) -> None:
-        self.commit(**{name: self.read(name).coalesce(files)})
+    def history(self) -> DataFrame:
+        """number, at, tag, name and folders of every manifest that is still there."""
+        rows = []
+        for number in self._numbers():
+            try:
+                m = json.loads(self._read_text(f"manifests/{number:012d}.json"))
+            except ValueError:
+                continue
+            rows += [(number, m["at"], tag, name, folders) for tag, names in m["tags"].items() for name, folders in names.items()]
+        return self.spark.createDataFrame(rows, "number long, at double, tag string, name string, folders array<string>")
+
+    def compact(self, name: str, file_bytes: int = FILE_BYTES) -> int:
+        """Rewrites a table in one folder of files of about the given size; returns how many."""
+        total = 0
+        for folder in self._folders(name):
+            where, fs = self._file(folder)
+            total += fs.getContentSummary(where).getLength()
+        files = max(1, -(-total // file_bytes))
+        self.commit(**{name: self.read(name).repartition(files)})
+        return files
 
     # -- changes -------------------------------------------------------------------------------
+    def _rewrite(self, manifest: dict, name: str, rows, change) -> None:
+        """Replaces the folders of a table that hold any of the rows by one with what ``change`` makes of them."""
+        folders = self._folders(name, manifest)
+        hit = self._parquet(folders).where(rows).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("f")).distinct()
+        touched = {r["f"] for r in hit.collect()}  # a row for each folder of the version
+        if touched:
+            new = self._write(manifest, name, change(self._parquet([f for f in folders if f.split("/")[-1] in touched])))
+            manifest["tags"]["latest"][name] = [*(f for f in folders if f.split("/")[-1] not in touched), new]
+
     def delete_documents(self, ids: list[int], tables: tuple[str, ...] = ("documents", "chunks")) -> int:
         """Deletes documents from all tables at once; returns how many there were."""
-        gone = F.col("doc_id").isin(ids)
-        n = self.read(tables[0]).where(gone).count()
-        self.commit(**{t: self.read(t).where(~gone) for t in tables})
+        gone, manifest = F.col("doc_id").isin(ids), self.manifest()
+        n = self._parquet(self._folders(tables[0], manifest)).where(gone).count()
+        for t in tables:
+            self._rewrite(manifest, t, gone, lambda df: df.where(~F.coalesce(gone, F.lit(False))))
+        self._put(manifest)
         return n
 
     def move_document(self, doc_id: int, folder: str, tables: tuple[str, ...] = ("documents", "chunks")) -> bool:
         """Moves a document in all tables by one commit; False if it is there already."""
-        target = normalize_folder_name(folder)
-        now = self.read(tables[0]).where(F.col("doc_id") == doc_id).select("folder").first()
+        target, manifest, own = normalize_folder_name(folder), self.manifest(), F.col("doc_id") == doc_id
+        now = self._parquet(self._folders(tables[0], manifest)).where(own).select("folder").first()
         if now is None or now[0] == target:
             return False
-        moved = F.when(F.col("doc_id") == doc_id, F.lit(target)).otherwise(F.col("folder"))
-        self.commit(**{t: self.read(t).withColumn("folder", moved) for t in tables})
+        for t in tables:
+            self._rewrite(manifest, t, own, lambda df: df.withColumn("folder", F.when(own, F.lit(target)).otherwise(F.col("folder"))))
+        self._put(manifest)
         return True
 
     def copy_to(self, other: Warehouse) -> None:
-        """What this reader's tag names, as another warehouse's latest: a backup or a reader's cache."""
-        tags = self.manifest()["tags"]
-        names = tags.get(self.tag, tags["latest"])
-        other.commit(**{name: self.read(name) for name in names})
+        """All tags of this warehouse in another: a backup or a reader's cache. Versions that tags share are copied once."""
+        tags, manifest, done = self.manifest()["tags"], other.manifest(), {}
+        for tag, names in tags.items():
+            for name, folders in names.items():
+                if (key := (name, *folders)) not in done:
+                    done[key] = [other._write(manifest, name, self._parquet(folders))]
+        manifest["tags"] = {tag: {name: done[(name, *folders)] for name, folders in names.items()} for tag, names in tags.items()}
+        other._put(manifest)
 
 
 def conform(rows: DataFrame, schema: StructType) -> DataFrame:

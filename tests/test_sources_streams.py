@@ -83,14 +83,38 @@ def test_warehouse_versions(spark, tmp_path):
     own.publish()
     assert Warehouse(spark, own.path, "prev").count("documents") == 2
     assert own.prune(0) and Warehouse(spark, own.path, "prev").count("documents") == 2
-    own.compact("documents")
+    own.append("documents", spark.createDataFrame([(4, "/d/")], docs.schema), docs.schema)
+    kept = own._folders("documents")[:-1]
+    own.move_document(4, "e")  # only the folder with document 4 is written anew
+    assert own._folders("documents")[:-1] == kept and len(kept) == 2
+    assert own.compact("documents") == 1 and own.compact("documents", 300) > 1 and own.count("documents") == 3
     other = Warehouse(spark, str(tmp_path / "v"))
     own.copy_to(other)
-    assert other.count("documents") == own.count("documents")
+    assert other.count("documents") == own.count("documents") and Warehouse(spark, other.path, "prev").count("documents") == 2
+    assert {r["tag"] for r in own.history().collect()} == {"latest", "current", "prev"}
     own.reset("documents", docs.schema)
     assert own.count("documents") == 0 and migrate(docs, own.read("documents")).count() == 2
 
 
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    own = Warehouse(spark, str(tmp_path / "w"))
+    docs = spark.createDataFrame([(1, "/a/"), (2, "/b/")], "doc_id long, folder string")
+    own.commit(documents=docs)
+    monkeypatch.setattr(own, "_put", lambda manifest: 1 / 0)  # dies after its folders, before its manifest
+    with pytest.raises(ZeroDivisionError):
+        own.commit(documents=docs.limit(0))
+    assert own.count("documents") == 2
+    monkeypatch.undo()
+    (tmp_path / "w/manifests/000000000002.json").write_text('{"tags": {"la')  # dies within its manifest
+    assert own.count("documents") == 2
+    own.append("documents", docs, docs.schema)
+    assert own._numbers() == [3, 2, 1] and own.count("documents") == 4
+    (tmp_path / "w/manifests/000000000004.json").write_text("x")
+    with pytest.raises(Exception, match="(?i)exist"):  # another writer took the number meanwhile
+        monkeypatch.setattr(own, "_numbers", lambda: [3, 2, 1])
+        own.publish()
+
+
 def test_ingest_then_retrieve_then_graph(spark, folder):
     text = "Die Norm ÖNORM B 1801-1:2022 regelt Kosten. " * 40
     (folder / "n.txt").write_text(text)
