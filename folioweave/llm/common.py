@@ -27,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of narrow rows: lineage ends in files that all executors share."""
+#: Narrow rows in a file of a checkpoint, where their number is known.
+FILE_ROWS = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A reliable checkpoint of narrow rows: lineage ends in files that all executors share. ``rows``, if it is
+    about known, makes as many files as they need, however many partitions there are."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession) -> str:

@@ -70,7 +70,8 @@ def scored_instances(found: DataFrame) -> DataFrame:
     patterns = F.array(F.concat_ws("\x1f", F.lit("l"), F.nullif("left", F.lit("")), shape), F.concat_ws("\x1f", F.lit("r"), F.nullif("right", F.lit("")), shape))
     edges = found.where("instance <> ''").select(F.explode(patterns).alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = cut(edges)
-    scores = cut(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")))
+    rows = edges.count()
+    scores = cut(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")), rows)
     accepted = None
     while (now := scores.where(F.col("score") >= ACCEPT).count()) != accepted:
         accepted = now
@@ -78,7 +79,7 @@ def scored_instances(found: DataFrame) -> DataFrame:
         confident = rated.where((F.col("confidence") >= CONFIDENT) & (F.col("positive") >= SUPPORT))
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
         likely = edges.where("not seed").join(confident, "pattern").groupBy("instance").agg((1 - doubt).alias("likely"))
-        scores = cut(scores.join(likely, "instance", "left").select("instance", F.greatest("score", F.coalesce("likely", F.lit(0.0))).alias("score")))
+        scores = cut(scores.join(likely, "instance", "left").select("instance", F.greatest("score", F.coalesce("likely", F.lit(0.0))).alias("score")), rows)
     return scores
 
 

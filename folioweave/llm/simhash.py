@@ -189,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         low = down.groupBy("src").agg(F.min("dst").alias("least"))
         small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst")
-        now = cut(small.unionByName(low.select("src", F.col("least").alias("dst"))).distinct())
+        now = cut(small.unionByName(low.select("src", F.col("least").alias("dst"))).distinct(), state[0])
     return now.groupBy("src").agg(F.min("dst").alias("root")).select(F.col("src").alias("node"), "root")
 
 
