@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave import catalog_upkeep
 from folioweave import model as M
 from folioweave.functions import folders as A
 from folioweave.functions import text as T
 from folioweave.operators import chunking, filters, graph, listing, maintenance, retrieval
 from folioweave.plans import retrieve as plans
+from folioweave.registry import ORACLES, QUERIES, query  # noqa: F401
 from folioweave.sources import files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 USER = A.Principal("user", False, ("/en/", "/de/src1"))
 KEY = A.Principal("key", False, ("/fr",))
 
 
-def query(sql: str | None = None, *views: str):
-    """Registers a query, with SQL over the derived views if there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = ("WITH " + ", ".join(views) + " " if views else "") + sql
-        return f
-
-    return add
-
-
 # ---- access ------------------------------------------------------------------------------------
 _USER_SQL = "(starts_with(folder, '/en/') OR starts_with(folder, '/de/src1/'))"
 
@@ -234,9 +220,9 @@ def normalized_keys(spark, d):
     return M.docs(spark, d).where("norm_id is not null").select("doc_id", T.normalize_key(spaced).alias("key"))
 
 
-@query("""SELECT doc_id, CASE WHEN norm_id IS NULL THEN NULL ELSE 'ÖNORM B ' || (1000 + doc_id % 40) || '-1' END AS own, CASE WHEN norm_id IS NULL THEN NULL ELSE 'Austrian Standards' END AS issuer FROM docs WHERE norm_id IS NOT NULL""", M.DOCS_SQL)
+@query("""SELECT doc_id, CASE WHEN norm_id IS NULL THEN 'DIN EN ISO ' || (9000 + doc_id % 10) ELSE 'ÖNORM B ' || (1000 + doc_id % 40) || '-1' END AS own, CASE WHEN norm_id IS NULL THEN 'DIN' ELSE 'Austrian Standards' END AS issuer FROM docs""", M.DOCS_SQL)
 def metadata_norms(spark, d):
-    rows = M.ref_text(spark, d).select("doc_id", T.metadata(F.col("text")).alias("m")).where("m.norm_id not like 'DIN%'")
+    rows = M.ref_text(spark, d).select("doc_id", T.metadata(F.col("text")).alias("m"))
     return rows.select("doc_id", F.col("m.norm_id").alias("own"), F.col("m.issuer").alias("issuer"))
 
 
@@ -276,10 +262,16 @@ def keywords_top10(spark, d):
     return listing.keywords(M.read(spark, d, "documents")).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT d.doc_id, coalesce(t.tags, '') AS tags FROM documents d LEFT JOIN (SELECT doc_id, string_agg(word, ',' ORDER BY rank) AS tags FROM ranked WHERE rank <= 7 GROUP BY doc_id) t USING (doc_id) WHERE NOT regexp_matches(substr(d.text, 1, 1500), '(?i)(önorm|oenorm|onorm|din|en|iso|iec|oib)[^a-z]')", _WORDS)
+_FAMILY = "(önorm|oenorm|onorm|din|en|iso|iec)"
+_FAMILIES = rf"""heads AS (SELECT doc_id, lower(substr(text, 1, 1500)) AS head FROM documents),
+  fams AS (SELECT doc_id, list_transform(regexp_extract_all(head, '(?:^|[^\pL\pN_]){_FAMILY}(?:\s+{_FAMILY})*\s+[a-z]?\s*[0-9][0-9]', 1), lambda f: CASE WHEN f IN ('oenorm', 'onorm') THEN 'önorm' ELSE f END) AS f, regexp_matches(head, '(^|[^\pL\pN_])oib($|[^\pL\pN_])') AS oib FROM heads),
+  tagged AS (SELECT doc_id, f AS tag, i AS place FROM (SELECT doc_id, unnest(f) AS f, unnest(range(len(f))) AS i FROM fams) UNION ALL SELECT doc_id, 'oib', 10000 FROM fams WHERE oib UNION ALL SELECT doc_id, substr(word, 1, 64), 20000 + rank FROM ranked WHERE rank <= 10),
+  once AS (SELECT doc_id, tag, min(place) AS place FROM tagged GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth FROM once)"""
+
+
+@query("SELECT d.doc_id, coalesce(t.tags, '') AS tags FROM documents d LEFT JOIN (SELECT doc_id, string_agg(tag, ',' ORDER BY nth) AS tags FROM best WHERE nth <= 7 GROUP BY doc_id) t USING (doc_id)", _WORDS, _FAMILIES)
 def autotags(spark, d):
-    docs = M.read(spark, d, "documents").where("not substring(text, 1, 1500) rlike '(?iU)(önorm|oenorm|onorm|din|en|iso|iec|oib)[^a-z]'")
-    return listing.auto_tags(docs).select("doc_id", F.array_join("tags", ",").alias("tags"))
+    return listing.auto_tags(M.read(spark, d, "documents")).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
 @query()
@@ -354,7 +346,12 @@ def html_title(spark, d):
     return M.read(spark, d, "pages").selectExpr("page_id", "nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') as title")
 
 
-@query()
+_HTML_PARTS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '<x>', 'g'), '<[^>]*>'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_ENTITIES = {"&copy;": 169, "&middot;": 183, "&nbsp;": 160, "&eacute;": 233, "&lt;": 60, "&gt;": 62, "&quot;": 34, "&#39;": 39, "&amp;": 38}
+_PLAIN = "replace(" * len(_ENTITIES) + "{x}" + "".join(f", '{name}', chr({code}))" for name, code in _ENTITIES.items())
+
+
+@query(f"SELECT page_id || '.html' AS file_name, {_PLAIN.format(x="nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '')")} AS title, {_PLAIN.format(x=f"array_to_string({_HTML_PARTS}, chr(10))")} AS text, NULL::VARCHAR AS error FROM pages")
 def html_text(spark, d):
     pages = M.read(spark, d, "pages").selectExpr("concat('/', page_id, '.html') as path", "encode(html, 'UTF-8') as content")
     return files.parse_files(pages).select("file_name", F.col("pages")[0]["title"].alias("title"), F.col("pages")[0]["text"].alias("text"), "error")
@@ -411,6 +408,14 @@ def bm25_topk(spark, d):
     return retrieval.bm25(M.chunks(spark, d), QUESTION, 20)
 
 
+@query("SELECT chunk_id, score, rank::INTEGER AS rank FROM bmk WHERE rank <= 20", M.CHUNKS_SQL, _BM25.format(source="chunks"))
+def bm25_index_topk(spark, d):
+    """As ``bm25_topk``, from an inverted index."""
+    chunks = M.chunks(spark, d).select("chunk_id", "text")
+    index = retrieval.TextIndex(spark, catalog_upkeep._scratch(spark, "text-index")).write(chunks)
+    return retrieval.bm25(chunks, QUESTION, 20, index=index)
+
+
 _KNN = "q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), knn AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT {key} AS chunk_id, round(list_inner_product(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]), 6) AS score FROM embeddings {where}))"
 
 
@@ -523,6 +528,9 @@ def _layer(spark, d):
     return graph.first_layer(docs, M.ref_text(spark, d))
 
 
+catalog_upkeep.register_graph(_VERSIONS, _KEYS, _L1, _USER_SQL, USER, _layer)
+
+
 @query("SELECT * FROM edges", M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
 def graph_l1_edges(spark, d):
     return _layer(spark, d)[1].select("src_key", "tgt_key", "relation")
@@ -633,10 +641,10 @@ def conductance(spark, d):
     return graph.conductance(nodes, edges).withColumn("conductance", F.round("conductance", 9))
 
 
-@query("SELECT community_id, count(*) AS size, sha1(string_agg(node_key, chr(31) ORDER BY node_key)) AS member_fingerprint FROM nodes GROUP BY community_id", _GRAPH)
+@query("SELECT community_id, count(*) AS size, split_part(max(node_key), ':', 2) AS label, sha1(string_agg(node_key, chr(31) ORDER BY node_key)) AS member_fingerprint FROM nodes GROUP BY community_id", _GRAPH)
 def community_fingerprints(spark, d):
     nodes, _ = _small_graph(spark, d)
-    return graph.describe_communities(nodes, nodes.select("node_key", F.lit(1.0).alias("pagerank"))).select("community_id", "size", "member_fingerprint")
+    return graph.describe_communities(nodes, nodes.select("node_key", F.lit(1.0).alias("pagerank"))).select("community_id", "size", "label", "member_fingerprint")
 
 
 @query()

@@ -92,3 +92,18 @@ def transliterate(path: Column) -> Column:
     for old, new in pairs:
         path = F.replace(path, F.lit(old), F.lit(new))
     return normalize_folder(path)
+
+
+def has_scope(kind: Column, role: Column, scopes: Column, scope: str) -> Column:
+    """``Principal.has_scope`` of principals in a table."""
+    return F.when(kind == "key", F.coalesce(F.array_contains(scopes, scope), F.lit(False))).otherwise((role == "admin") | F.lit(scope == "read"))
+
+
+def mapped_folder(files: DataFrame, mapping: DataFrame, default: str) -> DataFrame:
+    """``folder`` of each file: what a confirmed map (file_name, folder) says, else a default.
+
+    A name that the map has more than once goes to the first of its folders.
+    """
+    known = mapping.groupBy(F.col("file_name").alias("mapped_name")).agg(F.min("folder").alias("mapped_folder"))
+    joined = files.join(known, F.col("file_name") == F.col("mapped_name"), "left")
+    return joined.withColumn("folder", normalize_folder(F.coalesce(F.col("mapped_folder"), F.lit(default)))).drop("mapped_name", "mapped_folder")

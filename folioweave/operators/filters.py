@@ -41,8 +41,8 @@ def access_filter(folders: list[str] | None, doc_type: str | None = None, langua
     return out
 
 
-def list_page(docs: DataFrame, folder: str | None = None, prefix: str | None = None, status: str | None = None, name: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
-    """A page of documents, newest first; ``name`` is a part of the file name in any case, taken literally."""
+def listed(docs: DataFrame, folder: str | None = None, prefix: str | None = None, status: str | None = None, name: str | None = None) -> DataFrame:
+    """The documents of a list; ``name`` is a part of the file name in any case, taken literally."""
     if folder is not None:
         docs = docs.where(F.col("folder") == folder)
     if prefix is not None:
@@ -51,7 +51,19 @@ def list_page(docs: DataFrame, folder: str | None = None, prefix: str | None = N
         docs = docs.where(F.col("status") == status)
     if name is not None:
         docs = docs.where(F.contains(F.lower("file_name"), F.lit(name.lower())))
-    return docs.orderBy(F.desc("uploaded_at"), "doc_id").offset(max(0, offset)).limit(min(1000, max(1, limit)))
+    return docs
+
+
+def list_page(docs: DataFrame, folder: str | None = None, prefix: str | None = None, status: str | None = None, name: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
+    """A page of the documents of a list, newest first."""
+    found = listed(docs, folder, prefix, status, name)
+    return found.orderBy(F.desc("uploaded_at"), "doc_id").offset(max(0, offset)).limit(min(1000, max(1, limit)))
+
+
+def list_page_with_total(docs: DataFrame, limit: int = 200, offset: int = 0, **conditions) -> DataFrame:
+    """A page and, on each of its rows, how many documents the whole list has."""
+    total = listed(docs, **conditions).agg(F.count("*").alias("total"))
+    return list_page(docs, limit=limit, offset=offset, **conditions).join(F.broadcast(total))  # one row
 
 
 def scan_by_meta(chunks: DataFrame, condition: dict, limit: int = 10_000) -> DataFrame:

@@ -373,3 +373,27 @@ def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def documents_of_entity(edges: DataFrame, key: str, visible: DataFrame) -> DataFrame:
     n = neighbours(edges, key).select("neighbour").distinct()
     return visible.join(n, visible["node_key"] == n["neighbour"], "left_semi")
+
+
+def view_totals(nodes: DataFrame, edges: DataFrame, principal: Principal, types: list[str] | None = None, limit: int = 500) -> DataFrame:
+    """One row for a view: nodes, edges and communities shown, the nodes and edges there are in all, and
+    whether the limit has cut the view."""
+    shown, links = graph_view(nodes, edges, principal, types, limit)
+    may_be, _ = graph_view(nodes, edges, principal, types, 2**31 - 1)
+    own = shown.agg(F.count("*").alias("nodes_shown"), F.count_distinct("community_id").alias("communities_shown"))
+    parts = [links.agg(F.count("*").alias("edges_shown")), nodes.agg(F.count("*").alias("nodes_total")), edges.agg(F.count("*").alias("edges_total")), may_be.agg(F.count("*").alias("visible"))]
+    for part in parts:  # single rows
+        own = own.join(part)
+    return own.withColumn("truncated", F.col("visible") > F.col("nodes_shown")).drop("visible")
+
+
+def snapshot(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """What readers of a graph look up: the type of each node, the folder of each document, which
+    documents refer to a key, and both directions of every edge."""
+    adjacency = edges.select(F.col("src_key").alias("node_key"), F.col("tgt_key").alias("other_key"), "relation").unionByName(edges.select(F.col("tgt_key").alias("node_key"), F.col("src_key").alias("other_key"), "relation")).distinct()
+    return {
+        "types": nodes.select("node_key", "node_type"),
+        "folders": nodes.where("node_type = 'document'").select("doc_id", F.get("folder_paths", F.lit(0)).alias("folder")),
+        "referring": edges.where("relation = 'references'").join(nodes.where("node_type = 'document'").select(F.col("node_key").alias("src_key"), "doc_id"), "src_key").select(F.col("tgt_key").alias("ref_key"), "doc_id").distinct(),
+        "adjacency": adjacency,
+    }

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioweave.functions import text as T
 from folioweave.functions.folders import ancestors
+from folioweave.session import checkpointed
 
 
 def folder_counts(docs: DataFrame) -> DataFrame:
@@ -176,3 +177,54 @@ def rate_limit(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataF
 
     rows = requests.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, "user_id long, event_id long, allowed boolean")
+
+
+def suggestion_list(suggestions: DataFrame) -> DataFrame:
+    """Suggestions with their place in a list by community, then folder, then document."""
+    return _placed(suggestions, F.col("community_id").asc_nulls_last(), "suggested_folder", "doc_id")
+
+
+def log_list(log: DataFrame, limit: int = 100, key: str = "event_id") -> DataFrame:
+    """The latest entries of a log with their place, newest first."""
+    return _placed(log.orderBy(F.desc("created_at"), key).limit(limit), F.desc("created_at"), key)
+
+
+def _placed(rows: DataFrame, *order) -> DataFrame:
+    """``place`` by an order of all rows: rows are counted in ranges, and each range is numbered by itself."""
+    ranged = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    ranged = checkpointed(ranged)  # a range must be the same in both of the uses below
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each partition
+    nth = F.row_number().over(W.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("nth", nth).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("nth")).drop("range", "nth", "before")
+
+
+def admins(users: DataFrame) -> DataFrame:
+    """One row: how many administrators there are, and whether one may still be taken away."""
+    return users.agg(F.count_if(F.col("role") == "admin").alias("admins")).withColumn("may_remove", F.col("admins") > 1)
+
+
+def loggable(queries: DataFrame) -> DataFrame:
+    """Rows of a query log: texts of at most 4,000 characters, with the day that they are filed under."""
+    return queries.withColumn("query_text", F.substring("query_text", 1, 4000)).withColumn("day", F.to_date("created_at"))
+
+
+def append_log(queries: DataFrame, path: str, batch: int) -> None:
+    """Files a batch of queries; a batch that is written again replaces itself and nothing else."""
+    loggable(queries).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def session_states(sessions: DataFrame, now, live_seconds: int = 3600, kept_seconds: int = 7200) -> DataFrame:
+    """``state`` of sessions: live for an hour from their start, then expired, and gone after two."""
+    age = F.unix_seconds(now) - F.unix_seconds(F.col("created_at").cast("timestamp"))
+    return sessions.withColumn("state", F.when(age < live_seconds, "live").when(age < kept_seconds, "expired").otherwise("gone"))
+
+
+def next_run(now, hour: int):
+    """The next time of day at a full hour after now."""
+    today = F.date_trunc("day", now) + F.make_interval(hours=F.lit(hour))
+    return F.when(today > now, today).otherwise(today + F.expr("interval 1 day"))

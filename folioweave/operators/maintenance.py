@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioweave.functions.folders import is_within, normalize_folder, normalize_folder_name
+from folioweave.session import checkpointed
 
 MIN_DOCS, DOMINANT = 3, 0.6
-#: Distinct tags that the driver resolves merges for, at most.
-TAGS = 100_000
+#: Near pairs of tags that the driver takes, at most.
+DRIVER_PAIRS = 100_000
 
 
 def tag_counts(docs: DataFrame) -> DataFrame:
@@ -54,49 +55,73 @@ def near_tags(counts: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.unionByName(close).distinct().withColumn("distance", F.levenshtein("a", "b", distance)).where("distance >= 0")
 
 
-def tag_merges(counts: DataFrame) -> list[tuple[str, str]]:
-    """(winner, loser) in order: tags by first letter order, each near pair merges into the more frequent,
-    the earlier of equals; a loser merges once. The vocabulary of tags is resolved in one place."""
-    n = {r["tag"]: r["n"] for r in counts.orderBy("tag").limit(TAGS + 1).collect()}
-    if len(n) > TAGS:
-        raise ValueError("too many distinct tags: consolidate by prefix")
-    near: dict[str, list[str]] = {}
-    for r in near_tags(counts).collect():
-        near.setdefault(r["a"], []).append(r["b"])
-    gone: set[str] = set()
+def tag_merges(counts: DataFrame) -> DataFrame:
+    """winner, loser: tags in alphabetical order, each near pair merges into the more frequent, the
+    earlier of equals; a loser merges once.
+
+    Up to ``DRIVER_PAIRS`` pairs are resolved one by one on the driver, more of them in rounds with the
+    same result: a pair waits for the earlier pairs of both its tags. In each round those pairs that
+    wait for none are settled together, and what they decide leaves: pairs whose second tag is gone,
+    and pairs of a first tag that was gone before its turn.
+    """
+    n = counts.select("tag", "n")
+    pairs = near_tags(counts).select("a", "b").join(n.select(F.col("tag").alias("a"), F.col("n").alias("a_n")), "a").join(n.select(F.col("tag").alias("b"), F.col("n").alias("b_n")), "b")
+    rest = checkpointed(pairs.select(F.struct("a", "b").alias("at"), "a", "b", (F.col("a_n") >= F.col("b_n")).alias("first_wins"), F.lit(False).alias("a_gone")))
+    if rest.count() <= DRIVER_PAIRS:
+        return counts.sparkSession.createDataFrame(_resolved([(r["a"], r["b"], r["first_wins"]) for r in rest.collect()]), "winner string, loser string")
+    merges = None
+    while not rest.isEmpty():
+        ends = rest.select(F.explode(F.array("a", "b")).alias("tag"), "at").groupBy("tag").agg(F.min("at").alias("next"))
+        ready = rest.join(ends.select(F.col("tag").alias("a"), F.col("next").alias("a_next")), "a").join(ends.select(F.col("tag").alias("b"), F.col("next").alias("b_next")), "b").where("at = a_next and at = b_next")
+        # a first tag that has lost within its own turn still takes losers, but can't lose again
+        settled = checkpointed(ready.select("at", "a", "b", F.when(F.col("first_wins"), F.col("a")).when(~F.col("a_gone"), F.col("b")).alias("winner"), F.when(F.col("first_wins"), F.col("b")).when(~F.col("a_gone"), F.col("a")).alias("loser")))
+        lost = settled.where("loser is not null")
+        found = lost.select("winner", "loser")
+        merges = found if merges is None else merges.unionByName(found)
+        now = rest.join(settled.select("at"), "at", "left_anti")
+        by_second = lost.where("loser = b").select(F.col("loser").alias("tag"))
+        by_first = lost.where("loser = a").select(F.col("loser").alias("tag"))
+        # gone as a second tag: no turn of its own, and no more merges; gone as a first: its turn goes on
+        now = now.join(by_second.withColumnRenamed("tag", "a"), "a", "left_anti").join(by_second.unionByName(by_first).withColumnRenamed("tag", "b"), "b", "left_anti")
+        now = now.join(by_first.select(F.col("tag").alias("a"), F.lit(True).alias("out")), "a", "left")
+        rest = checkpointed(now.select("at", "a", "b", "first_wins", (F.col("a_gone") | F.coalesce("out", F.lit(False))).alias("a_gone")))
+    return merges if merges is not None else counts.select(F.col("tag").alias("winner"), F.col("tag").alias("loser")).limit(0)
+
+
+def _resolved(pairs: list[tuple[str, str, bool]]) -> list[tuple[str, str]]:
+    gone_second: set[str] = set()  # lost before its own turn
+    gone_first: set[str] = set()
     merges = []
-    for a in sorted(n):
-        for b in sorted(near.get(a, [])) if a not in gone else []:
-            if b in gone:
-                continue
-            winner, loser = (a, b) if n[a] >= n[b] else (b, a)
-            if loser not in gone:
-                merges.append((winner, loser))
-                gone.add(loser)
+    for a, b, first_wins in sorted(pairs, key=lambda p: (p[0].encode(), p[1].encode())):
+        if a in gone_second or b in gone_second or not first_wins and a in gone_first:
+            continue
+        merges.append((a, b) if first_wins else (b, a))
+        (gone_second if first_wins else gone_first).add(merges[-1][1])
     return merges
 
 
-def apply_merges(docs: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """``docs`` with merged tags; a loser that wins elsewhere is followed to the end."""
-    if not merges:
-        return docs
-    final = {loser: winner for winner, loser in merges}
-    follow = {}
-    for loser in final:
-        seen, at = set(), loser
-        while at in final and at not in seen:
-            seen.add(at)
-            at = final[at]
-        follow[loser] = at
-    known = F.create_map(*[F.lit(x) for pair in follow.items() for x in pair])
-    return docs.withColumn("tags", F.array_distinct(F.transform("tags", lambda t: F.coalesce(F.element_at(known, t), t))))
+def final_winners(merges: DataFrame) -> DataFrame:
+    """loser, winner: a loser that wins elsewhere is followed to the end; a ring of losers stays as it is."""
+    now = checkpointed(merges.select("loser", "winner"))
+    while True:
+        on = now.select(F.col("loser").alias("winner"), F.col("winner").alias("next"))
+        after = checkpointed(now.join(on, "winner", "left").select("loser", F.when(F.col("next") != F.col("loser"), F.col("next")).otherwise(F.col("winner")).alias("winner")))
+        if after.exceptAll(now).isEmpty():
+            return after
+        now = after
+
 
+def apply_merges(docs: DataFrame, merges: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, tags, ...) with merged tags, each once."""
+    final = final_winners(merges)
+    each = docs.select("doc_id", F.posexplode("tags").alias("at", "loser")).join(final, "loser", "left").select("doc_id", "at", F.coalesce("winner", "loser").alias("tag"))
+    new = each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "tag"))), lambda t: t["tag"]).alias("new_tags"))
+    return docs.join(new, "doc_id", "left").withColumn("tags", F.array_distinct(F.coalesce("new_tags", "tags"))).select(*docs.columns)
 
-def merge_journal(docs: DataFrame, merges: list[tuple[str, str]], now, days: int = 30) -> DataFrame:
+
+def merge_journal(docs: DataFrame, merges: DataFrame, now, days: int = 30) -> DataFrame:
     """An entry for each merge with what undoes it."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame(merges, "winner string, loser string")
-    hit = docs.select("doc_id", F.explode("tags").alias("loser")).join(table, "loser").groupBy("winner", "loser").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    hit = docs.select("doc_id", F.explode("tags").alias("loser")).join(merges.select("winner", "loser"), "loser").groupBy("winner", "loser").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
     return hit.select(F.lit("tag_merge").alias("action_type"), F.concat(F.lit("Tag '"), "loser", F.lit("' → '"), "winner", F.lit("' ("), F.size("doc_ids").cast("string"), F.lit(" Dok.)")).alias("summary"), F.to_json(F.struct("winner", "loser", "doc_ids")).alias("undo_payload"), (now + F.make_interval(days=F.lit(days))).alias("expires_at"), F.lit(False).alias("undo_applied"))
 
 
@@ -160,3 +185,28 @@ def cascade(children: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_first(rows: DataFrame, *key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("__n = 1").drop("__n")
+
+
+def decide_duplicates(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``pairs`` (keep, remove, status) after decisions (keep, remove, action); only pending ones change."""
+    new = F.when((F.col("status") == "pending") & (F.col("action") == "accept"), "accepted").when((F.col("status") == "pending") & (F.col("action") == "reject"), "rejected").otherwise(F.col("status"))
+    return pairs.join(decisions.select("keep", "remove", "action"), ["keep", "remove"], "left").withColumn("status", new).drop("action")
+
+
+def without_duplicates(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents but for those that accepted pairs remove. A document that one pair keeps and another
+    removes goes; the keeper of a hash is the same in all its pairs."""
+    gone = pairs.where("status = 'accepted'").select(F.col("remove").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def move_journal(suggestions: DataFrame, now, days: int = 30) -> DataFrame:
+    """An entry for each accepted suggestion with what undoes the move."""
+    moved = suggestions.where("status = 'accepted'")
+    return moved.select("doc_id", F.lit("folder_move").alias("action_type"), F.concat(F.col("current_folder"), F.lit(" → "), F.col("suggested_folder")).alias("summary"), F.to_json(F.struct("doc_id", F.col("current_folder").alias("folder"))).alias("undo_payload"), (now + F.make_interval(days=F.lit(days))).alias("expires_at"), F.lit(False).alias("undo_applied"))
+
+
+def undo_moves(docs: DataFrame, journal: DataFrame) -> DataFrame:
+    """``docs`` with the folders they had before the journal's moves, but for those undone already."""
+    back = journal.where("not undo_applied").select(F.from_json("undo_payload", "doc_id long, folder string").alias("u")).select("u.doc_id", F.col("u.folder").alias("target"))
+    return move_documents(docs, back)

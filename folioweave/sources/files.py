@@ -202,12 +202,28 @@ def audit(calls: DataFrame) -> DataFrame:
     return calls.withColumn("args", F.transform_values("args", mask_argument))
 
 
-def inspect(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, suffix and the record as JSON, without reading."""
-    df = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+def inspect(paths: DataFrame) -> DataFrame:
+    """path, suffix, supported and the record as JSON of ``paths`` (path), without reading."""
+    df = paths.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"))
     return df.withColumn("supported", F.col("suffix").isin(*PARSERS)).withColumn("json", F.to_json(F.struct("path", "suffix", "supported")))
 
 
+def zipped(name: str, text):
+    """A ZIP archive with one member, as a column: the export of a document."""
+
+    @F.pandas_udf("binary")
+    def run(names: pd.Series, texts: pd.Series) -> pd.Series:
+        def pack(member: str, content: str | None) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr(member, content or "")
+            return out.getvalue()
+
+        return pd.Series([pack(n, t) for n, t in zip(names, texts, strict=True)])
+
+    return run(F.col(name), text)
+
+
 def latin1(text):
     """Text as an export to Latin-1 has it: other characters become question marks."""
     return F.regexp_replace(text, "[^\\x00-\\xFF]", "?")
