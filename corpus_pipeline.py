@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from folioweave.llm import decontam, mixing, simhash, tokens, toxicity
-from folioweave.llm.common import shared_dir, table
+from folioweave.llm.common import scratch_path, table
 from folioweave.llm.queries import tokenizer_path
 
 
@@ -47,7 +45,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; what each keeps goes through the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+        path = scratch_path(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
