@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,7 +110,8 @@ def shingles(text, words: int = 5):
     """The distinct runs of words of a text; a shorter text is one run."""
     parts = F.filter(F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), lambda w: w != "")
     # bound as a lambda's variable: an expression inside a lambda is evaluated for each element
-    runs = lambda p: F.when(F.size(p) > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(p) - words)), lambda i: F.array_join(F.slice(p, i + 1, words), " ")))).otherwise(F.array().cast("array<string>"))
+    run = lambda p: lambda w, i: F.concat_ws(" ", w, *[F.get(p, i + k) for k in range(1, words)])
+    runs = lambda p: F.array_distinct(F.slice(F.transform(p, run(p)), 1, F.greatest(F.size(p) - words + 1, F.lit(1))))
     return F.get(F.transform(F.array(parts), runs), F.lit(0))
 
 
@@ -136,17 +140,39 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**32, size=PERMUTATIONS, dtype=np.uint64), rng.integers(0, 2**32, size=PERMUTATIONS, dtype=np.uint64)
 
 
+#: White space in the sense of ``shingles``.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def signature(text: str, a: np.ndarray, b: np.ndarray, words: int = 5) -> np.ndarray | None:
+    """The least value of each permutation over the CRC-32 of a text's shingles; none without words."""
+    parts = [x.encode() for x in _SPACE.split(text) if x]
+    if not parts:
+        return None
+    joined = memoryview(b" ".join(parts))
+    ends = np.cumsum([len(x) + 1 for x in parts]) - 1
+    starts = np.append(0, ends[:-1] + 1)[: max(1, len(parts) - words + 1)]
+    hashes = np.unique(np.fromiter((zlib.crc32(joined[i:j]) for i, j in zip(starts.tolist(), ends[-len(starts) :].tolist(), strict=True)), np.uint64, len(starts)))
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        x = a[:, None] * hashes[None, at : at + 1024] + b[:, None]
+        np.minimum(least, (x - x // np.uint64(PRIME) * np.uint64(PRIME)).min(1), out=least)
+    return least.astype(np.int64)
+
+
 def minhash(docs: DataFrame) -> DataFrame:
     """doc_id and signature (array of 128 longs) of every document with words."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations()
-        for frame in frames:
-            signatures = [np.min([(a[:, None] * np.asarray(h[i : i + 4096], np.uint64)[None, :] + b[:, None]).__mod__(np.uint64(PRIME)).min(1) for i in range(0, len(h), 4096)], axis=0).astype(np.int64) for h in frame["hashes"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "signature": signatures})
-
-    hashed = docs.select("doc_id", F.transform(shingles(F.col("text")), lambda s: F.crc32(F.encode(s, "UTF-8"))).alias("hashes")).where(F.size("hashes") > 0)
-    return hashed.mapInPandas(run, "doc_id long, signature array<long>")
+        for batch in batches:
+            signed = [signature(x.as_py() or "", a, b) for x in batch.column(1)]
+            kept = [i for i, x in enumerate(signed) if x is not None]
+            flat = np.concatenate([np.zeros(0, np.int64), *(signed[i] for i in kept)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PERMUTATIONS, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), lists], names=["doc_id", "signature"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, signature array<long>")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.85) -> DataFrame:
