@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from folioweave.functions import text as T
 from folioweave.functions.folders import Principal, restrict
 from folioweave.operators import chunking, filters, graph, listing, retrieval
 from folioweave.session import checkpointed
+from folioweave.sources.warehouse import Warehouse
 
 
 @dataclass
@@ -75,6 +80,24 @@ def retrieve(chunks: DataFrame, docs: DataFrame, request: Request, nodes: DataFr
     return filters.with_citation(filters.only_current(found) if request.only_current else found)
 
 
+def retrieve_now(chunks: DataFrame, docs: DataFrame, request: Request, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """``retrieve``, evaluated. A lenient request whose graph fails is answered without it, and one whose search
+    fails by no rows; any other failure is raised, and so is a folder that isn't allowed."""
+    if not request.lenient:
+        return checkpointed(retrieve(chunks, docs, request, nodes, edges))
+    if nodes is not None:
+        try:
+            return checkpointed(retrieve(chunks, docs, request, nodes, edges))
+        except (PySparkException, Py4JError):
+            logging.getLogger(__name__).exception("the graph failed; the answer comes without it")
+    plan = retrieve(chunks, docs, request)
+    try:
+        return checkpointed(plan)
+    except (PySparkException, Py4JError):
+        logging.getLogger(__name__).exception("the search failed; the answer is empty")
+        return chunks.sparkSession.createDataFrame([], plan.schema)
+
+
 def _allowed(request: Request) -> bool:
     from folioweave.functions.folders import normalize_folder_name as n
 
@@ -110,9 +133,12 @@ def get_document(docs: DataFrame, chunks: DataFrame, doc_id: int, principal: Pri
     return found.join(texts, "doc_id", "left")
 
 
-def ingest(parsed: DataFrame, known: DataFrame, embedder=retrieval.hashing_embedder) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks with vectors) of parsed files that their folder doesn't have yet."""
-    new = listing.new_files(parsed.where("error is null"), known)
+MAX_BYTES = 50 << 20
+
+
+def ingest(parsed: DataFrame, known: DataFrame, embedder=retrieval.hashing_embedder, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks with vectors) of parsed files, not too large, that their folder doesn't have yet."""
+    new = listing.new_files(parsed.where((F.col("size_bytes") <= max_bytes) & F.col("error").isNull()), known)
     texts = new.withColumn("text", F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n"))
     docs = texts.withColumn("doc_id", F.sha1(F.concat_ws("\x1f", "folder", "doc_hash"))).withColumn("meta", T.metadata(F.col("text")))
     docs = docs.select("doc_id", "folder", "file_name", "doc_hash", "size_bytes", "pages", "meta.*", "text").withColumn("norm_key", T.norm_key(F.col("norm_id")))
@@ -123,6 +149,65 @@ def ingest(parsed: DataFrame, known: DataFrame, embedder=retrieval.hashing_embed
     return docs, retrieval.embed(filters.chunk_payload(docs.withColumn("tags", F.array().cast("array<string>")), chunks), embedder)
 
 
+def ingest_into(warehouse: Warehouse, parsed: DataFrame, embedder=retrieval.hashing_embedder, max_bytes: int = MAX_BYTES) -> int:
+    """Stores the new ones of parsed files: size check, duplicates, metadata, chunks, vectors, and the version
+    status of all documents, in one commit. Returns how many documents are new."""
+    old = warehouse.read("documents")
+    known = old if old is not None else parsed.select("doc_hash", F.col("folder")).limit(0)
+    docs, chunks = map(checkpointed, ingest(parsed, known, embedder, max_bytes))
+    n = docs.count()
+    if n:
+        every = docs if old is None else old.drop("valid_status", "superseded_by", "year").unionByName(docs)
+        kept = warehouse.read("chunks")
+        warehouse.commit(documents=_with_versions(every), chunks=chunks if kept is None else kept.unionByName(chunks))
+    return n
+
+
+def _with_versions(docs: DataFrame) -> DataFrame:
+    """The version status of documents whose ids are strings."""
+    numbered = docs.withColumnRenamed("doc_id", "name").withColumn("doc_id", F.xxhash64("name"))
+    status = checkpointed(listing.version_status(numbered))
+    names = status.select(F.col("doc_id").alias("superseded_by"), F.col("name").alias("newer"))
+    return status.join(names, "superseded_by", "left").drop("superseded_by", "doc_id").withColumnRenamed("name", "doc_id").withColumnRenamed("newer", "superseded_by")
+
+
+def reindex(docs: DataFrame, chunks: DataFrame, embedder=retrieval.hashing_embedder) -> tuple[DataFrame, DataFrame]:
+    """(search rows, counters) of all canonical chunks anew: payload of the document as it is now, and a vector.
+
+    Counters: doc_id, n chunks, and whether the document has none and must be parsed again.
+    """
+    rows = retrieval.embed(filters.chunk_payload(docs, chunks), embedder)
+    counted = docs.select("doc_id").join(chunks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
+    return rows, counted.select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
+
+
+class GraphCache:
+    """A graph's lookup tables in memory, read again when its version token has changed; the token is looked
+    at again after ``seconds`` at the earliest."""
+
+    def __init__(self, load: Callable[[], tuple[DataFrame, DataFrame]], token: Callable[[], object], seconds: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.load, self.token, self.seconds, self.clock = load, token, seconds, clock
+        self.tables: dict[str, DataFrame] = {}
+        self.version: object = None
+        self.looked: float | None = None
+
+    def get(self) -> dict[str, DataFrame]:
+        now = self.clock()
+        if self.looked is None or now - self.looked >= self.seconds:
+            version = self.token()
+            if self.looked is None or version != self.version:
+                self.invalidate()
+                self.tables = {name: df.persist() for name, df in graph.snapshot(*self.load()).items()}
+                self.version = version
+            self.looked = now
+        return self.tables
+
+    def invalidate(self) -> None:
+        for df in self.tables.values():
+            df.unpersist()
+        self.tables, self.looked = {}, None
+
+
 def refresh_graph(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, rounds: int = 100) -> dict[str, DataFrame]:
     """nodes with rank, community and participation; edges of both layers; communities."""
     nodes, first = graph.first_layer(docs, chunks)

@@ -105,10 +105,47 @@ def parse_xlsx(data: bytes) -> list[Page]:
     return pages
 
 
+def with_fallback(*parsers: Callable[[bytes], list[Page]]) -> Callable[[bytes], list[Page]]:
+    """The first parser whose pages have text: a PDF parser, then one that reads its images."""
+
+    def run(content: bytes) -> list[Page]:
+        pages: list[Page] = []
+        for parse in parsers:
+            pages = parse(content)
+            if any(p[1].strip() for p in pages):
+                break
+        return pages
+
+    return run
+
+
+def layout_page(number: int, tables: list[list[list[str | None]]], blocks: list[tuple[float, float, str]]) -> Page:
+    """A page from what a layout library has found in it: tables as rows of cells joined by bars, then the
+    blocks of text (top, left, text) outside of them in visual order; a short first line is the title."""
+    rows = [" | ".join((c or "").strip() for c in row) for table in tables for row in table if any(c and c.strip() for c in row)]
+    text = "\n".join([*rows, *(t.strip() for _, _, t in sorted(blocks) if t.strip())])
+    first = text.split("\n", 1)[0].strip()
+    return number, text, first if 0 < len(first) < 120 else None, None
+
+
 #: Parsers by suffix; a cluster with a PDF or layout library adds its own.
 PARSERS: dict[str, Callable[[bytes], list[Page]]] = {"txt": parse_text, "md": parse_text, "html": parse_html, "htm": parse_html, "docx": parse_docx, "xlsx": parse_xlsx}
 
 
+def sniffed(content: bytes) -> str | None:
+    """The suffix that a file's first bytes speak for, where its name doesn't tell."""
+    if content.startswith(b"%PDF-"):
+        return "pdf"
+    if content.startswith(b"PK\x03\x04"):
+        try:
+            names = zipfile.ZipFile(io.BytesIO(content)).namelist()
+        except zipfile.BadZipFile:
+            return None
+        return next((kind for inner, kind in (("word/document.xml", "docx"), ("xl/workbook.xml", "xlsx")) if inner in names), "zip")
+    head = content[:1024].lstrip().lower()
+    return "html" if head.startswith((b"<!doctype html", b"<html")) else None
+
+
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
 
@@ -126,9 +163,10 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], list[Page
                 name, pages, error = path.rsplit("/", 1)[-1], None, None
                 suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""
                 try:
-                    if suffix not in known:
+                    kind = suffix if suffix in known else sniffed(content)
+                    if kind not in known:
                         raise ValueError(f"no parser for .{suffix}")
-                    pages = [dict(zip(("number", "text", "title", "title_level"), p, strict=True)) for p in known[suffix](content)]
+                    pages = [dict(zip(("number", "text", "title", "title_level"), p, strict=True)) for p in known[kind](content)]
                 except Exception as e:  # one file's failure is its own
                     error = f"{type(e).__name__}: {e}"[:2000]
                 rows.append((path, name, hashlib.sha256(content).hexdigest(), len(content), pages, error))

@@ -65,3 +65,22 @@ def rolling_metrics(log: DataFrame, late: str = "10 minutes", window: str = "1 d
 def first_of_each(files: DataFrame, at: str = "modificationTime", late: str = "1 day") -> DataFrame:
     """Each hash and folder once within the watermark."""
     return files.withWatermark(at, late).dropDuplicatesWithinWatermark(["doc_hash", "folder"])
+
+
+def expired_sessions(starts: DataFrame, seconds: int = 3600) -> DataFrame:
+    """session_id and started of each session once its time has passed; a session that starts again counts anew
+    from then. ``starts``: session_id, started (with a watermark)."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (started,) = state.get
+            state.remove()
+            yield pd.DataFrame({"session_id": [key[0]], "started": pd.to_datetime([started], unit="us")})
+            return
+        latest = max(int(frame["started"].astype("int64").max()) // 1000 for frame in frames)
+        if state.exists:
+            latest = max(latest, state.get[0])
+        state.update((latest,))
+        state.setTimeoutTimestamp(max(latest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return starts.select("session_id", "started").groupBy("session_id").applyInPandasWithState(run, "session_id string, started timestamp", "started long", "append", GroupStateTimeout.EventTimeTimeout)

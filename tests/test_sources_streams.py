@@ -168,3 +168,81 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(tuple, limited.select("event_id", "allowed").collect())) == sorted(map(tuple, listing.rate_limit(events, 3, 3600).select("event_id", "allowed").collect()))
     windows = result(jobs.rolling_metrics(stream), "complete")
     assert windows.agg(F.sum("queries")).first()[0] == 24 * events.count()
+
+
+def test_files_are_sniffed_and_parsers_fall_back(spark):
+    pdf = lambda data: [files.layout_page(1, [[["a", None], ["b ", "c"]]], [(9.0, 1.0, "low"), (2.0, 1.0, " high ")])]
+    empty = lambda data: [(1, "  ", None, None)]
+    rows = spark.createDataFrame([("/x/one", b"%PDF-1.7"), ("/x/two.dat", docx()), ("/x/three", b"  <!DOCTYPE html><p>Ein"), ("/x/four", xlsx()), ("/x/five", b"PK\x03\x04broken"), ("/x/six", packed(a="b"))], "path string, content binary")
+    parsers = files.PARSERS | {"pdf": files.with_fallback(empty, pdf)}
+    got = {r["file_name"]: r for r in files.parse_files(rows, parsers).collect()}
+    assert tuple(got["one"]["pages"][0]) == (1, "a | \nb | c\nhigh\nlow", "a |", None)
+    assert got["two.dat"]["pages"][0]["text"] == "Intro" and got["three"]["pages"][0]["text"] == "Ein" and got["four"]["pages"][0]["title"] == "Blatt"
+    assert "no parser" in got["five"]["error"] and "no parser" in got["six"]["error"]
+    assert files.with_fallback(empty)(b"") == [(1, "  ", None, None)]
+
+
+def test_ingest_into_a_warehouse(spark, folder, tmp_path):
+    text = "Die Norm ÖNORM B 1801-1:2022 regelt Kosten. " * 40
+    (folder / "n.txt").write_text(text)
+    own = Warehouse(spark, str(tmp_path / "w"))
+
+    def take(**more):
+        parsed = files.parse_files(files.read_files(spark, str(folder))).withColumn("folder", files.folder_of(F.col("path"), str(folder)))
+        return plans.ingest_into(own, parsed, **more)
+
+    assert take(max_bytes=1) == 0 and own.read("documents") is None
+    assert take() == 5 and take() == 0
+    (folder / "old.txt").write_text(text.replace("2022", "2015"))
+    assert take() == 1
+    by_name = {r["file_name"]: r for r in own.read("documents").collect()}
+    assert len(by_name) == 6 and by_name["old.txt"]["valid_status"] == "superseded" and by_name["old.txt"]["superseded_by"] == by_name["n.txt"]["doc_id"] and by_name["n.txt"]["valid_status"] == "current"
+    docs, chunks = own.read("documents").withColumn("tags", F.array(F.lit("t"))), own.read("chunks").select("doc_id", "chunk_id", "folder", "text", "section_path", "page")
+    rows, counters = plans.reindex(docs, chunks)
+    assert rows.count() == chunks.count() and rows.where("vector is null or source_type <> 'txt'").count() == 0
+    n = {r["doc_id"]: (r["n"], r["missing"]) for r in counters.collect()}
+    assert n[by_name["n.txt"]["doc_id"]] == (by_name["n.txt"]["chunk_count"], False) and n[by_name["y.html"]["doc_id"]] == (0, True)
+
+
+def test_lenient_requests(spark):
+    chunks = spark.createDataFrame([("c1", 1, "/a/", "a.txt", "de", "norm", "Norm Kosten", [1.0, 0.0], 1, None, None)], "chunk_id string, doc_id long, folder string, file_name string, language string, doc_type string, text string, vector array<double>, page int, section_path string, section_title string")
+    docs = spark.createDataFrame([(1, "/a/", "current", None)], "doc_id long, folder string, valid_status string, superseded_by long")
+    nodes = spark.createDataFrame([("document:1", "document", ["/a/"], 1)], "node_key string, node_type string, folder_paths array<string>, doc_id long")
+    broken = spark.createDataFrame([("document:1", "norm:x", "references")], "src_key string, tgt_key string, relation string").where(F.raise_error(F.lit("graph")).isNull())
+    request = plans.Request("ISO 9001 Kosten", [1.0, 0.0], Principal("user", True), walk=True)
+    with pytest.raises(Exception, match="graph"):
+        plans.retrieve_now(chunks, docs, request, nodes, broken)
+    request.lenient = True
+    assert [r["chunk_id"] for r in plans.retrieve_now(chunks, docs, request, nodes, broken).collect()] == ["c1"]
+    assert plans.retrieve_now(chunks.where(F.raise_error(F.lit("search")).isNull()), docs, request).count() == 0
+
+
+def test_graph_cache(spark):
+    nodes = spark.createDataFrame([("document:1", "document", ["/a/"], 1)], "node_key string, node_type string, folder_paths array<string>, doc_id long")
+    edges = spark.createDataFrame([("document:1", "norm:x", "references")], "src_key string, tgt_key string, relation string")
+    now, version, loads = [0.0], [1], []
+    cache = plans.GraphCache(lambda: loads.append(1) or (nodes, edges), lambda: version[0], 30.0, lambda: now[0])
+    assert [tuple(r) for r in cache.get()["referring"].collect()] == [("norm:x", 1)] and cache.get()["adjacency"].count() == 2
+    version[0] = 2
+    now[0] = 29.0
+    cache.get()
+    assert len(loads) == 1
+    now[0] = 31.0
+    cache.get()
+    assert len(loads) == 2
+    now[0] = 70.0
+    cache.get()
+    assert len(loads) == 2
+    cache.invalidate()
+    cache.get()
+    assert len(loads) == 3
+
+
+def test_sessions_expire(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:30:00"), ("a", "2024-01-01 00:50:00"), ("c", "2024-01-01 01:45:00")], "session_id string, started string").selectExpr("session_id", "cast(started as timestamp) as started")
+    for i, r in enumerate([rows, rows.limit(0).unionByName(spark.createDataFrame([("d", "2024-01-01 01:46:00")], "session_id string, started string").selectExpr("session_id", "cast(started as timestamp) as started"))]):
+        r.coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "s")).withWatermark("started", "0 seconds")
+        jobs.expired_sessions(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.schema("session_id string, started timestamp").parquet(str(tmp_path / "out"))
+    assert sorted((r["session_id"], str(r["started"])) for r in got.collect()) == [("b", "2024-01-01 00:30:00")]
