@@ -20,7 +20,9 @@ need to be compared only among those of equal anchors, and the corpus is never s
    At most ``GROUP`` contexts are gathered. The windows of a larger group are dealt again, by offset in
    bands of ``BANDS`` windows and by a digest of the bytes that all windows of a band have, and the
    parts are sorted in the same way; in the last band equal windows have equal digests.
-4. The owned windows that repeat go back to their texts as byte ranges.
+4. The owned windows that repeat go back to their texts as byte ranges, and with them the longest
+   string of ``SHORT`` bytes or more around an anchor that the sort's neighbours share: shorter
+   passages that repeat are not removed, but known.
 
 A text of more than a slice is read in chunks that overlap, so memory doesn't grow with it.
 """
@@ -40,6 +42,8 @@ from folioweave.llm.common import cut, scratch_table, text_key
 
 LENGTH = 400
 GRAM = 48
+#: Bytes of a shared string that is worth knowing.
+SHORT = 300
 #: Contexts that are sorted together, at most, and offsets in a band when more of them are dealt again.
 GROUP = 1024
 BANDS = (32, 1)
@@ -135,7 +139,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     empty = np.zeros(0, np.int64)
     if len(data) < length:
         return empty, empty, empty, empty, empty.astype(np.uint64)
-    grams = kernel.mix(Prefixes(data).spans(np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1)))
+    sums, inverse = kernel.prefix_hashes(data)  # whatever gram an anchor is, equal windows have the same
+    grams = kernel.span_hashes(sums, inverse, np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1))
     width = length - gram + 1
     low = np.uint64(LONGEST - 1)
     # the least gram of each window, the leftmost of equals: prefix and suffix minima of blocks
@@ -231,15 +236,16 @@ def _repeated_anchors(docs: DataFrame, repeated: Bits, unlike: Bits) -> DataFram
     return docs.select("key", "text").mapInArrow(run, _ROWS)
 
 
-def common_extension(hashes: Prefixes, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Bytes that two suffixes share, up to a limit each, by binary search over prefix hashes."""
+def common_extension(hashes: Prefixes, a: np.ndarray, b: np.ndarray, limit: np.ndarray, back: bool = False) -> np.ndarray:
+    """Bytes that two suffixes share, up to a limit each, by binary search over prefix hashes; ``back``: bytes
+    before the two places."""
     low, high = np.zeros(len(a), np.int64), limit.copy()
     while True:
         open_ = np.flatnonzero(low < high)
         if not len(open_):
             return low
         middle = (low[open_] + high[open_] + 1) >> 1
-        same = hashes.equal(a[open_], b[open_], middle)
+        same = hashes.equal(a[open_] - middle * back, b[open_] - middle * back, middle)
         low[open_[same]] = middle[same]
         high[open_[~same]] = middle[~same] - 1
 
@@ -309,9 +315,10 @@ def verify(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -
             raise Collision
 
 
-def repeated_windows(content: list[bytes], at: np.ndarray, n: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def repeated_windows(content: list[bytes], at: np.ndarray, n: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For contexts (content, anchor less first window, windows), sorted by group: a flat mask of the
-    windows of each, in turn, that another context of the group has too."""
+    windows of each, in turn, that another context of the group has too; and the bytes around each
+    context's anchor that it shares with a neighbour in the sort."""
     for base in BASES:
         try:
             return _repeated_windows(content, at, n, group, length, base)
@@ -320,7 +327,7 @@ def repeated_windows(content: list[bytes], at: np.ndarray, n: np.ndarray, group:
     raise RuntimeError("strings share a hash under every base")
 
 
-def _repeated_windows(content: list[bytes], at: np.ndarray, n: np.ndarray, group: np.ndarray, length: int, base: int) -> np.ndarray:
+def _repeated_windows(content: list[bytes], at: np.ndarray, n: np.ndarray, group: np.ndarray, length: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(content), np.uint8)
     size = np.fromiter(map(len, content), np.int64, len(content))
     begin = np.cumsum(size) - size
@@ -328,7 +335,12 @@ def _repeated_windows(content: list[bytes], at: np.ndarray, n: np.ndarray, group
     hashes = Prefixes(data, base)
     order, shared = suffix_sort(data, hashes, anchor, end, group)
     later = np.flatnonzero(shared > 0)
-    verify(data, anchor[order[later - 1]], anchor[order[later]], shared[later])
+    x, y = order[later - 1], order[later]
+    verify(data, anchor[x], anchor[y], shared[later])
+    left = common_extension(hashes, anchor[x], anchor[y], np.minimum(at[x], at[y]), back=True)
+    verify(data, anchor[x] - left, anchor[y] - left, left)
+    reach = np.zeros(len(content), np.int64)
+    np.maximum.at(reach, np.concatenate([x, y]), np.tile(left + shared[later], 2))
     flat = np.cumsum(n) - n
     out = np.zeros(int(n.sum()), bool)
     high, low = at[order], at[order] - n[order] + 1  # the offsets of an owned window's anchor
@@ -348,7 +360,7 @@ def _repeated_windows(content: list[bytes], at: np.ndarray, n: np.ndarray, group
             hit = np.unique(np.concatenate([x, y]))
             out[flat[hit] + at[hit] - o] = True
     verify(data, anchor - farthest, anchor[partner] - farthest, farthest)
-    return out
+    return out, reach
 
 
 def _runs(mask: np.ndarray) -> list[int]:
@@ -357,21 +369,24 @@ def _runs(mask: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
-_DECIDED = "split long, hi long, lo long, runs array<int>, bytes binary, at int, n int"
+_DECIDED = "split long, hi long, lo long, runs array<int>, reach int, bytes binary, at int, n int"
 
 
 def _decide(contexts: DataFrame) -> DataFrame:
-    """split, hi, lo and the runs of windows that repeat; contexts of too large groups come through whole.
+    """split, hi, lo, the runs of windows that repeat and the bytes that neighbours share, if there are runs or
+    ``SHORT`` bytes; contexts of too large groups come through whole.
 
     ``contexts`` has a row for each split and digest: copies, at, n, bytes.
     """
 
-    def out(rows: list[tuple], runs: list, whole: bool = False) -> pa.RecordBatch:
+    def out(rows: list[tuple], runs: list, reach: list | None = None, whole: bool = False) -> pa.RecordBatch:
         split, hi, lo, _, at, n, content = zip(*rows, strict=True) if rows else [[]] * 7
         if not whole:
             at, n, content = [[None] * len(rows)] * 3
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((split, hi, lo, runs, content, at, n), kinds, strict=True)], names=["split", "hi", "lo", "runs", "bytes", "at", "n"])
+        # copies share their whole context
+        reach = reach or [r[5] + LENGTH - 1 for r in rows]
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((split, hi, lo, runs, reach, content, at, n), kinds, strict=True)], names=["split", "hi", "lo", "runs", "reach", "bytes", "at", "n"])
 
     def copied(row: tuple) -> list[int] | None:
         return [0, row[5]] if row[3] > 1 else None
@@ -380,11 +395,12 @@ def _decide(contexts: DataFrame) -> DataFrame:
         if rows:
             split = np.array([r[0] for r in rows])
             n = np.array([r[5] for r in rows], np.int64)
-            mask = repeated_windows([r[6] for r in rows], np.array([r[4] for r in rows], np.int64), n, np.cumsum(np.append(0, split[1:] != split[:-1])))
+            mask, reach = repeated_windows([r[6] for r in rows], np.array([r[4] for r in rows], np.int64), n, np.cumsum(np.append(0, split[1:] != split[:-1])))
             upto = np.append(0, np.cumsum(n))
             runs = [copied(r) or _runs(mask[a:b]) for r, a, b in zip(rows, upto[:-1], upto[1:], strict=True)]
-            kept = [i for i, x in enumerate(runs) if x]
-            yield out([rows[i] for i in kept], [runs[i] for i in kept])
+            reach = [r[5] + LENGTH - 1 if r[3] > 1 else x for r, x in zip(rows, reach.tolist(), strict=True)]
+            kept = [i for i, x in enumerate(runs) if x or reach[i] >= SHORT]
+            yield out([rows[i] for i in kept], [runs[i] for i in kept], [reach[i] for i in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups that need sorting
@@ -409,13 +425,13 @@ def _decide(contexts: DataFrame) -> DataFrame:
                 if group and group[0][0] != row[0]:
                     yield from close()
                 if large is not None and row[0] == large:
-                    yield out([row], [copied(row)], True)
+                    yield out([row], [copied(row)], whole=True)
                     continue
                 large = None
                 group.append(row)
                 if len(group) > GROUP:
                     large = row[0]
-                    yield out(group, [copied(r) for r in group], True)
+                    yield out(group, [copied(r) for r in group], whole=True)
                     group = []
         yield from close()
         yield from sort(held)
@@ -450,20 +466,20 @@ def _collapsed(rows: DataFrame) -> DataFrame:
 
 
 def _repeats(rows: DataFrame, level: int = 0) -> DataFrame:
-    """split, hi, lo and runs of windows that repeat, in one row or more for each context of ``rows``."""
+    """split, hi, lo, runs of windows that repeat and reach, in one row or more for each context of ``rows``."""
     decided = scratch_table(_decide(_collapsed(rows)))
-    sure = decided.where("runs is not null").select("split", "hi", "lo", "runs")
+    sure = decided.where("runs is not null").select("split", "hi", "lo", "runs", "reach")
     large = decided.where("bytes is not null")
     if level == len(BANDS) or large.isEmpty():
         return sure
     parts = scratch_table(_parts(large, BANDS[level]))
     inner = parts.drop("bytes", "at", "n").join(_repeats(parts, level + 1), ["split", "hi", "lo"])
     base = F.col("base")
-    return sure.unionByName(inner.select(F.col("owner").alias("split"), F.col("owner_hi").alias("hi"), F.col("owner_lo").alias("lo"), F.transform("runs", lambda w: w + base).alias("runs")))
+    return sure.unionByName(inner.select(F.col("owner").alias("split"), F.col("owner_hi").alias("hi"), F.col("owner_lo").alias("lo"), F.transform("runs", lambda w: w + base).alias("runs"), "reach"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """key, spans (array of start and end bytes) of the texts with repeated strings; spans may overlap.
+    """key, spans (array of start and end bytes), longest of the texts that share strings; spans may overlap.
 
     ``docs`` has key and text.
     """
@@ -473,7 +489,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = scratch_table(_repeated_anchors(docs, repeated, unlike))
     placed = rows.select("key", "first", "split", "hi", "lo").join(_repeats(rows), ["split", "hi", "lo"])
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)), lambda i: F.struct((F.col("first") + F.element_at("runs", i + 1)).alias("start"), (F.col("first") + F.element_at("runs", i + 2) + LENGTH - 1).alias("end")))
-    return placed.select("key", F.explode(pairs).alias("s")).groupBy("key").agg(F.collect_set("s").alias("spans"))
+    each = placed.select("key", "reach", F.explode_outer(F.when(F.size("runs") > 0, pairs)).alias("s"))
+    return each.groupBy("key").agg(F.collect_set("s").alias("spans"), F.max("reach").cast("long").alias("longest"))
 
 
 def joined(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -486,7 +503,10 @@ def joined(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of ``docs`` (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, longest, kept (binary) of every row of ``docs`` (doc_id, text).
+
+    ``longest`` are the bytes of the longest shared string that was met, from ``SHORT`` on, else 0: it
+    shows most passages that are too short to be removed, and is no less than ``LENGTH`` where bytes go.
 
     Null texts count as empty. Texts of fewer than ``LENGTH`` bytes stay whole. Repeated rows and
     equal texts are repeats of each other and lose all bytes if they are long enough. An empty table
@@ -494,7 +514,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(own.select("key", "text")).withColumnRenamed("key", "span_key")
-    both = own.join(spans, F.col("key") == F.col("span_key"), "left").select("doc_id", "text", "spans")
+    both = own.join(spans, F.col("key") == F.col("span_key"), "left").select("doc_id", "text", "spans", F.coalesce("longest", F.lit(0)).alias("longest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,10 +523,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kept, removed, count = [], [], []
             for i, spans in enumerate(batch.column(2)):
                 text = data[ends[i] : ends[i + 1]]
-                start, end = joined(spans.values) if spans.is_valid else (np.zeros(0, np.int64),) * 2
+                start, end = joined(spans.values) if spans.is_valid and len(spans.values) else (np.zeros(0, np.int64),) * 2
                 kept.append(b"".join(text[a:b].tobytes() for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True)))
                 removed.append(len(text) - len(kept[-1]))
                 count.append(len(start))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), batch.column(3), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "longest", "kept"])
 
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, longest long, kept binary")

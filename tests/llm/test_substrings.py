@@ -46,7 +46,9 @@ def planted(rng):
 def check(spark, docs):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
     expected = Counter((i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows]), strict=True))
-    assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in substrings.remove_repeats(docs).collect()) == expected
+    found = substrings.remove_repeats(docs).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found) == expected
+    assert all(r["longest"] >= LENGTH for r in found if r["n_removed"]) and all(r["longest"] == 0 or r["longest"] >= substrings.SHORT for r in found)
 
 
 def test_against_all_windows(spark, odd_docs, no_docs):  # noqa: F811
@@ -71,6 +73,18 @@ def test_large_groups_are_dealt_again(spark, monkeypatch):
         check(spark, docs)
 
 
+def test_shorter_passages_are_known(spark):
+    rng = random.Random(10)
+    line = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    shared = [line(n) for n in (320, 340, 370, 390)]
+    texts = [line(rng.randint(300, 900)) + shared[i % 4] + line(rng.randint(300, 900)) for i in range(60)] + [line(rng.randint(300, 2000)) for _ in range(60)]
+    texts += [line(500) + shared[0][:200] + line(500) for _ in range(9)]
+    rows = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    longest = {r["doc_id"]: r["longest"] for r in rows}
+    assert sum(longest[i] >= 300 for i in range(60)) >= 54 and not any(longest[i] for i in range(60, 129))
+    assert all(longest[i] <= len(shared[i % 4]) + 3 for i in range(60)) and not any(r["n_removed"] for r in rows)
+
+
 def test_texts_longer_than_a_slice(spark, monkeypatch):
     rng = random.Random(8)
     line = lambda n: "".join(rng.choice("abcdefghij klmnopé") for _ in range(n))
@@ -124,13 +138,13 @@ def test_collisions_are_seen(monkeypatch):
     content = [line(20) + b"x" * 48 + line(500) for _ in range(6)]
     content[3] = line(3) + content[1][3:]
     arguments = content, np.full(6, 20), np.array([len(x) - LENGTH + 1 for x in content]), np.zeros(6, np.int64)
-    right = substrings.repeated_windows(*arguments)
+    right, _ = substrings.repeated_windows(*arguments)
     assert right.any() and not right.all()
     tried = []
     plain = substrings.Prefixes
     monkeypatch.setattr(substrings, "Prefixes", lambda data, base: tried.append(base) or plain(data, base))
     monkeypatch.setattr(substrings, "BASES", (0, *substrings.BASES[:1]))
-    assert (substrings.repeated_windows(*arguments) == right).all() and len(tried) == 2
+    assert (substrings.repeated_windows(*arguments)[0] == right).all() and len(tried) == 2
     monkeypatch.setattr(substrings, "BASES", (0,))
     with pytest.raises(RuntimeError):
         substrings.repeated_windows(*arguments)
