@@ -200,7 +200,13 @@ def new_uploads(spark, d):
 
 # ---- text -------------------------------------------------------------------------------------------
 _REFS = """reftext AS (SELECT doc_id, 'Siehe ' || coalesce(norm_id, 'nichts') || ':' || coalesce(doc_version, '2000') || ' und DIN EN ISO ' || (9000 + doc_id % 10) || ' sowie § ' || (doc_id % 30) || 'a. Art. ' || (doc_id % 9 + 1) || '. ' AS text FROM docs)"""
-_KEYS = """refs AS (SELECT doc_id, norm_key AS k, 'norm' AS kind FROM docs WHERE norm_key IS NOT NULL UNION ALL SELECT doc_id, 'din_en_iso_' || (9000 + doc_id % 10), 'norm' FROM docs UNION ALL SELECT doc_id, 'par_' || (doc_id % 30) || 'a', 'legal' FROM docs UNION ALL SELECT doc_id, 'art_' || (doc_id % 9 + 1), 'legal' FROM docs)"""
+_PREFIX = "(?:önorm|oenorm|onorm|din|en|iso|iec)"
+_BLANK = r"[\s\pZ]"
+_KEYS = rf"""named AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?:^|[^\pL\pN_])({_PREFIX}(?:{_BLANK}+{_PREFIX})*{_BLANK}+[a-z]?{_BLANK}*[0-9]{{2,}}(?:{_BLANK}*[-–]{_BLANK}*[0-9]+)*(?:{_BLANK}*[:(]{_BLANK}*[0-9]{{4}}\)?)?)', 1)) AS raw FROM docs),
+  cited AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '§§?{_BLANK}*[0-9]+[a-z]?') || regexp_extract_all(lower(text), '(?:^|[^\pL\pN_])(art(?:ikel|\.)?{_BLANK}*[0-9]+[a-z]?)', 1)) AS raw FROM docs),
+  refs AS (SELECT doc_id, norm_key AS k, 'norm' AS kind FROM docs WHERE norm_key IS NOT NULL UNION SELECT doc_id, 'din_en_iso_' || (9000 + doc_id % 10), 'norm' FROM docs UNION SELECT doc_id, 'par_' || (doc_id % 30) || 'a', 'legal' FROM docs UNION SELECT doc_id, 'art_' || (doc_id % 9 + 1), 'legal' FROM docs
+  UNION SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '[:(][0-9]{{4}}\)?$', ''), '([a-zäöü])([0-9])', '\1 \2', 'g'), '^(oenorm|onorm) ', 'önorm '), '[^\pL\pN]+', '_', 'g'), 'norm' FROM named
+  UNION SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(raw, '^§§?', 'par '), '^(artikel|art\.)', 'art '), '[^\pL\pN]+', '_', 'g'), '_'), 'legal' FROM cited)"""
 
 
 @query("SELECT doc_id, kind || ':' || k AS ref FROM refs", M.DOCS_SQL, _KEYS)
@@ -696,7 +702,7 @@ def communities_documents(spark, d):
 
 @query("SELECT src_key, tgt_key, relation FROM edges e JOIN ok ON src_key = 'document:' || doc_id WHERE relation IN ('has_tag', 'references') AND (starts_with(tgt_key, 'tag:') OR starts_with(tgt_key, 'legal:')) AND " + _USER_SQL, M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
 def graph_view_acl(spark, d):
-    nodes, edges = _layer(spark, d)
+    nodes, edges = map(checkpointed, _layer(spark, d))
     shown = graph.graph_view(nodes.withColumn("pagerank", F.lit(0.0)), edges, USER, ["document", "tag", "legal"], 100_000)
     return shown[1].select("src_key", "tgt_key", "relation")
 
@@ -708,7 +714,7 @@ def node_neighbours(spark, d):
 
 @query("SELECT DISTINCT doc_id FROM refs JOIN ok USING (doc_id) WHERE k IN ('önorm_b_1003_1', 'par_7a') AND " + _USER_SQL, M.DOCS_SQL, _VERSIONS, _KEYS, _L1.split(",\n")[0])
 def fastpath_docs(spark, d):
-    nodes, edges = _layer(spark, d)
+    nodes, edges = map(checkpointed, _layer(spark, d))
     return graph.referring_documents(edges, "Was sagt OENORM B1003-1:2020 zu § 7a?", graph.visible_documents(nodes, USER))
 
 
