@@ -702,7 +702,7 @@ def communities_documents(spark, d):
 
 @query("SELECT src_key, tgt_key, relation FROM edges e JOIN ok ON src_key = 'document:' || doc_id WHERE relation IN ('has_tag', 'references') AND (starts_with(tgt_key, 'tag:') OR starts_with(tgt_key, 'legal:')) AND " + _USER_SQL, M.DOCS_SQL, _VERSIONS, _KEYS, _L1)
 def graph_view_acl(spark, d):
-    nodes, edges = map(checkpointed, _layer(spark, d))
+    nodes, edges = map(graph.checkpointed, _layer(spark, d))
     shown = graph.graph_view(nodes.withColumn("pagerank", F.lit(0.0)), edges, USER, ["document", "tag", "legal"], 100_000)
     return shown[1].select("src_key", "tgt_key", "relation")
 
@@ -714,7 +714,7 @@ def node_neighbours(spark, d):
 
 @query("SELECT DISTINCT doc_id FROM refs JOIN ok USING (doc_id) WHERE k IN ('önorm_b_1003_1', 'par_7a') AND " + _USER_SQL, M.DOCS_SQL, _VERSIONS, _KEYS, _L1.split(",\n")[0])
 def fastpath_docs(spark, d):
-    nodes, edges = map(checkpointed, _layer(spark, d))
+    nodes, edges = _layer(spark, d)
     return graph.referring_documents(edges, "Was sagt OENORM B1003-1:2020 zu § 7a?", graph.visible_documents(nodes, USER))
 
 
