@@ -205,7 +205,7 @@ _BLANK = r"[\s\pZ]"
 _KEYS = rf"""named AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?:^|[^\pL\pN_])({_PREFIX}(?:{_BLANK}+{_PREFIX})*{_BLANK}+[a-z]?{_BLANK}*[0-9]{{2,}}(?:{_BLANK}*[-–]{_BLANK}*[0-9]+)*(?:{_BLANK}*[:(]{_BLANK}*[0-9]{{4}}\)?)?)', 1)) AS raw FROM docs),
   cited AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '§§?{_BLANK}*[0-9]+[a-z]?') || regexp_extract_all(lower(text), '(?:^|[^\pL\pN_])(art(?:ikel|\.)?{_BLANK}*[0-9]+[a-z]?)', 1)) AS raw FROM docs),
   refs AS (SELECT doc_id, norm_key AS k, 'norm' AS kind FROM docs WHERE norm_key IS NOT NULL UNION SELECT doc_id, 'din_en_iso_' || (9000 + doc_id % 10), 'norm' FROM docs UNION SELECT doc_id, 'par_' || (doc_id % 30) || 'a', 'legal' FROM docs UNION SELECT doc_id, 'art_' || (doc_id % 9 + 1), 'legal' FROM docs
-  UNION SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '[:(][0-9]{{4}}\)?$', ''), '([a-zäöü])([0-9])', '\1 \2', 'g'), '^(oenorm|onorm) ', 'önorm '), '[^\pL\pN]+', '_', 'g'), 'norm' FROM named
+  UNION SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '[:(][0-9]{{4}}\)?$', ''), '([a-zäöü])([0-9])', '\1 \2', 'g'), '^(oenorm|onorm) ', 'önorm '), '[^\pL\pN]+', '_', 'g'), '_'), 'norm' FROM named
   UNION SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(raw, '^§§?', 'par '), '^(artikel|art\.)', 'art '), '[^\pL\pN]+', '_', 'g'), '_'), 'legal' FROM cited)"""
 
 
