@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -276,9 +277,31 @@ def conductance(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def describe_communities(members: DataFrame, ranks: DataFrame) -> DataFrame:
-    """community_id, size, label (of the highest ranked member) and a fingerprint of the members."""
-    joined = members.join(ranks, "node_key")
-    return joined.groupBy("community_id").agg(F.count("*").alias("size"), F.max_by(F.expr("substring(node_key, instr(node_key, ':') + 1)"), F.struct("pagerank", "node_key")).alias("label"), F.sha1(F.array_join(F.array_sort(F.collect_set("node_key")), "\x1f")).alias("member_fingerprint"))
+    """community_id, size, label (of the highest ranked member) and a fingerprint of the members.
+
+    Members stream through their task in order: no community is held whole. Each counts once.
+    """
+    joined = members.select("community_id", "node_key").distinct().join(ranks, "node_key")
+    kind = members.schema["community_id"].dataType
+    rows = joined.select("community_id", "node_key", "pagerank").repartition("community_id").sortWithinPartitions("community_id", "node_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, best, digest = None, 0, None, None
+        row = lambda: pa.RecordBatch.from_arrays([at, pa.array([size]), pa.array([best[1].partition(":")[2]]), pa.array([digest.hexdigest()])], names=["community_id", "size", "label", "member_fingerprint"])
+        for batch in batches:
+            keys, ranked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, community in enumerate(batch.column(0).to_pylist()):
+                if digest is None or community != at[0].as_py():
+                    if digest is not None:
+                        yield row()
+                    at, size, best, digest = batch.column(0).slice(i, 1), 0, None, hashlib.sha1()
+                digest.update((("\x1f" if size else "") + keys[i]).encode())
+                rank = (ranked[i] is not None, ranked[i] or 0.0, keys[i])
+                size, best = size + 1, max(best or (rank, keys[i]), (rank, keys[i]))
+        if digest is not None:
+            yield row()
+
+    return rows.mapInArrow(run, f"community_id {kind.simpleString()}, size long, label string, member_fingerprint string")
 
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -288,10 +311,10 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     links = checkpointed(undirected(edges))
     own = checkpointed(links.groupBy("node").agg(F.sum("w").alias("k")))
-    total = own.agg(F.sum("k")).first()[0] or 1.0
+    total, count = own.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.count("*")).first()
     members = own.select(F.col("node").alias("node_key"), "node")
-    while True:
-        at, moved = _local_moves(links, own, total)
+    while count:
+        at, moved = _local_moves(links, own, total, total / count)
         if not moved:
             break
         members = checkpointed(members.join(at.select("node", "c"), "node").select("node_key", F.col("c").alias("node")))
@@ -303,49 +326,82 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_key").distinct().join(placed, "node_key", "left").select("node_key", F.coalesce("community_id", "node_key").alias("community_id"))
 
 
-def _local_moves(links: DataFrame, own: DataFrame, total: float) -> tuple[DataFrame, bool]:
+def _local_moves(links: DataFrame, own: DataFrame, total: float, unit: float) -> tuple[DataFrame, bool]:
     """(node, k, c; whether any moved) once no node gains by a move to a neighbouring community.
 
-    In a round every node of the half that a hash picks moves to its best community. A round that
-    doesn't raise modularity is replaced by the moves that are best for both communities they touch:
-    their gains add up, and one at least is there, so that the rounds end.
+    In each round communities have one of two colours, and nodes move from givers to takers only. No
+    node then moves to a community that a neighbour leaves, so that the links count at least what the
+    single moves promise; what the moves change in the volumes together is added up by community, and
+    nodes whose joint move would cost more than it gains wait by a hash. A round whose gain isn't
+    certain is replaced by the moves that are best for both communities they touch: their gains add up,
+    and one at least is there, so that the rounds end.
     """
-    at, turn, moved = checkpointed(own.select("node", "k", F.col("node").alias("c"))), 0, False
-    score, careful = _within(links, at, total), False
+    at, turn, moved, careful = own.select("node", "k", F.col("node").alias("c")), 0, False, False
     while True:
-        volume = at.groupBy("c").agg(F.sum("k").alias("volume"))
-        moving = at.select("node", "k", F.col("c").alias("own"))
-        to = links.join(moving, "node").join(at.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "k", "own", "c").agg(F.sum("w").alias("w"))
-        stay = moving.select("node", "k", "own", F.col("own").alias("c"), F.lit(0.0).alias("w"))
-        options = to.unionByName(stay).groupBy("node", "k", "own", "c").agg(F.sum("w").alias("w")).join(volume, "c")
-        same = F.col("c") == F.col("own")
-        gain = F.round((F.col("w") - F.col("k") * (F.col("volume") - F.when(same, F.col("k")).otherwise(0.0)) / total) / total, 12)
-        best = options.groupBy("node", "own").agg(F.max(F.struct(gain.alias("gain"), same.alias("same"), F.col("c").alias("c"))).alias("to"), F.max(F.when(same, gain)).alias("now"))
-        wanted = checkpointed(best.select("node", "own", F.col("to.c").alias("c"), (F.col("to.gain") - F.col("now")).alias("gain")).where("c <> own and gain > 1e-11"))
+        wanted = checkpointed(_wanted(links, at, total, unit))
         if wanted.isEmpty():
             return at, moved
-        if careful:
-            rank = F.struct("gain", "node")
-            first = wanted.select(F.explode(F.array("own", "c")).alias("x"), rank.alias("rank")).groupBy("x").agg(F.max("rank").alias("rank"))
-            chosen = wanted.withColumn("rank", rank).join(first.select(F.col("x").alias("own"), "rank"), ["own", "rank"]).join(first.select(F.col("x").alias("c"), "rank"), ["c", "rank"])
-        else:
-            chosen = wanted.where(F.pmod(F.xxhash64("node", F.lit(SEED + turn)), F.lit(2)) == 0)
-        tried = checkpointed(at.join(chosen.select("node", F.col("c").alias("to")), "node", "left").select("node", "k", F.coalesce("to", "c").alias("c")))
-        after = _within(links, tried, total)
+        chosen = _disjoint(wanted) if careful else _thinned(_between_colours(wanted, turn), total, turn)
+        tried = checkpointed(at.join(chosen.select("node", F.col("c").alias("to"), "links_gain"), "node", "left").select("node", "k", F.coalesce("to", "c").alias("c"), F.col("c").alias("before"), "links_gain"))
         # moves that are best for both of their communities rise by their gains, whatever the sums' last digits
-        if careful or after > score + 1e-12:
-            at, score, moved, careful = tried, after, True, False
+        if careful or _gain(tried, total) > 1e-9 * unit:
+            at, moved, careful = tried.select("node", "k", "c"), True, False
         else:
             careful = True
         turn += 1
 
 
-def _within(links: DataFrame, at: DataFrame, total: float) -> float:
-    """Modularity of a level but for the weight within its nodes, which no move changes."""
-    ends = links.join(at.select("node", F.col("c").alias("a")), "node").join(at.select(F.col("node").alias("other"), F.col("c").alias("b")), "other")
-    inner = ends.where("a = b").agg(F.sum("w")).first()[0] or 0.0
-    square = at.groupBy("c").agg((F.sum("k") / total).alias("v")).agg(F.sum(F.col("v") ** 2)).first()[0] or 0.0
-    return inner / total - square
+def _wanted(links: DataFrame, at: DataFrame, total: float, unit: float) -> DataFrame:
+    """node, k, own, c, gain, links_gain of the nodes whose best move gains: half of what modularity rises
+    by, times the weight of all links, and the part of it that links make."""
+    volume = at.groupBy("c").agg(F.sum("k").alias("volume"))
+    moving = at.select("node", "k", F.col("c").alias("own"))
+    to = links.join(moving, "node").join(at.select(F.col("node").alias("other"), "c"), "other").select("node", "k", "own", "c", "w")
+    stay = moving.select("node", "k", "own", F.col("own").alias("c"), F.lit(0.0).alias("w"))
+    options = to.unionByName(stay).groupBy("node", "k", "own", "c").agg(F.sum("w").alias("w")).join(volume, "c")
+    same = F.col("c") == F.col("own")
+    gain = F.round((F.col("w") - F.col("k") * (F.col("volume") - F.when(same, F.col("k")).otherwise(0.0)) / total) / unit, 9)
+    best = options.groupBy("node", "k", "own").agg(F.max(F.struct(gain.alias("gain"), same.alias("same"), "c", "w")).alias("to"), F.max(F.when(same, gain)).alias("now"), F.max(F.when(same, F.col("w"))).alias("held"))
+    return best.select("node", "k", "own", "to.c", ((F.col("to.gain") - F.col("now")) * unit).alias("gain"), (F.col("to.w") - F.col("held")).alias("links_gain")).where(f"c <> own and gain > {2e-9 * unit!r}")
+
+
+def _between_colours(wanted: DataFrame, turn: int) -> DataFrame:
+    """Moves from givers to takers. In even turns a community takes if more is gained by moves to it than by moves
+    from it, in odd ones a hash says so."""
+    if turn % 2:
+        takes = lambda c: F.pmod(F.xxhash64(c, F.lit(SEED + turn)), F.lit(2)) == 0
+        return wanted.where(~takes(F.col("own")) & takes(F.col("c")))
+    ends = wanted.select(F.explode(F.array(F.struct(F.col("c").alias("x"), F.col("gain").alias("g")), F.struct(F.col("own").alias("x"), (-F.col("gain")).alias("g")))).alias("e"))
+    pull = ends.groupBy("e.x").agg((F.sum("e.g") > 0).alias("takes"))
+    sides = wanted.join(pull.select(F.col("x").alias("c"), "takes"), "c").join(pull.select(F.col("x").alias("own"), F.col("takes").alias("keeps")), "own")
+    return sides.where("takes and not keeps").select(*wanted.columns)
+
+
+def _thinned(moves: DataFrame, total: float, turn: int) -> DataFrame:
+    """The moves whose hash is below the share at which those of a community gain most together."""
+    for side in ("c", "own"):
+        joint = (F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / (2 * total)
+        share = moves.groupBy(side).agg(F.when(joint > 0, F.sum("gain") / (2 * joint)).otherwise(1.0).alias(f"share_{side}"))
+        moves = moves.join(share, side)
+    draw = F.pmod(F.xxhash64("node", F.lit(SEED - turn)), F.lit(1 << 20)) / (1 << 20)
+    return moves.where(draw < F.least("share_c", "share_own"))
+
+
+def _disjoint(wanted: DataFrame) -> DataFrame:
+    """The moves that are best for both communities they touch."""
+    rank = F.struct("gain", "node")
+    first = wanted.select(F.explode(F.array("own", "c")).alias("x"), rank.alias("rank")).groupBy("x").agg(F.max("rank").alias("rank"))
+    return wanted.withColumn("rank", rank).join(first.select(F.col("x").alias("own"), "rank"), ["own", "rank"]).join(first.select(F.col("x").alias("c"), "rank"), ["c", "rank"])
+
+
+def _gain(tried: DataFrame, total: float) -> float:
+    """What the moves gain at least: their links, less what the squares of the volumes grow by."""
+    change = F.array(
+        F.struct(F.col("before").alias("c"), F.col("k").alias("volume"), F.when(F.col("before") != F.col("c"), -F.col("k")).otherwise(0.0).alias("d"), F.coalesce("links_gain", F.lit(0.0)).alias("g")),
+        F.struct(F.col("c"), F.lit(0.0).alias("volume"), F.when(F.col("before") != F.col("c"), F.col("k")).otherwise(0.0).alias("d"), F.lit(0.0).alias("g")),
+    )
+    by = tried.select(F.explode(change).alias("e")).groupBy("e.c").agg(F.sum("e.volume").alias("volume"), F.sum("e.d").alias("d"), F.sum("e.g").alias("g"))
+    return by.agg(F.sum(F.col("g") - F.col("d") * (2 * F.col("volume") + F.col("d")) / (2 * total))).first()[0]
 
 
 def modularity(members: DataFrame, edges: DataFrame) -> float:

@@ -90,12 +90,12 @@ def retrieve_now(chunks: DataFrame, docs: DataFrame, request: Request, nodes: Da
             return checkpointed(retrieve(chunks, docs, request, nodes, edges))
         except (PySparkException, Py4JError):
             logging.getLogger(__name__).exception("the graph failed; the answer comes without it")
-    plan = retrieve(chunks, docs, request)
     try:
-        return checkpointed(plan)
+        return checkpointed(retrieve(chunks, docs, request))
     except (PySparkException, Py4JError):
         logging.getLogger(__name__).exception("the search failed; the answer is empty")
-        return chunks.sparkSession.createDataFrame([], plan.schema)
+        none = (chunks.sparkSession.createDataFrame([], x.schema) for x in (chunks, docs))
+        return retrieve(*none, replace(request, index=None))
 
 
 def _allowed(request: Request) -> bool:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,25 @@ def build_session(app: str = "folioweave", **conf: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder; in local mode in a temporary one where none is set."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written as Parquet in the cluster's shared folder and read back; in local mode in a temporary one
+    where none is set.
+
+    Lineage ends in files that any executor can read again, and the plan's size is that of the files: the
+    plan of a ``DataFrame.checkpoint`` keeps its estimate, which joins multiply round by round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_folder(spark: SparkSession) -> str:

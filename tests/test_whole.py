@@ -1,8 +1,11 @@
 """Queries that do the whole job, on small tables of hard rows against brute force."""
 
+import hashlib
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioweave import catalog
 from folioweave.functions import text as T
@@ -95,3 +98,68 @@ def test_communities_settle_and_contract(spark):
     assert q == pytest.approx(graph.modularity(found, edges))
     # no two communities gain by becoming one: the levels have ended
     assert all(quality({k: x if v == y else v for k, v in by.items()}) <= q + 1e-9 for x in groups for y in groups if x < y)
+
+
+def sequential_louvain(links, rng):
+    """Modularity of moves one by one and contraction, written out."""
+    near = {}
+    for a, b, w in links:
+        near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0.0) + w
+        near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0.0) + w
+    place = {n: n for n in near}
+    inner = dict.fromkeys(near, 0.0)
+    while True:
+        k = {n: sum(near[n].values()) + inner[n] for n in near}
+        total, at, volume, moved = sum(k.values()), {n: n for n in near}, dict(k), False
+        again = True
+        while again:
+            again = False
+            for n in rng.permutation(sorted(near)).tolist():
+                to = {at[n]: 0.0}
+                for o, w in near[n].items():
+                    to[at[o]] = to.get(at[o], 0.0) + w
+                volume[at[n]] -= k[n]
+                best = max(to, key=lambda c: (round(to[c] - k[n] * volume[c] / total, 9), c == at[n]))
+                again, moved, at[n] = again or best != at[n], moved or best != at[n], best
+                volume[best] += k[n]
+        if not moved:
+            return sum(inner.values()) / total - sum((v / total) ** 2 for v in volume.values())
+        place = {n: at[c] for n, c in place.items()}
+        new, own = {c: {} for c in set(at.values())}, dict.fromkeys(set(at.values()), 0.0)
+        for n in near:
+            own[at[n]] += inner[n]
+            for o, w in near[n].items():
+                if at[n] == at[o]:
+                    own[at[n]] += w
+                else:
+                    new[at[n]][at[o]] = new[at[n]].get(at[o], 0.0) + w
+        near, inner = new, own
+
+
+def test_communities_of_a_thousand_nodes_equal_moves_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    group = rng.integers(0, 25, 1000)
+    near = {(int(a), int(b)) for a, b in rng.integers(0, 1000, (60_000, 2)) if a < b and (group[a] == group[b] or rng.random() < 0.02)}
+    hubs = {(i, 990 + i % 10) for i in range(0, 980, 2)}  # ten nodes that touch half of all
+    links = [(f"n{a:04}", f"n{b:04}", 1.0) for a, b in sorted(near | hubs)]
+    edges = spark.createDataFrame(links, "src_key string, tgt_key string, w_eff double")
+    nodes = spark.createDataFrame([(f"n{i:04}",) for i in range(1000)], "node_key string")
+    found = graph.checkpointed(graph.communities(nodes, edges))
+    least = min(sequential_louvain(links, np.random.default_rng(i)) for i in range(3))
+    assert found.count() == 1000 and graph.modularity(found, edges) >= least - 0.02
+
+
+def test_size_of_a_cut_plan_stays_that_of_its_rows(spark):
+    rows = spark.range(200).selectExpr("id", "id % 7 as g")
+    for _ in range(20):  # each round joins twice what it made
+        rows = graph.checkpointed(rows.join(rows.groupBy("g").agg(F.count("*").alias("n")), "g").select("id", "g"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert rows.count() == 200 and size < 100_000
+
+
+def test_fingerprints_of_large_communities(spark):
+    members = spark.range(30_000).selectExpr("concat('n:', id) as node_key", "if(id < 29000, 'big', 'small') as community_id")
+    marks = {r["community_id"]: r for r in graph.describe_communities(members.unionByName(members.limit(10)), members.selectExpr("node_key", "cast(substring(node_key, 3) as double) as pagerank")).collect()}
+    for name, ids in (("big", range(29_000)), ("small", range(29_000, 30_000))):
+        joined = "\x1f".join(sorted(f"n:{i}" for i in ids))
+        assert marks[name]["size"] == len(ids) and marks[name]["label"] == str(max(ids)) and marks[name]["member_fingerprint"] == hashlib.sha1(joined.encode()).hexdigest()
