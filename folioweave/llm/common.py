@@ -41,7 +41,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -53,7 +53,8 @@ def scratch_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path, if it is there and the session still runs."""
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
         return

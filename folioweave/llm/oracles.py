@@ -81,4 +81,42 @@ SELECT doc_id, len(list_filter(base, lambda s: s.kind = 'assign')) AS n_assign,
 FROM a
 """
 
-ORACLES = {"op6_secrets": OP6, "op7_decontamination": OP7, "op9_mixing": OP9}
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP12 = f"""
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+  FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Codebooks (c) and assignments (a) of each round; distances are sums of whole products, exact as doubles."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, x.p, any_value(x.x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS best
+  FROM x JOIN c{i} c ON c.p = x.p GROUP BY vec_id, x.p)""")
+        if i < rounds:
+            out.append(f"""m{i} AS (SELECT p, e, list(v ORDER BY i) AS c FROM (SELECT p, best % 256 AS e, i, floor(sum(x[i]) / count(*)) AS v FROM a{i}, range(1, 1 + (SELECT max(len(x)) FROM x)) t(i) GROUP BY ALL) GROUP BY p, e)""")
+            out.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON m.p = c.p AND m.e = c.e)""")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings WHERE {_USABLE}),
+x AS MATERIALIZED (SELECT vec_id, p, q[p * len(q) // 4 + 1 : (p + 1) * len(q) // 4] AS x FROM k, range(4) t(p)),
+c0 AS MATERIALIZED (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, x AS c FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
+{_lloyd(4)},
+d AS (SELECT vec_id, lower(string_agg(printf('%02x', (best % 256)::INTEGER), '' ORDER BY p)) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v::BIGINT, ',' ORDER BY p, e, i)) FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM c4)) AS codebooks_sha256
+FROM d JOIN k USING (vec_id)
+"""
+
+ORACLES = {"op6_secrets": OP6, "op7_decontamination": OP7, "op9_mixing": OP9, "op12_hard_negatives": OP12, "op13_vector_codes": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, mixing, oracles, pii, search, secrets, sharding, simhash, spans, substrings, tokens, toxicity
+from folioweave.llm import codes, decontam, mixing, negatives, oracles, pii, quality, search, secrets, sharding, simhash, spans, substrings, tokens, toxicity
 from folioweave.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op2_sharding, op3_substrings, op4_token_ids, op5_pii, op6_secrets, op6_secrets_by_window, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.of_embeddings(table(spark, sf_dir, "embeddings")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_search, op2_sharding, op3_substrings, op4_token_ids, op5_pii, op6_secrets, op6_secrets_by_window, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity, op11_quality, op12_hard_negatives, op13_vector_codes)}
 
 ORACLES: dict[str, str] = oracles.ORACLES
