@@ -6,46 +6,36 @@ Scores are computed over narrow rows; texts and payload join the few that remain
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioweave.operators.text_index import TERM, Keep, TextIndex, best_of, weight
 from folioweave.session import checkpointed
 
-K1, B, RRF_K = 1.2, 0.75, 60
-
-
-TERM = r"[\p{L}\p{N}]+"
-
-
-def terms(text: Column) -> Column:
-    """The runs of letters and digits of a text, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+RRF_K = 60
 
 
 def asked_terms(question: str) -> list[str]:
     return sorted(set(re.findall(r"[^\W_]+", question.lower())))
 
 
-def _weight(tf: Column, df: Column, length: Column, n: Column, mean: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-
-
-def bm25(chunks: DataFrame, question: str, k: int, key: str = "chunk_id", index: TextIndex | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, question: str, k: int, key: str = "chunk_id", index: TextIndex | None = None, keep: Keep | None = None) -> DataFrame:
     """key, score, rank of the best k rows for the terms of a question; statistics are those of ``chunks``.
 
-    With an index only the postings of the question's terms are read, and the keys of ``chunks`` say
-    which of them count. Without one a pass over the texts counts the terms where the texts lie.
+    With an index only the postings of the question's terms are read; ``keep``, the filter that has made
+    ``chunks``, says which of them count, or else the keys of ``chunks``. Without an index a pass over
+    the texts counts the terms where the texts lie.
     """
     asked = asked_terms(question)
     if not asked:
         return chunks.select(F.col(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    if index is not None and keep is not None:
+        return index.best(asked, k, keep)
     if index is not None:
         return top(index.scores(asked, chunks.select(key)), k, key)
     low = chunks.select(key, F.lower("text").alias("low"))
@@ -56,50 +46,11 @@ def bm25(chunks: DataFrame, question: str, k: int, key: str = "chunk_id", index:
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
     score = F.lit(0.0)
     for i in range(len(asked)):
-        score = score + _weight(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("length"), F.col("n"), F.col("mean"))
+        score = score + weight(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("length"), F.col("n"), F.col("mean"))
     hits = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(asked))))
     return top(hits.join(F.broadcast(stats)).select(key, F.round(score, 9).alias("score")), k, key)  # stats is one row
 
 
-@dataclass(frozen=True)
-class TextIndex:
-    """An inverted index of texts in two tables: ``lengths`` (key, length) and ``postings`` (bucket, term, key,
-    tf, length), dealt by a hash of the term, so that a question reads the buckets of its terms alone."""
-
-    spark: SparkSession
-    path: str
-    key: str = "chunk_id"
-    buckets: int = 64
-
-    def write(self, chunks: DataFrame, slices: int = 8) -> TextIndex:
-        """Indexes ``chunks`` (key, text). A term's postings are cut into slices by key, so that a term of
-        every text is no single task's."""
-        words = chunks.select(self.key, terms(F.col("text")).alias("words"))
-        words.select(self.key, F.size("words").alias("length")).write.mode("overwrite").parquet(f"{self.path}/lengths")
-        each = words.select(self.key, F.size("words").alias("length"), F.explode("words").alias("term"))
-        dealt = each.withColumn("bucket", self._bucket(F.col("term"))).withColumn("slice", F.pmod(F.xxhash64(self.key), F.lit(slices)).cast("int")).repartition("bucket", "slice")
-        postings = dealt.groupBy("bucket", "slice", "term", self.key).agg(F.count("*").alias("tf"), F.first("length").alias("length")).drop("slice")
-        postings.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        return self
-
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(self.buckets)).cast("int")
-
-    def scores(self, asked: list[str], allowed: DataFrame | None = None) -> DataFrame:
-        """key, score of every text with one of the terms, among those whose key is allowed."""
-        postings = self.spark.read.parquet(f"{self.path}/postings")
-        buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in asked})
-        hits = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
-        lengths = self.spark.read.parquet(f"{self.path}/lengths")
-        if allowed is not None:
-            hits, lengths = (x.join(allowed, self.key, "left_semi") for x in (hits, lengths))
-        stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-        often = hits.groupBy("term").agg(F.count("*").alias("df"))
-        weighed = hits.join(F.broadcast(often), "term").join(F.broadcast(stats))  # a row for each asked term, and one row
-        weight = _weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean"))
-        return weighed.groupBy(self.key).agg(F.round(F.sum(weight), 9).alias("score"))
-
-
 def cosine(vector: Column, query: list[float]) -> Column:
     """Dot product with a unit query; both are unit vectors."""
     literal = F.array(*[F.lit(float(x)) for x in query])
@@ -121,18 +72,17 @@ def fuse(*ranked: DataFrame, key: str = "chunk_id", k: int = RRF_K) -> DataFrame
 
 
 def top(rows: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    best = rows.orderBy(F.desc("score"), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
+    return best_of(rows, k, key)
 
 
-def hybrid(chunks: DataFrame, question: str | None, query: list[float], k: int, condition: Column | None = None, use_text: bool = True, index: TextIndex | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, question: str | None, query: list[float], k: int, condition: Column | None = None, use_text: bool = True, index: TextIndex | None = None, keep: Keep | None = None) -> DataFrame:
     """The best k by both rankings, filtered before ranking; without a question by vectors alone."""
     if condition is not None:
         chunks = chunks.where(condition)
     dense = nearest(chunks.where("vector is not null"), query, k)
     if not use_text or not (question or "").strip():
         return dense
-    return top(fuse(dense, bm25(chunks, question, k, index=index)), k)
+    return top(fuse(dense, bm25(chunks, question, k, index=index, keep=keep)), k)
 
 
 def merge_candidates(*lists: DataFrame) -> DataFrame:

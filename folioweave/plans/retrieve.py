@@ -37,6 +37,7 @@ class Request:
     seeds: int = 5
     walk_documents: int = 10
     reranker: Callable[[str, list[str]], list[float]] | None = field(default=None)
+    #: A kept index of the chunks by folder, doc_type and language.
     index: retrieval.TextIndex | None = None
     #: Answer without the graph, or with nothing at all, where a search fails, rather than raise.
     lenient: bool = False
@@ -50,12 +51,16 @@ def retrieve(chunks: DataFrame, docs: DataFrame, request: Request, nodes: DataFr
     """
     if request.folder is not None and not request.principal.unrestricted and not _allowed(request):
         raise PermissionError(request.folder)
-    own = restrict(chunks, request.principal)
-    if request.folder is not None:
-        own = restrict(own, Principal("user", False, (request.folder,)))
-    own = own.where(filters.access_filter(None, request.doc_type, request.language))
+
+    def keep(rows: DataFrame) -> DataFrame:
+        rows = restrict(rows, request.principal)
+        if request.folder is not None:
+            rows = restrict(rows, Principal("user", False, (request.folder,)))
+        return rows.where(filters.access_filter(None, request.doc_type, request.language))
+
+    own = keep(chunks)
     k = request.top_k * 3 if request.reranker else request.top_k
-    ranked = retrieval.hybrid(own, request.question, request.vector, k, use_text=request.use_text, index=request.index)
+    ranked = retrieval.hybrid(own, request.question, request.vector, k, use_text=request.use_text, index=request.index, keep=keep)
     found = own.drop("vector").join(ranked, "chunk_id")
     if nodes is not None and edges is not None:
         visible = graph.visible_documents(nodes, request.principal)
