@@ -8,7 +8,8 @@ Items are partitioned by size, doubling. All shingles have one MinHash order. In
 with up to N shingles an item's sketch is its ``missed(N) + hits(N)`` least hashes; a document that
 holds 0.8 of the item misses at most ``missed(N)`` of its shingles, so it has ``hits(N)`` of the sketch
 at least. A document's sketch for the partition is its hashes up to the greatest in any sketch of the
-partition: no other can meet one. So the partition tunes both sides and the search has no false
+partition: no other can meet one. Large items keep about a fifth of their hashes, and so does every
+document where it meets them. So the partition tunes both sides and the search has no false
 negatives. A candidate is verified by counting the item's shingles, as strings, in the document.
 
 Items go to the executors in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents
@@ -19,6 +20,7 @@ block by itself. Shingles become strings only for candidates.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,36 @@ def hits(size: int) -> int:
     return 1 if size < 8 else 2 if size < 32 else 4
 
 
+@dataclass
+class Partition:
+    """Sketches of the items of one width and size: hashes ascending, and the item of each."""
+
+    width: int
+    size: int
+    hash: np.ndarray
+    item: np.ndarray
+    #: Hashes of documents that were held against the sketches.
+    read: int = 0
+
+    def __post_init__(self):
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.item = self.hash[order], self.item[order].astype(np.int32)
+        self.limit = self.hash[-1]
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[self.hash >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def met(self, hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """(row, item, hash) of the hashes of documents up to the limit that are in a sketch, each once."""
+        self.read += len(hashes)
+        maybe = self.filter[hashes >> np.uint64(64 - _FILTER_BITS)]
+        hashes, of = hashes[maybe], of[maybe]
+        lo, hi = (np.searchsorted(self.hash, hashes, side=side) for side in ("left", "right"))
+        met = np.flatnonzero(hi > lo)
+        count = (hi - lo)[met]
+        at = np.repeat(lo[met] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return np.unique(np.stack([np.repeat(of[met], count), self.item[at], self.hash[at].view(np.int64)]), axis=1)
+
+
 class Items:
     """A block of items in partitions, as tasks read them."""
 
@@ -54,47 +86,38 @@ class Items:
         self.text, self.end = b"".join(r[1] for r in rows), np.append(0, np.cumsum([len(r[1]) for r in rows]))
         data = np.frombuffer(self.text, np.uint8)
         words, row = kernel.word_hashes(data, self.end, kernel.ALNUM)
-        n_words = np.bincount(row, minlength=len(rows))
         #: Words of the item's shingles, and how many of these a document must share with its sketch.
-        self.width = np.minimum(n_words, WORDS)
+        self.width = np.minimum(np.bincount(row, minlength=len(rows)), WORDS)
         self.hits = np.zeros(len(rows), np.int64)
-        owner, sketch = [], []
-        #: By width: the greatest hash of any sketch.
-        self.limit = np.zeros(WORDS + 1, np.uint64)
+        #: By width, the largest sizes first as far as the limits go.
+        self.partitions: list[Partition] = []
         for width in range(1, WORDS + 1):
             hashes, of = kernel.shingle_hashes(words, row, width)
             kept = self.width[of] == width
-            pairs = np.unique(np.stack([of[kept].astype(np.uint64), hashes[kept]]), axis=1) if kept.any() else np.zeros((2, 0), np.uint64)
+            if not kept.any():
+                continue
+            pairs = np.unique(np.stack([of[kept].astype(np.uint64), hashes[kept]]), axis=1)
             of, hashes = pairs[0].astype(np.int64), pairs[1]  # by item, hashes ascending
             items, first, count = np.unique(of, return_index=True, return_counts=True)
             largest = np.array([1 << (n - 1).bit_length() for n in count.tolist()], np.int64)  # of the item's partition
             self.hits[items] = [min(hits(int(n)), m - missed(m, threshold)) for n, m in zip(largest.tolist(), count.tolist(), strict=True)]
             size = np.minimum(count, np.array([missed(n, threshold) + hits(n) for n in largest.tolist()], np.int64))
-            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            owner.append(of[at])
-            sketch.append(hashes[at])
-            self.limit[width] = hashes[at].max(initial=0)
-        owner, sketch = np.concatenate(owner), np.concatenate(sketch)
-        order = np.argsort(sketch, kind="stable")
-        self.hash, self.item = sketch[order], owner[order].astype(np.int32)
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.hash >> np.uint64(64 - _FILTER_BITS)] = True
-        self.widths = np.flatnonzero(np.bincount(self.width[self.width > 0], minlength=WORDS + 1)).tolist()
+            for n in np.unique(largest).tolist():
+                own = np.flatnonzero(largest == n)
+                at = np.repeat(first[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(int(size[own].sum()))
+                self.partitions.append(Partition(width, n, hashes[at], of[at]))
+        self.partitions.sort(key=lambda x: (x.width, -int(x.limit)))
 
     def candidates(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
         """(row, item) of every document with enough of an item's sketch, by row; ``words`` are hashes."""
-        pairs = []
-        for width in self.widths:
-            hashes, of = kernel.shingle_hashes(words, row, width)
-            maybe = np.flatnonzero((hashes <= self.limit[width]) & self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])
-            hashes, of = hashes[maybe], of[maybe]
-            lo, hi = (np.searchsorted(self.hash, hashes, side=side) for side in ("left", "right"))
-            met = np.flatnonzero(hi > lo)
-            if len(met):
-                count = (hi - lo)[met]
-                at = np.repeat(lo[met] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                found = np.unique(np.stack([np.repeat(of[met], count), self.item[at], self.hash[at].view(np.int64)]), axis=1)[:2]
-                pairs.append(found[:, self.width[found[1]] == width])
+        pairs, width = [], 0
+        for part in self.partitions:
+            if part.width != width:
+                width = part.width
+                hashes, of = kernel.shingle_hashes(words, row, width)
+            below = hashes <= part.limit
+            hashes, of = hashes[below], of[below]  # limits fall: the next partition needs no others
+            pairs.append(part.met(hashes, of)[:2])
         if not pairs:
             return np.zeros((0, 2), np.int64)
         pair, count = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
@@ -190,7 +213,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONT
 
 def _without(docs: DataFrame, block: Items) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, finder = shared.value, Finder(shared.value)

@@ -59,12 +59,17 @@ def _spans(kind: str, rank: int, pattern: str, valid: str) -> str:
 
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-_ALLOWED = r"""(regexp_matches({m}, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')
-  OR len(list_filter(range(1, length({m}) - 6), lambda i: substr({m}, i, 8) = repeat(substr({m}, i, 1), 8))) > 0
-  OR regexp_matches({m}, '(?i)example|sample|dummy|placeholder|changeme|your[_-]?|redacted|xxxx|lorem|0123456789|abcdefghij')
-  OR regexp_matches({m}, '^[A-Za-z]+([/_=+-]+[A-Za-z]+)*[/_=+-]*$') OR regexp_matches({m}, '^[-=_+/]+$'))"""
-_ENTROPY = "list_max(list_transform(range(1, length({m}) - 18), lambda i: list_entropy(string_split(substr({m}, i, 20), ''))))"
-_LEAST = "CASE WHEN regexp_matches({m}, '^[0-9]+$') THEN 9 WHEN regexp_matches({m}, '^([0-9a-f]+|[0-9A-F]+)$') THEN 3 WHEN regexp_matches({m}, '^([A-Za-z][a-z]*|[A-Z]+)$') THEN 4.2 ELSE 3.7 END"
+_RUNS = "|".join(f"{'[+]' if c == '+' else c}{{8,}}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+_COVERED = f"'[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}|{_RUNS}|(?i:example|sample|dummy|placeholder|changeme|your[_-]?|redacted|xxxx|lorem|0123456789|abcdefghij)'"
+_KEPT = "length(regexp_replace({m}, '[^A-Za-z]', '', 'g'))"
+_WORDS = (
+    "(regexp_matches({m}, '^[A-Za-z]+([/_=+-]+[A-Za-z]+)*[/_=+-]*$') AND " + _KEPT + " >= 4 * len(regexp_extract_all({m}, '[A-Z]?[a-z]+|[A-Z]+')) "
+    "AND length(regexp_replace({m}, '[^aeiouAEIOU]', '', 'g')) BETWEEN 0.28 * " + _KEPT + " AND 0.6 * " + _KEPT + " "
+    "AND NOT regexp_matches({m}, '(?i)[b-df-hj-np-tv-xz]{{6}}|[b-df-hj-np-tv-xz]{{5}}.*[b-df-hj-np-tv-xz]{{5}}|[jqvxz][bcdfghjkmnpqtvwxz]|[aeiouy]{{4}}'))"
+).replace("{{", "{").replace("}}", "}")
+_ENTROPY = "list_max(list_transform(range(1, length(w) - 18), lambda i: list_entropy(string_split(substr(w, i, 20), ''))))"
+_LEAST = "CASE WHEN regexp_matches(w, '^[0-9]+$') THEN 2.65 WHEN regexp_matches(w, '^[0-9a-fA-F]+$') THEN 2.95 WHEN regexp_matches(w, '^([A-Za-z][a-z]*|[A-Z]+)$') THEN 3.35 WHEN regexp_matches(w, '^([a-z0-9]+|[A-Z0-9]+)$') THEN 3.45 ELSE 3.7 END"
+_SECRET = "NOT " + _WORDS + " AND len(list_filter(string_split_regex({m}, " + _COVERED + "), lambda w: length(w) >= 20 AND " + _ENTROPY + " >= " + _LEAST + ")) > 0"
 _GROUP = "'" + _ASSIGN.replace("'", "''") + "'"
 _LINE = "array_to_string(list_transform(list_sort({spans}), lambda s: s.kind || ':' || s.start::BIGINT || ':' || (s.start + length(s.m))::BIGINT), ',')"
 
@@ -72,7 +77,7 @@ OP6 = f"""
 WITH b AS (
   SELECT doc_id, t, list_concat(list_concat({_spans("assign", 0, _ASSIGN, f"length(regexp_extract({{m}}, {_GROUP}, 1)) >= 6")},
     {_spans("access", 1, "AKIA[A-Z0-9]+", "length({m}) >= 20")}), {_spans("hex", 2, "[0-9a-f]{24,}", "true")}) AS base,
-    {_spans("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", f"NOT {_ALLOWED} AND {_ENTROPY} >= {_LEAST}")} AS found
+    {_spans("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", _SECRET)} AS found
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 a AS (
   SELECT doc_id, base, list_concat(base, list_filter(found, lambda s: len(list_filter(base, lambda o: o.start < s.start + length(s.m) AND o.start + length(o.m) > s.start)) = 0)) AS every FROM b)

@@ -51,11 +51,6 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
 
 
-def op6_secrets_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op6_secrets``, with the rules that SQL doesn't have: reachable thresholds, and windows allowed one by one."""
-    return _digests(secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.window_kind()), secrets.KINDS)
-
-
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +79,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op2_sharding, op3_substrings, op4_token_ids, op5_pii, op6_secrets, op6_secrets_by_window, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity, op11_quality, op12_hard_negatives, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_search, op2_sharding, op3_substrings, op4_token_ids, op5_pii, op6_secrets, op7_decontamination, op8_simhash, op9_mixing, op10_toxicity, op11_quality, op12_hard_negatives, op13_vector_codes)}
 
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -3,13 +3,12 @@
 A candidate is a run of at least ``WINDOW`` characters of the base64 and identifier alphabets. A
 window slides over it; its Shannon entropy follows from the counts of the character that enters
 and the one that leaves. The candidate's character class sets the least entropy that makes it a
-secret. Strings on the allow list (ids, placeholders, plain words) and those that touch a fixed
-match are left out. DataFrame and SQL operations only, and no row moves.
+secret. What is on the allow list (ids, placeholders, plain words) and what touches a fixed match is
+left out. DataFrame and SQL operations only, and no row moves.
 
-``entropy_kind`` has the rules of the query's SQL: the allow list drops whole candidates, and the
-thresholds of digits and letters are out of reach. ``window_kind`` has thresholds that every class
-can reach; a hit of its allow list takes away the windows that overlap it and no others, and letters
-are allowed if they look like words.
+Twenty random characters of any class reach the class's threshold in at least nine of ten cases. A hit
+of the allow list takes away the windows that overlap it and no others, and letters are allowed if they
+look like words; so long made-up compounds without digits may be taken for secrets.
 """
 
 from __future__ import annotations
@@ -37,16 +36,23 @@ KINDS = [
 _CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 
 #: Least entropy in bits of a window, by class: the first class whose pattern holds for the whole string.
-CLASSES = [("digits", "^[0-9]+$", 9.0), ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("letters", "^([A-Za-z][a-z]*|[A-Z]+)$", 4.2), ("mixed", "", 3.7)]
+CLASSES = [("digits", "^[0-9]+$", 2.65), ("hex", "^[0-9a-fA-F]+$", 2.95), ("letters", "^([A-Za-z][a-z]*|[A-Z]+)$", 3.35), ("one case", "^([a-z0-9]+|[A-Z0-9]+)$", 3.45), ("mixed", "", 3.7)]
 
-#: Strings that are no secrets: a UUID, repeated or running characters, placeholders, paths and joined words.
-ALLOWED = [
-    "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    "(.)\\\\1{7}",
-    "(?i)example|sample|dummy|placeholder|changeme|your[_-]?|redacted|xxxx|lorem|0123456789|abcdefghij",
-    "^[A-Za-z]+([/_=+-]+[A-Za-z]+)*[/_=+-]*$",
-    "^[-=_+/]+$",
-]
+#: What is no secret within a candidate: a UUID, repeated or running characters, placeholders.
+COVERED = "|".join([
+    "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
+    "(.)\\1{7,}",
+    "(?i:example|sample|dummy|placeholder|changeme|your[_-]?|redacted|xxxx|lorem|0123456789|abcdefghij)",
+])
+
+_LETTERS = "^[A-Za-z]+([/_=+-]+[A-Za-z]+)*[/_=+-]*$"
+_PART = "[A-Z]?[a-z]+|[A-Z]+"
+#: SQL over ``m`` without digits: parts of 4 letters or more on average, a share of vowels and runs of consonants as in words.
+WORDS = (
+    f"({{m}} rlike '{_LETTERS}' and length(regexp_replace({{m}}, '[^A-Za-z]', '')) >= 4 * size(regexp_extract_all({{m}}, '{_PART}', 0)) "
+    "and length(regexp_replace({m}, '[^aeiouAEIOU]', '')) between 0.28 * length(regexp_replace({m}, '[^A-Za-z]', '')) and 0.6 * length(regexp_replace({m}, '[^A-Za-z]', '')) "
+    "and not {m} rlike '(?i)[b-df-hj-np-tv-xz]{6}|[b-df-hj-np-tv-xz]{5}.*[b-df-hj-np-tv-xz]{5}|[jqvxz][bcdfghjkmnpqtvwxz]|[aeiouy]{4}')"
+)
 
 
 #: Characters of candidates, and the signs of 0 to ``WINDOW`` occurrences of one.
@@ -80,33 +86,7 @@ def entropy(value: str) -> str:
 
 
 def entropy_kind() -> Kind:
-    allowed = " or ".join(f"{{m}} rlike '{p}'" for p in ALLOWED)
-    least = "case " + " ".join(f"when {{m}} rlike '{p}' then {v}D" for _, p, v in CLASSES[:-1]) + f" else {CLASSES[-1][2]}D end"
-    return Kind("entropy", _CANDIDATE, f"not ({allowed}) and {entropy('{m}')} >= {least}", "{text} rlike '[A-Za-z0-9+/_=-]{%d}'" % WINDOW)
-
-
-#: As ``CLASSES``, for ``window_kind``: twenty random characters of a class have about 3.0, 3.5, 3.85 and 4.1 bits or more.
-WINDOW_CLASSES = [("digits", "^[0-9]+$", 2.8), ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("letters", "^([A-Za-z][a-z]*|[A-Z]+)$", 3.5), ("mixed", "", 3.7)]
-
-#: What is no secret within a candidate: a UUID, repeated or running characters, placeholders.
-COVERED = "|".join([
-    "(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])",
-    "(.)\\1{7,}",
-    "(?i:example|sample|dummy|placeholder|changeme|your[_-]?|redacted|xxxx|lorem|0123456789|abcdefghij)",
-])
-
-_LETTERS = "^[A-Za-z]+([/_=+-]+[A-Za-z]+)*[/_=+-]*$"
-_PART = "[A-Z]?[a-z]+|[A-Z]+"
-#: SQL over ``m`` without digits: parts of 4 letters or more on average, a share of vowels and runs of consonants as in words.
-WORDS = (
-    f"({{m}} rlike '{_LETTERS}' and length(regexp_replace({{m}}, '[^A-Za-z]', '')) >= 4 * size(regexp_extract_all({{m}}, '{_PART}', 0)) "
-    "and length(regexp_replace({m}, '[^aeiouyAEIOUY]', '')) between 0.28 * length(regexp_replace({m}, '[^A-Za-z]', '')) and 0.6 * length(regexp_replace({m}, '[^A-Za-z]', '')) "
-    "and not {m} rlike '(?i)[b-df-hj-np-tv-xz]{6}|[b-df-hj-np-tv-xz]{5}.*[b-df-hj-np-tv-xz]{5}|[jqvxz][bcdfghjkmnpqtvwxz]|[aeiouy]{4}')"
-)
-
-
-def window_kind() -> Kind:
-    least = "case " + " ".join(f"when p rlike '{x}' then {v}D" for _, x, v in WINDOW_CLASSES[:-1]) + f" else {WINDOW_CLASSES[-1][2]}D end"
+    least = "case " + " ".join(f"when p rlike '{x}' then {v}D" for _, x, v in CLASSES[:-1]) + f" else {CLASSES[-1][2]}D end"
     open_ = f"filter(split({{m}}, '{COVERED}', -1), p -> length(p) >= {WINDOW})"
     return Kind("entropy", _CANDIDATE, f"not {WORDS} and exists({open_}, p -> {entropy('p')} >= {least})", "{text} rlike '[A-Za-z0-9+/_=-]{%d}'" % WINDOW)
 
@@ -115,13 +95,13 @@ def base_spans(text: str = "text") -> Column:
     return F.concat(*[spans.find(kind, i, text) for i, kind in enumerate(KINDS)])
 
 
-def find_secrets(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of start, rank, end, kind, value) of every row of ``docs``.
 
     Null texts count as empty and have none; repeated rows each get theirs; an empty table gives no
     rows.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.select("doc_id", base_spans().alias("base"), spans.find(kind or entropy_kind(), len(KINDS)).alias("found"))
+    own = own.select("doc_id", base_spans().alias("base"), spans.find(entropy_kind(), len(KINDS)).alias("found"))
     added = F.filter("found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     return own.select("doc_id", "base", F.concat("base", added).alias("spans"))

@@ -139,6 +139,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], text: str = "text",
         raise ValueError("too many weights to broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
+    at = [c.lower() for c in docs.columns].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(MAX_WEIGHTS)
@@ -146,7 +147,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], text: str = "text",
             dense[slot] = weight
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for lo, hi, row, slot, count in features(batch.column(batch.schema.names.index(text))):
+            for lo, hi, row, slot, count in features(batch.column(at)):
                 out[lo:hi] = sigmoid(np.bincount(row, dense[slot] * values(row, count, hi - lo), hi - lo) + dense[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from folioweave.llm import decontam, mixing, simhash, tokens, toxicity
+from folioweave.llm import decontam, kernel, mixing, simhash, tokens, toxicity
 from folioweave.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -229,3 +229,24 @@ def test_toxicity_learns_and_generalises(spark, odd_docs, no_docs):
     assert len(odd) == odd_docs.count() and {r["score"] for r in odd} == {0.5}
     assert toxicity.toxicity(no_docs, labels.limit(50)).count() == 0
     assert toxicity.drop_toxic(odd_docs, labels.limit(0)).columns == odd_docs.columns
+
+
+def test_large_items_are_held_against_few_hashes():
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    items = decontam.Items([(i, text(n).encode()) for i, n in enumerate([12] * 60 + [600] * 60)], decontam.CONTAINMENT)
+    docs = [text(2000).encode() for _ in range(20)]
+    docs[3] += b" " + items.text[items.end[70] : items.end[71]]
+    data, ends = np.frombuffer(b"".join(docs), np.uint8), np.append(0, np.cumsum([len(x) for x in docs]))
+    found = items.candidates(*kernel.word_hashes(data, ends, kernel.ALNUM)).tolist()
+    read = {p.size: p.read for p in items.partitions}
+    assert [3, 70] in found and set(read) == {8, 1024} and read[1024] < 0.45 * read[8]
+
+
+def test_names_in_another_case(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta"), (2, "quite another text of some words here")], "doc_id long, Text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta")], "item_id long, text string")
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(docs, labels, 1.1).columns == docs.columns

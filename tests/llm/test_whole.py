@@ -30,14 +30,16 @@ def test_added_tokens_are_the_librarys(spark):
 def test_every_class_of_secrets_is_reachable(spark):
     rng = random.Random(3)
     key, other = "q7Xv2LmP9sRt4WzB8kNd3HfG", "Qm3Zr8Tn5Vc1Yk6Lw0Jd9B"
-    random_ = [("".join(rng.choices(letters, k=n)), n) for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters) for n in (20, 40) for _ in range(100)]
+    random_ = [("".join(rng.choices(letters, k=n)), n) for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef" + "ABCDEF") for n in (20, 40) for _ in range(100)]
     random_ += [("".join(rng.choices(string.digits, k=20)), 20) for _ in range(100)]
     found_ = ["b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW", *(key + hit + other for hit in ("your", "xxxx", "sample"))]
     none = ["internationalization/of/everything", "the_quick_brown_fox_jumps", "getUserAccountInformation", "YOUR_API_KEY_PLACEHOLDER", "3f2504e0-4f89-11d3-9a0c-0305e82c3301", "01234567890123456789", "a" * 30, "-" * 30]
     rows = [x for x, _ in random_] + found_ + none
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    made = secrets.find_secrets(docs, secrets.window_kind()).select("doc_id", F.expr("exists(spans, s -> s.kind = 'entropy' and s.start = 0)").alias("hit"))
+    made = secrets.find_secrets(docs).select("doc_id", F.expr("exists(spans, s -> s.kind = 'entropy' and s.start = 0)").alias("hit"))
     hit = [r["hit"] for r in made.orderBy("doc_id").collect()]
     for i in range(0, len(random_), 100):
-        assert sum(hit[i : i + 100]) >= (95 if random_[i][1] == 40 else 65), random_[i]
+        assert sum(hit[i : i + 100]) >= 85, random_[i]
+    by_class = [sum(hit[i : i + 200]) / 200 for i in range(0, len(random_) - 100, 200)] + [sum(hit[len(random_) - 100 : len(random_)]) / 100]
+    assert min(by_class) >= 0.9, by_class
     assert hit[len(random_) :] == [True] * len(found_) + [False] * len(none)
