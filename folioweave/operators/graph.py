@@ -76,37 +76,128 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 
 def mutual_neighbours(centers: DataFrame, k: int = 8, least: float = 0.6, block: int = 2048) -> DataFrame:
-    """src < dst, score: pairs that are among each other's k most similar with at least ``least``.
+    """src < dst, score: pairs that are among each other's k most similar with at least ``least`` (above 0).
 
-    Vectors are dealt into blocks of a bounded size; each pair of blocks is one matrix product in
-    one task, which passes on a row's best k only. An exact search costs all products.
+    Exact, and pruned by the triangle inequality of angles (see ``neighbour_blocks``): each pair of blocks
+    that may hold such a pair is one matrix product in one task, which passes on a row's best k only.
     """
-    n = centers.count()
-    blocks = max(1, -(-n // block))
-    dealt = centers.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.withColumn("o", other)
-    right = dealt.select(F.col("doc_id").alias("other_id"), F.col("vector").alias("other_vector"), F.col("b").alias("o"), other.alias("b"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["other_vector"].to_numpy())
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+    dealt, _ = neighbour_blocks(centers, least, block)
+
+    def best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> pd.DataFrame:
         s = np.round(x @ y.T, 6)
-        ids, others = a["doc_id"].to_numpy(), b["other_id"].to_numpy()
         s[ids[:, None] == others[None, :]] = -2.0
         order = np.lexsort((np.broadcast_to(others, s.shape), -s), axis=1)[:, :k]
         i = np.repeat(np.arange(len(ids)), order.shape[1])
         out = pd.DataFrame({"src": ids[i], "dst": others[order.reshape(-1)], "score": s[i, order.reshape(-1)]})
         return out[out["score"] >= least]
 
-    found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(lambda a, b: best(a, b), "src long, dst long, score double")
+    def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows[rows["side"] == side] for side in (0, 1)]
+        a, b = ((s["doc_id"].to_numpy(), np.stack(s["vector"].to_numpy()) if len(s) else np.zeros((0, 1))) for s in sides)
+        none = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if key[0] == key[1]:
+            return best(*a, *a)
+        return pd.concat([best(*a, *b), best(*b, *a)]) if len(a[0]) and len(b[0]) else none
+
+    found = dealt.groupBy("low", "high").applyInPandas(pair, "src long, dst long, score double")
     near = found.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))).where(F.col("rank") <= k).select("src", "dst", "score")
     back = near.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     return near.where("src < dst").join(back, ["src", "dst"], "left_semi")
 
 
+#: Cluster centres at most, the vectors they are chosen from, and how wide the rings are that a block is made of.
+CENTRES, SAMPLE, RING = 1024, 8192, 0.02
+_RINGS = int(np.pi / RING) + 2
+
+
+def neighbour_blocks(centers: DataFrame, least: float, block: int = 2048) -> tuple[DataFrame, int]:
+    """(low, high, side, doc_id, vector of unit length; number of blocks): the vectors dealt to the pairs of blocks in
+    which they may have a neighbour with a product of ``least``.
+
+    A vector belongs to the nearest of some centres, chosen far apart, and a cluster is cut into blocks of about ``block``
+    vectors by the angle to its centre; a ring with more is dealt by a hash. A vector at an angle of t to a
+    centre is at least t - b and a - t away from all vectors of a ring from a to b around it, so that
+    it is held against the blocks only for which both are within the angle of ``least``.
+    """
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    spark = centers.sparkSession
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = centers.select(F.col("doc_id").cast("long").alias("doc_id"), "vector", norm.alias("norm")).where("norm > 0").select("doc_id", F.transform("vector", lambda x: x.cast("double") / F.col("norm")).alias("vector"))
+    unit = checkpointed(unit)
+    n = unit.count()
+    middle = _spread(np.array([r["vector"] for r in unit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]), min(CENTRES, max(1, -(-n // block))))
+    shared = spark.sparkContext.broadcast(middle)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angle = np.arccos(np.clip(_rows(batch.column(1)) @ shared.value.T, -1, 1))
+            own = angle.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array((angle[np.arange(len(own)), own] / RING).astype(np.int32))], names=["doc_id", "vector", "centre", "ring"])
+
+    placed = checkpointed(unit.mapInArrow(place, "doc_id long, vector array<double>, centre int, ring int")) if n else unit.selectExpr("*", "0 as centre", "0 as ring")
+    counts = {(r["centre"], r["ring"]): r["count"] for r in placed.groupBy("centre", "ring").count().collect()}  # rings of the centres
+    # blocks of a cluster: rings up to about ``block`` vectors, larger ones in parts
+    first, parts, bounds = np.zeros((len(middle), _RINGS), np.int64), np.ones((len(middle), _RINGS), np.int64), []
+    for c in range(len(middle)):
+        held: list[int] = []
+        for ring in range(_RINGS):
+            size = sum(counts.get((c, r), 0) for r in held) + counts.get((c, ring), 0)
+            if held and size > block:
+                bounds += _closed(c, held, counts, first, parts, block, len(bounds))
+                held = []
+            held.append(ring)
+        bounds += _closed(c, held, counts, first, parts, block, len(bounds))
+    at = np.array(bounds, np.float64).reshape(-1, 3)  # centre, from, to
+    reach = float(np.arccos(max(-1.0, least - 1e-6))) + 1e-6
+    plan = spark.sparkContext.broadcast((middle, first, parts, at))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle, first, parts, at = plan.value
+        centre = at[:, 0].astype(np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):  # a vector may go to every block
+                batch = whole.slice(lo, 64)
+                ids, (c, ring) = batch.column(0).to_numpy(), (batch.column(i).to_numpy() for i in (2, 3))
+                own = first[c, ring] + _mixed(ids) % parts[c, ring]
+                angle = np.arccos(np.clip(_rows(batch.column(1)) @ middle.T, -1, 1))[:, centre]
+                row, other = np.nonzero((np.maximum(angle - at[:, 2], at[:, 1] - angle) <= reach) | (np.arange(len(at)) == own[:, None]))
+                mine = own[row]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, other), pa.int32()), pa.array(np.maximum(mine, other), pa.int32()), pa.array((mine > other).astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["low", "high", "side", "doc_id", "vector"])
+
+    return placed.mapInArrow(deal, "low int, high int, side int, doc_id long, vector array<double>"), len(at)
+
+
+def _spread(sample: np.ndarray, count: int) -> np.ndarray:
+    """The first vector, then each time the one that is farthest from those chosen."""
+    if not len(sample):
+        return sample
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < min(count, len(sample)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+
+
+def _closed(c: int, held: list[int], counts: dict, first: np.ndarray, parts: np.ndarray, block: int, at: int) -> list[tuple[int, float, float]]:
+    """The blocks of these rings of a centre, from number ``at`` on; where they start, and how many they are."""
+    size = sum(counts.get((c, r), 0) for r in held)
+    if not size:
+        return []
+    full = [r for r in held if (c, r) in counts]
+    n = -(-size // block)
+    first[c, held], parts[c, held] = at, n
+    return [(c, full[0] * RING - 1e-6, (full[-1] + 1) * RING + 1e-6)] * n
+
+
 def shingles(text, words: int = 5):
     """The distinct runs of words of a text; a shorter text is one run."""
     parts = F.filter(F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), lambda w: w != "")
@@ -176,6 +267,10 @@ def minhash(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, signature array<long>")
 
 
+#: Signatures in a bucket of a band up to which all its pairs are candidates, and how often a larger one is split.
+HOT, SPLITS = 64, 3
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.85) -> DataFrame:
     """src < dst, score (estimated Jaccard) by banded MinHash.
 
@@ -186,16 +281,52 @@ def near_duplicates(docs: DataFrame, least: float = 0.85) -> DataFrame:
     signed = checkpointed(minhash(docs))
     classes = checkpointed(signed.groupBy("signature").agg(F.min("doc_id").alias("first")))
     copies = signed.join(classes, "signature").where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"), F.lit(1.0).alias("score"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * ROWS + 1, ROWS)).alias("key")))
-    dealt = classes.select("first", F.explode(bands).alias("b")).select("first", "b.band", "b.key")
-    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt = dealt.join(shared, ["band", "key"])
-    pairs = dealt.select("band", "key", F.col("first").alias("src")).join(dealt.select("band", "key", F.col("first").alias("dst")), ["band", "key"]).where("src < dst").select("src", "dst").distinct()
+    pairs = band_pairs(classes, least)
     sides = pairs.join(classes.select(F.col("first").alias("src"), F.col("signature").alias("x")), "src").join(classes.select(F.col("first").alias("dst"), F.col("signature").alias("y")), "dst")
     score = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e)) / PERMUTATIONS
     return sides.select("src", "dst", score.alias("score")).where(F.col("score") >= least).unionByName(copies)
 
 
+def band_pairs(classes: DataFrame, least: float = 0.85) -> DataFrame:
+    """src < dst: pairs of signatures (first, signature) that share a band and may have ``least`` of all values alike.
+
+    A bucket with more than ``HOT`` signatures isn't joined with itself. Signatures that are alike
+    enough differ in ``d`` places at most; the places that a bucket doesn't share yet are cut into
+    d + 1 groups, and such a pair has one group wholly alike. So the bucket is split by each group's
+    values, and what is still large once more, ``SPLITS`` times at most: no pair is lost, and texts that
+    share a passage only don't meet.
+    """
+    groups = int((1 - least) * PERMUTATIONS + 1e-9) + 1
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(F.array(i).alias("path"), F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)).alias("key")))
+    dealt = classes.select("first", F.explode(bands).alias("b")).select("first", "b.path", "b.key")
+    # what a split takes from the places of a bucket: those of a band, then those of a group
+    taken, pairs = [ROWS], None
+    for split in range(SPLITS + 1):
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        sized = checkpointed(dealt.join(sizes, "key"))
+        few = (sized.where(F.col("n") <= HOT) if split < SPLITS else sized).select("key", "first")
+        met = few.select("key", F.col("first").alias("src")).join(few.select("key", F.col("first").alias("dst")), "key").where("src < dst").select("src", "dst")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        hot = sized.where(F.col("n") > HOT).select("first", "path", "key")
+        if split == SPLITS or hot.isEmpty():
+            break
+        rest, left = F.col("signature"), PERMUTATIONS
+        for i, size in enumerate(taken):
+            rest, left = _without(rest, F.get("path", F.lit(i)) * size, F.lit(size)), left - size
+        size = left // groups  # the last group has what is left over as well
+        whole = hot.join(classes, "first").select("first", "path", "key", rest.alias("rest"))
+        piece = lambda i, m=left, s=size: F.when(i == groups - 1, F.lit(m - s * (groups - 1))).otherwise(F.lit(s))
+        each = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.struct(F.concat("path", F.array(i)).alias("path"), F.xxhash64("key", i, F.slice("rest", i * size + 1, piece(i))).alias("key")))
+        dealt = whole.select("first", F.explode(each).alias("b")).select("first", "b.path", "b.key")
+        taken.append(size)
+    return pairs.distinct()
+
+
+def _without(values: F.Column, start: F.Column, count: F.Column) -> F.Column:
+    """An array without ``count`` values from a place on."""
+    return F.concat(F.slice(values, F.lit(1), start), F.slice(values, start + count + 1, F.size(values)))
+
+
 def replace_layer(edges: DataFrame, layer: str, new: DataFrame) -> DataFrame:
     return edges.where(F.col("layer") != layer).unionByName(new)
 

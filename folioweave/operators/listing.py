@@ -101,6 +101,20 @@ def version_status(docs: DataFrame) -> DataFrame:
     return joined.withColumn("superseded_by", F.when(F.col("valid_status") == "superseded", F.col("newest_id"))).drop("newest_year", "newest_id")
 
 
+def newest_of_norms(docs: DataFrame) -> DataFrame:
+    """norm_key, newest (minus the year, doc_id of the first document of it) of documents whose norm and year are known."""
+    year = T.version_year(F.col("doc_version"))
+    return docs.select("norm_key", F.struct((-year).alias("minus"), "doc_id").alias("newest")).where("norm_key is not null and newest.minus is not null").groupBy("norm_key").agg(F.min("newest").alias("newest"))
+
+
+def with_newest(docs: DataFrame, newest: DataFrame) -> DataFrame:
+    """``version_status`` of documents from the newest one of each norm."""
+    year = T.version_year(F.col("doc_version"))
+    joined = docs.join(newest, "norm_key", "left").withColumn("year", year)
+    status = F.when(F.col("year").isNull() | F.col("newest").isNull(), "unknown").when(F.col("year") == -F.col("newest.minus"), "current").otherwise("superseded")
+    return joined.withColumn("valid_status", status).withColumn("superseded_by", F.when(F.col("valid_status") == "superseded", F.col("newest.doc_id"))).drop("newest")
+
+
 def new_files(files: DataFrame, docs: DataFrame) -> DataFrame:
     """Files that their folder doesn't have yet, one for each hash and folder."""
     return files.dropDuplicates(["doc_hash", "folder"]).join(docs.select("doc_hash", "folder"), ["doc_hash", "folder"], "left_anti")

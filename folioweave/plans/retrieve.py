@@ -154,26 +154,38 @@ def ingest(parsed: DataFrame, known: DataFrame, embedder=retrieval.hashing_embed
     return docs, retrieval.embed(filters.chunk_payload(docs.withColumn("tags", F.array().cast("array<string>")), chunks), embedder)
 
 
-def ingest_into(warehouse: Warehouse, parsed: DataFrame, embedder=retrieval.hashing_embedder, max_bytes: int = MAX_BYTES) -> int:
-    """Stores the new ones of parsed files: size check, duplicates, metadata, chunks, vectors, and the version
-    status of all documents, in one commit. Returns how many documents are new."""
+def ingest_into(warehouse: Warehouse, parsed: DataFrame, embedder=retrieval.hashing_embedder, max_bytes: int = MAX_BYTES, index: retrieval.TextIndex | None = None) -> int:
+    """Stores the new ones of parsed files: size check, duplicates, metadata, chunks and vectors, in one commit that
+    adds to the tables and rewrites none. Returns how many documents are new.
+
+    The table ``norms`` gets a row for each norm of which the batch has a newer version, or the first; no
+    other norm is looked at, and ``stored_documents`` takes the newest row of each. A kept index gets the
+    chunks, too.
+    """
     old = warehouse.read("documents")
     known = old if old is not None else parsed.select("doc_hash", F.col("folder")).limit(0)
     docs, chunks = map(checkpointed, ingest(parsed, known, embedder, max_bytes))
     n = docs.count()
     if n:
-        every = docs if old is None else old.drop("valid_status", "superseded_by", "year").unionByName(docs)
-        kept = warehouse.read("chunks")
-        warehouse.commit(documents=_with_versions(every), chunks=chunks if kept is None else kept.unionByName(chunks))
+        newest, before = listing.newest_of_norms(docs), warehouse.read("norms")
+        if before is not None:
+            dated = before.join(newest.select("norm_key"), "norm_key", "left_semi").groupBy("norm_key").agg(F.min("newest").alias("held"))
+            newest = newest.join(dated, "norm_key", "left").where("held is null or newest < held").drop("held")
+        warehouse.extend(documents=docs, chunks=chunks, norms=newest)
+        if index is not None:
+            index.append(chunks)
     return n
 
 
-def _with_versions(docs: DataFrame) -> DataFrame:
-    """The version status of documents whose ids are strings."""
-    numbered = docs.withColumnRenamed("doc_id", "name").withColumn("doc_id", F.xxhash64("name"))
-    status = checkpointed(listing.version_status(numbered))
-    names = status.select(F.col("doc_id").alias("superseded_by"), F.col("name").alias("newer"))
-    return status.join(names, "superseded_by", "left").drop("superseded_by", "doc_id").withColumnRenamed("name", "doc_id").withColumnRenamed("newer", "superseded_by")
+def stored_documents(warehouse: Warehouse) -> DataFrame | None:
+    """The documents that ``ingest_into`` has stored, with the version status of each; None if there are none."""
+    docs, norms = warehouse.read("documents"), warehouse.read("norms")
+    return None if docs is None else listing.with_newest(docs, norms.groupBy("norm_key").agg(F.min("newest").alias("newest")))
+
+
+def redate(warehouse: Warehouse) -> None:
+    """Makes ``norms`` anew, as is needed once a norm's newest document has been deleted."""
+    warehouse.commit(norms=checkpointed(listing.newest_of_norms(warehouse.read("documents"))))
 
 
 def reindex(docs: DataFrame, chunks: DataFrame, embedder=retrieval.hashing_embedder) -> tuple[DataFrame, DataFrame]:

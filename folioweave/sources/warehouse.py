@@ -104,6 +104,16 @@ class Warehouse:
         latest[name] = [*latest.get(name, []), self._write(manifest, name, conform(rows, schema))]
         self._put(manifest)
 
+    def extend(self, **tables: DataFrame) -> None:
+        """Rows added to several tables, visible together or not at all; a table that is there keeps its schema."""
+        manifest = self.manifest()
+        latest = manifest["tags"]["latest"]
+        for name, rows in tables.items():
+            old = self._folders(name, manifest)
+            rows = rows if not old else conform(rows, self._parquet(old[:1]).schema)
+            latest[name] = [*latest.get(name, []), self._write(manifest, name, rows)]
+        self._put(manifest)
+
     def reset(self, name: str, schema: StructType) -> None:
         self.commit(**{name: self.spark.createDataFrame([], schema)})
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioweave.functions.folders import Principal
-from folioweave.operators import listing
+from folioweave.operators import listing, retrieval
+from folioweave.operators.text_index import TextIndex
 from folioweave.plans import retrieve as plans
 from folioweave.session import checkpointed
 from folioweave.sources import files
@@ -195,7 +196,7 @@ def test_ingest_into_a_warehouse(spark, folder, tmp_path):
     assert take() == 5 and take() == 0
     (folder / "old.txt").write_text(text.replace("2022", "2015"))
     assert take() == 1
-    by_name = {r["file_name"]: r for r in own.read("documents").collect()}
+    by_name = {r["file_name"]: r for r in plans.stored_documents(own).collect()}
     assert len(by_name) == 6 and by_name["old.txt"]["valid_status"] == "superseded" and by_name["old.txt"]["superseded_by"] == by_name["n.txt"]["doc_id"] and by_name["n.txt"]["valid_status"] == "current"
     docs, chunks = own.read("documents").withColumn("tags", F.array(F.lit("t"))), own.read("chunks").select("doc_id", "chunk_id", "folder", "text", "section_path", "page")
     rows, counters = plans.reindex(docs, chunks)
@@ -204,6 +205,36 @@ def test_ingest_into_a_warehouse(spark, folder, tmp_path):
     assert n[by_name["n.txt"]["doc_id"]] == (by_name["n.txt"]["chunk_count"], False) and n[by_name["y.html"]["doc_id"]] == (0, True)
 
 
+def test_two_ingests_equal_one(spark, folder, tmp_path):
+    def parsed(only):
+        found = files.parse_files(files.read_files(spark, str(folder))).withColumn("folder", files.folder_of(F.col("path"), str(folder)))
+        return found.where(F.col("file_name").rlike(only))
+
+    for i in range(30):
+        (folder / f"n{i}.txt").write_text(f"Die Norm ÖNORM B {1800 + i % 4}-1:{2000 + i % 7} regelt Kosten {i}. " * 30)
+    at_once, by_turns = (Warehouse(spark, str(tmp_path / name)) for name in ("w1", "w2"))
+    assert plans.ingest_into(at_once, parsed(r"^n\d+\.txt$")) == 30
+    index = TextIndex(spark, str(tmp_path / "index"), by=("folder",))
+    for batch, n in ((r"^n1\d\.txt$", 10), (r"^n[3-9]\.txt$", 7), (r"^n2\d\.txt$", 10), (r"^n1\d\.txt$", 0), (r"^n[0-2]\.txt$", 3)):
+        before = {p for p in (tmp_path / "w2").rglob("*.parquet")}
+        assert plans.ingest_into(by_turns, parsed(batch), index=index) == n
+        assert before <= {p for p in (tmp_path / "w2").rglob("*.parquet")}  # nothing is rewritten
+        if n:  # only the batch is written
+            new = max((p for p in (tmp_path / "w2" / "documents").iterdir()), key=lambda p: p.stat().st_mtime_ns)
+            assert spark.read.parquet(str(new)).count() == n
+    names = ["doc_id", "file_name", "norm_key", "valid_status", "superseded_by"]
+    rows = [sorted(map(repr, plans.stored_documents(w).select(*names).collect())) for w in (at_once, by_turns)]
+    assert rows[0] == rows[1] and len(rows[0]) == 30 and sum("superseded" in x for x in rows[0]) > 10
+    assert by_turns.read("norms").count() < 30
+    chunks = at_once.read("chunks")
+    assert [tuple(r) for r in index.best(["kosten", "norm"], 9).collect()] == [tuple(r) for r in retrieval.bm25(chunks, "kosten norm", 9).collect()]
+    newest = {r["norm_key"]: r["newest"]["doc_id"] for r in by_turns.read("norms").groupBy("norm_key").agg(F.min("newest").alias("newest")).collect()}
+    by_turns.commit(documents=by_turns.read("documents").where(F.col("doc_id") != min(newest.values())))
+    plans.redate(by_turns)
+    left = plans.stored_documents(by_turns)
+    assert left.count() == 29 and left.where("valid_status = 'current'").select("norm_key").distinct().count() == 4
+
+
 def test_lenient_requests(spark):
     chunks = spark.createDataFrame([("c1", 1, "/a/", "a.txt", "de", "norm", "Norm Kosten", [1.0, 0.0], 1, None, None)], "chunk_id string, doc_id long, folder string, file_name string, language string, doc_type string, text string, vector array<double>, page int, section_path string, section_title string")
     docs = spark.createDataFrame([(1, "/a/", "current", None)], "doc_id long, folder string, valid_status string, superseded_by long")

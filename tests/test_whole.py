@@ -163,3 +163,50 @@ def test_fingerprints_of_large_communities(spark):
     for name, ids in (("big", range(29_000)), ("small", range(29_000, 30_000))):
         joined = "\x1f".join(sorted(f"n:{i}" for i in ids))
         assert marks[name]["size"] == len(ids) and marks[name]["label"] == str(max(ids)) and marks[name]["member_fingerprint"] == hashlib.sha1(joined.encode()).hexdigest()
+
+
+def plain_mutual(vectors, k, least):
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    s = np.round(x @ x.T, 6)
+    np.fill_diagonal(s, -2)
+    near = {i: {ids[j]: s[n, j] for j in sorted(range(len(ids)), key=lambda j: (-s[n, j], ids[j]))[:k] if s[n, j] >= least} for n, i in enumerate(ids)}  # noqa: B023
+    return {(i, j): round(float(v), 6) for i in ids for j, v in near[i].items() if i < j and i in near[j]}
+
+
+def test_mutual_neighbours_skip_blocks_and_lose_none(spark):
+    rng = np.random.default_rng(6)
+    topic = rng.normal(0, 1, (30, 24))
+    vectors = {i: (topic[i % 30] + rng.normal(0, 0.18, 24)).tolist() for i in range(900)}
+    vectors |= {i: [float(x) for x in topic[0]] for i in range(900, 1000)} | {1000: [0.0] * 24}  # one very common vector, one of length 0
+    centers = spark.createDataFrame(list(vectors.items()), "doc_id long, vector array<double>")
+    found = {(r["src"], r["dst"]): r["score"] for r in graph.mutual_neighbours(centers, 8, 0.6, 25).collect()}
+    assert found == plain_mutual(vectors, 8, 0.6) and len(found) > 1000
+    dealt, blocks = graph.neighbour_blocks(centers, 0.6, 25)
+    opened = dealt.select("low", "high").distinct().count()
+    assert blocks > 40 and opened < 0.25 * blocks * (blocks + 1) / 2, (opened, blocks)
+    assert dealt.groupBy("low", "high", "side").count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_mutual_neighbours_of_few_rows(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, vector array<double>")
+    assert graph.mutual_neighbours(rows()).count() == 0 and graph.mutual_neighbours(rows((1, [1.0, 0.0]))).count() == 0
+    assert [tuple(r) for r in graph.mutual_neighbours(rows((1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]))).collect()] == [(1, 2, 0.998752)]
+    with pytest.raises(ValueError, match="above 0"):
+        graph.mutual_neighbours(rows(), least=0.0)
+
+
+def test_large_buckets_are_split_and_lose_no_pair(spark):
+    rng = np.random.default_rng(9)
+    n = 3000
+    signed = rng.integers(0, 2**32, (n, graph.PERMUTATIONS))
+    signed[:, : graph.ROWS] = signed[0, : graph.ROWS]  # unlike texts with one band in common
+    signed[:, 40:48] = signed[1, 40:48]
+    for i in range(0, 300, 3):  # pairs that differ in up to 19 places, those in the shared bands aside
+        signed[i + 1] = signed[i]
+        at = rng.permutation(np.setdiff1d(np.arange(graph.PERMUTATIONS), np.r_[0 : graph.ROWS, 40:48]))[: i % 20]
+        signed[i + 1, at] += 1
+    classes = spark.createDataFrame([(i, x) for i, x in enumerate(signed.tolist())], "first long, signature array<long>")
+    found = {tuple(r) for r in graph.band_pairs(graph.checkpointed(classes)).collect()}
+    assert {(i, i + 1) for i in range(0, 300, 3)} <= found and len(found) < n * np.log2(n)
