@@ -58,15 +58,24 @@ def index_metrics(docs: DataFrame) -> DataFrame:
 
 
 def job_status(queue: DataFrame) -> DataFrame:
-    """State and counts of every job: running while any file is open, else partial, failed or done."""
+    """State and counts of every job: running while any file is open, else partial, failed or done.
+
+    ``errors`` are the first 500 characters of all messages. A message and its bar take three at least, so
+    that the first ``_MESSAGES`` of a job are all that is gathered.
+    """
     done, failed, total = F.count_if(F.col("status") == "done"), F.count_if(F.col("status") == "failed"), F.count("*")
     counted = queue.groupBy("job_id").agg(
         total.alias("total"), done.alias("done"), failed.alias("failed"), (total - done - failed).alias("pending"),
-        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error_msg").isNotNull(), F.struct("created_at", "error_msg")))), lambda e: e["error_msg"]), " | "), 1, 500).alias("errors"),
         F.min("folder").alias("folder"), F.min("created_at").alias("created_at"), F.max("finished_at").alias("finished_at"),
     )
     state = F.when(F.col("pending") > 0, "running").when((F.col("failed") > 0) & (F.col("done") > 0), "partial").when(F.col("failed") > 0, "failed").otherwise("done")
-    return counted.withColumn("status", state)
+    messages = queue.where("error_msg is not null").select("job_id", "created_at", F.substring("error_msg", 1, 500).alias("error_msg"))
+    first = messages.withColumn("nth", F.row_number().over(W.partitionBy("job_id").orderBy("created_at", "error_msg"))).where(F.col("nth") <= _MESSAGES)
+    errors = first.groupBy("job_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "error_msg"))), lambda e: e["error_msg"]), " | "), 1, 500).alias("errors"))
+    return counted.join(errors, "job_id", "left").withColumn("errors", F.coalesce("errors", F.lit(""))).withColumn("status", state)
+
+
+_MESSAGES = 168
 
 
 def next_in_queue(queue: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave.sources import pdf
+
 PARSED = "path string, file_name string, doc_hash string, size_bytes long, pages array<struct<number:int,text:string,title:string,title_level:int>>, error string"
 Page = tuple[int, str, str | None, int | None]
 MAX_MEMBERS, MAX_BYTES = 5000, 1 << 30
@@ -128,8 +130,13 @@ def layout_page(number: int, tables: list[list[list[str | None]]], blocks: list[
     return number, text, first if 0 < len(first) < 120 else None, None
 
 
-#: Parsers by suffix; a cluster with a PDF or layout library adds its own.
-PARSERS: dict[str, Callable[[bytes], list[Page]]] = {"txt": parse_text, "md": parse_text, "html": parse_html, "htm": parse_html, "docx": parse_docx, "xlsx": parse_xlsx}
+def parse_pdf(data: bytes) -> list[Page]:
+    """A page for each page: its lines in visual order."""
+    return [layout_page(number, [], found) for number, found in enumerate(pdf.page_lines(data), 1)]
+
+
+#: Parsers by suffix; a cluster with a layout library or one that reads images adds its own.
+PARSERS: dict[str, Callable[[bytes], list[Page]]] = {"txt": parse_text, "md": parse_text, "html": parse_html, "htm": parse_html, "docx": parse_docx, "xlsx": parse_xlsx, "pdf": parse_pdf}
 
 
 def sniffed(content: bytes) -> str | None:
