@@ -242,7 +242,7 @@ def rate_limit_windows(spark, d):
 
 
 # ---- files ---------------------------------------------------------------------------------------------
-@query("SELECT '/a/' || file AS path, suffix, suffix IN ('txt', 'md', 'html', 'htm', 'docx', 'xlsx') AS supported FROM (SELECT 'f' || doc_id || '.' || s AS file, lower(s) AS suffix FROM (SELECT doc_id, ['PDF', 'docx', 'Md', 'exe'][doc_id % 4 + 1] AS s FROM docs))", M.DOCS_SQL)
+@query("SELECT '/a/' || file AS path, suffix, suffix IN ('txt', 'md', 'html', 'htm', 'docx', 'xlsx', 'pdf') AS supported FROM (SELECT 'f' || doc_id || '.' || s AS file, lower(s) AS suffix FROM (SELECT doc_id, ['PDF', 'docx', 'Md', 'exe'][doc_id % 4 + 1] AS s FROM docs))", M.DOCS_SQL)
 def files_inspected(spark, d):
     paths = M.docs(spark, d).selectExpr("concat('/a/f', doc_id, '.', element_at(array('PDF', 'docx', 'Md', 'exe'), cast(doc_id % 4 + 1 as int))) as path")
     return files.inspect(paths).select("path", "suffix", "supported")
