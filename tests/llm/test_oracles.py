@@ -19,6 +19,8 @@ ODD = [
     (7, "ALPHA beta gamma delta epsilon", "c"),
 ]
 ITEMS = [(1, "one two three four five six"), (2, "alpha beta gamma delta epsilon"), (3, "too short"), (4, None), (5, "One two three four five six")]
+VECTORS = [(i, [((i * k * 37) % 101 - 50) / 90 for k in range(1, 9)], i % 3) for i in range(0, 320, 5)]
+VECTORS += [(i + 1, v, y) for i, v, y in VECTORS[:9]] + [(1001, None, 1), (1002, [0.5, None] + [0.0] * 6, 1), (1003, [float("nan")] * 8, 2), (1004, [float("inf")] * 8, 0), (1005, [0.25] * 8, None), (1006, [0.0] * 8, 1)]
 
 
 @pytest.fixture(scope="module")
@@ -26,12 +28,13 @@ def odd(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("odd"))
     spark.createDataFrame(ODD, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
 def same(spark, name, path):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         at = f"{path}/{table}.parquet" + ("/*.parquet" if path != SMALL else "")
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{at}'")
     df = QUERIES[name](spark, path)
