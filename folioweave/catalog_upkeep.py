@@ -14,7 +14,7 @@ from folioweave.registry import query
 from folioweave.session import checkpointed, shared_folder
 from folioweave.sources import files
 from folioweave.sources.warehouse import Warehouse, migrate
-from folioweave.streaming import jobs
+from folioweave.streaming import jobs, keyed
 
 
 def _scratch(spark, name: str) -> str:
@@ -377,3 +377,22 @@ def stream_first_files(spark, d):
 def stream_rate_limit(spark, d):
     events = M.query_log(spark, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return _streamed(spark, events, lambda s: jobs.rate_limit(s.withWatermark("ts", "40 days"), 3, 6 * 3600), "append")
+
+
+@query("""WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 6 HOUR GROUP BY w.user_id),
+  placed AS (SELECT e.user_id, e.event_id, e.ts, max(w.s) AS s FROM events e JOIN w ON w.user_id = e.user_id AND w.s <= e.ts GROUP BY ALL),
+  decided AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) <= 3 AS allowed FROM placed)
+  SELECT user_id, event_id, allowed FROM decided WHERE (epoch_us(ts) // 21600000000 + 1) * 21600000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)""")
+def stream_settled_limits(spark, d):
+    """Requests whose slot of six hours the watermark, an hour behind the latest one, has passed."""
+    events = M.query_log(spark, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _streamed(spark, events, lambda s: keyed.settled_limits(s.withWatermark("ts", "1 hour"), 3, 6 * 3600), "append")
+
+
+@query("""WITH latest AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id)
+  SELECT user_id::VARCHAR AS session_id, ts AS started FROM latest WHERE epoch_ms(ts) + 7200000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
+def stream_ended_sessions(spark, d):
+    """Sessions, a user's each, that have been quiet for two hours; all events come in one batch."""
+    events = M.query_log(spark, d).select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("started"))
+    out = _streamed(spark, events, lambda s: keyed.ended_sessions(s.withWatermark("started", "1 hour"), 7200), "append")
+    return out.select("session_id", F.col("started").cast("timestamp_ntz").alias("started"))
