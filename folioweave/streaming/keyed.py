@@ -47,45 +47,52 @@ class _Limits(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "slot long, part long", "at array<long>, ids array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = {slot: n for (slot,), (n,) in self.slots.iterator()}
+        waited, fresh = min(parts, default=None), set()
         for frame in rows:
             frame = pd.DataFrame({"at": _micros(frame["ts"]), "id": frame["event_id"]})
             for slot, part in frame.groupby(frame["at"] // self.length):
                 slot = int(slot)
-                parts = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
-                if not parts:
-                    self.handle.registerTimer((slot + 1) * self.length // 1000)
-                self.waiting.updateValue((slot, parts), (part["at"].tolist(), part["id"].tolist()))
-                self.slots.updateValue((slot,), (parts + 1,))
+                self.waiting.updateValue((slot, parts.get(slot, 0)), (part["at"].tolist(), part["id"].tolist()))
+                parts[slot] = parts.get(slot, 0) + 1
+                fresh.add(slot)
+        for slot in fresh:
+            self.slots.updateValue((slot,), (parts[slot],))
+        if parts and (waited is None or min(parts) < waited):
+            self.handle.registerTimer((min(parts) + 1) * self.length // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Decides all slots that have passed, and sets a timer for what is left."""
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        for slot in sorted(s for (s,) in self.slots.keys() if (s + 1) * self.length <= now):
-            for ids, allowed in self._decided(slot):
-                yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(ids), dtype="Int64"), "event_id": ids, "allowed": allowed})
-        if not self.window.exists():
-            return
-        end = self.window.get()[0] + self.length
-        if end > now:
-            self.handle.registerTimer(-(-end // 1000))
-        elif not any(s * self.length < end for (s,) in self.slots.keys()):
+        parts = {slot: n for (slot,), (n,) in self.slots.iterator()}
+        window = self.window.get() if self.window.exists() else None
+        for slot in sorted(s for s in parts if (s + 1) * self.length <= now):
+            window = yield from self._decided(key[0], slot, parts.pop(slot), window)
+        if window and (window[0] + self.length > now or parts and min(parts) * self.length < window[0] + self.length):
+            self.window.update(window)
+        elif self.window.exists():
             self.window.clear()
+            window = None
+        if parts:
+            self.handle.registerTimer((min(parts) + 1) * self.length // 1000)
+        elif window and window[0] + self.length > now:
+            self.handle.registerTimer(-(-(window[0] + self.length) // 1000))
 
     def _parts(self, slot: int, parts: int) -> Iterator[list[tuple[int, int]]]:
         for number in range(parts):
             at, ids = self.waiting.getValue((slot, number))
             yield list(zip(at, ids, strict=True))
 
-    def _decided(self, slot: int) -> Iterator[tuple[list[int], bool]]:
-        """Ids and whether they are allowed, part by part: one reading finds where the next window opens, one
-        keeps the first rows of each window and gives out the others at once."""
-        (parts,) = self.slots.getValue((slot,))
-        start, used = self.window.get() if self.window.exists() else (None, 0)
-        end = -1 << 62 if start is None else start + self.length
-        opens = min((at for rows in self._parts(slot, parts) for at, _ in rows if at >= end), default=None)
+    def _decided(self, user, slot: int, parts: int, window: tuple | None) -> Iterator[pd.DataFrame]:
+        """The rows of a slot, part by part, and then the window that is open: one reading finds where the next
+        window opens, one keeps the first rows of each window and gives out the others at once."""
+        rows_of = list(self._parts(slot, 1)) if parts == 1 else None  # a single part is read once
+        end = -1 << 62 if window is None else window[0] + self.length
+        opens = min((at for rows in rows_of or self._parts(slot, parts) for at, _ in rows if at >= end), default=None)
         first: dict[bool, list[tuple[int, int]]] = {False: [], True: []}  # of the window before and of the one that opens; negative, the last one on top
-        room = {False: self.limit - used, True: self.limit}
-        for rows in self._parts(slot, parts):
+        room = {False: self.limit - window[1] if window else 0, True: self.limit}
+        for rows in rows_of or self._parts(slot, parts):
             denied = []
             for at, event in rows:
                 new = at >= end
@@ -93,16 +100,17 @@ class _Limits(StatefulProcessor):
                     heapq.heappush(first[new], (-at, -event))
                 else:
                     denied.append(-heapq.heappushpop(first[new], (-at, -event))[1] if room[new] > 0 else event)
-            yield denied, False
-        for kept in first.values():
-            yield [-event for _, event in kept], True
+            if denied:
+                yield self._rows(user, denied, False)
+        yield self._rows(user, [-event for kept in first.values() for _, event in kept], True)
         for number in range(parts):
             self.waiting.removeKey((slot, number))
         self.slots.removeKey((slot,))
-        if opens is not None:
-            self.window.update((opens, len(first[True])))
-        elif start is not None:
-            self.window.update((start, used + len(first[False])))
+        return (opens, len(first[True])) if opens is not None else (window[0], window[1] + len(first[False]))
+
+    @staticmethod
+    def _rows(user, ids: list[int], allowed: bool) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": pd.Series([user] * len(ids), dtype="Int64"), "event_id": pd.Series(ids, dtype="int64"), "allowed": allowed})
 
 
 def settled_limits(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
