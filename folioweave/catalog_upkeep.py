@@ -12,7 +12,7 @@ from folioweave.functions import text as T
 from folioweave.operators import chunking, filters, graph, listing, maintenance, retrieval
 from folioweave.registry import query
 from folioweave.session import checkpointed, shared_folder
-from folioweave.sources import files
+from folioweave.sources import files, formats
 from folioweave.sources.warehouse import Warehouse, migrate
 from folioweave.streaming import jobs, keyed
 
@@ -266,6 +266,18 @@ def zip_members(spark, d):
     return joined.select("doc_id", F.when(F.col("error").isNull(), A.zip_folder(F.col("inner"), F.col("folder"))).otherwise(F.col("folder")).alias("folder"), "error")
 
 
+@query("SELECT doc_id, 'd' || doc_id % 7 || '/doc_' || doc_id || '.txt' AS path, sha256(coalesce(text, '')) AS doc_hash, strlen(coalesce(text, '')) AS size_bytes, coalesce(text, '') AS text FROM documents")
+def archives_exported(spark, d):
+    """All documents written as archives of many members, read back by ranges of members and parsed."""
+    formats.register(spark)
+    path = _scratch(spark, "archives")
+    docs = M.read(spark, d, "documents").selectExpr("concat('d', doc_id % 7, '/doc_', doc_id, '.txt') as path", "encode(coalesce(text, ''), 'UTF-8') as content")
+    docs.write.format("archive_members").mode("append").save(path)
+    read = spark.read.format("archive_members").option("max_members", 1 << 40).option("max_bytes", 1 << 50).load(path)
+    parsed = files.parse_files(read.where("error is null"))
+    return parsed.select(F.regexp_extract("file_name", "([0-9]+)", 1).cast("long").alias("doc_id"), "path", "doc_hash", F.col("size_bytes").cast("long").alias("size_bytes"), F.col("pages")[0]["text"].alias("text"))
+
+
 _NODE_ROWS = """nrows AS (SELECT 'document:' || doc_id AS node_key, 'document' AS node_type, file_name AS label, folder FROM ok UNION ALL SELECT 'folder:' || folder, 'folder', folder, folder FROM ok UNION ALL SELECT 'tag:' || unnest(tags), 'tag', unnest(tags), folder FROM ok
   UNION ALL SELECT 'issuer:austrian_standards', 'issuer', issuer, folder FROM ok WHERE issuer IS NOT NULL UNION ALL SELECT 'norm:' || norm_key, 'norm', norm_id, folder FROM ok WHERE norm_key IS NOT NULL UNION ALL SELECT kind || ':' || k, kind, k, folder FROM refs JOIN ok USING (doc_id)),
   nodes AS (SELECT node_key, node_type, min(label) AS label, list_sort(list_distinct(list(folder))) AS folder_paths FROM nrows GROUP BY node_key, node_type)"""

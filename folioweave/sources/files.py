@@ -7,6 +7,7 @@ parser fails on becomes a row with an error.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -157,26 +158,27 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
+def parsed(path: str, content: bytes, known: dict[str, Callable[[bytes], list[Page]]]) -> tuple:
+    """The row of one file: its pages, or why there are none."""
+    name, pages, error = path.rsplit("/", 1)[-1], None, None
+    suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    try:
+        kind = suffix if suffix in known else sniffed(content)
+        if kind not in known:
+            raise ValueError(f"no parser for .{suffix}")
+        pages = [dict(zip(("number", "text", "title", "title_level"), p, strict=True)) for p in known[kind](content)]
+    except Exception as e:  # one file's failure is its own
+        error = f"{type(e).__name__}: {e}"[:2000]
+    return path, name, hashlib.sha256(content).hexdigest(), len(content), pages, error
+
+
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], list[Page]]] | None = None) -> DataFrame:
     """The pages of ``files`` (path, content), or why there are none."""
     known = dict(PARSERS if parsers is None else parsers)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                name, pages, error = path.rsplit("/", 1)[-1], None, None
-                suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-                try:
-                    kind = suffix if suffix in known else sniffed(content)
-                    if kind not in known:
-                        raise ValueError(f"no parser for .{suffix}")
-                    pages = [dict(zip(("number", "text", "title", "title_level"), p, strict=True)) for p in known[kind](content)]
-                except Exception as e:  # one file's failure is its own
-                    error = f"{type(e).__name__}: {e}"[:2000]
-                rows.append((path, name, hashlib.sha256(content).hexdigest(), len(content), pages, error))
+            rows = [parsed(path, content, known) for path, content in zip(frame["path"], frame["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "file_name", "doc_hash", "size_bytes", "pages", "error"])
 
     return files.select("path", "content").mapInPandas(run, PARSED)
@@ -200,23 +202,39 @@ def member_problem(name: str, mode: int = 0) -> str | None:
     return None
 
 
+def members(archive: zipfile.ZipFile, most: int, most_bytes: int) -> list[zipfile.ZipInfo]:
+    found = [m for m in archive.infolist() if not m.is_dir()]
+    if len(found) > most or sum(m.file_size for m in found) > most_bytes:
+        raise ValueError("archive too large")
+    return found
+
+
+def unpacked(archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> tuple[str, bytes | None, str | None]:
+    """path, content, error of a member."""
+    problem, content = member_problem(member.filename, member.external_attr >> 16), None
+    if not problem:
+        try:
+            content = archive.read(member)
+        except Exception as e:  # encrypted or damaged: the member's own failure
+            problem = f"{type(e).__name__}: {e}"[:2000]
+    return member.filename, content, problem
+
+
 def unzip(archives: DataFrame, max_members: int = MAX_MEMBERS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, content, error of every member of ``archives`` (path, content); a bad archive or member is an error row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["archive", "path", "content", "error"]
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
-                    members = [m for m in archive.infolist() if not m.is_dir()]
-                    if len(members) > max_members or sum(m.file_size for m in members) > max_bytes:
-                        raise ValueError("archive too large")
+                    found = members(archive, max_members, max_bytes)
                 except Exception as e:
-                    yield pd.DataFrame([(path, "", None, str(e))], columns=["archive", "path", "content", "error"])
+                    yield pd.DataFrame([(path, "", None, str(e))], columns=columns)
                     continue
-                for m in members:  # one at a time: an archive isn't unpacked as a whole
-                    problem = member_problem(m.filename, m.external_attr >> 16)
-                    yield pd.DataFrame([(path, m.filename, None if problem else archive.read(m), problem)], columns=["archive", "path", "content", "error"])
+                for m in found:  # one at a time: an archive isn't unpacked as a whole
+                    yield pd.DataFrame([(path, *unpacked(archive, m))], columns=columns)
 
     return archives.select("path", "content").mapInPandas(run, "archive string, path string, content binary, error string")
 
