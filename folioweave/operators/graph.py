@@ -360,11 +360,19 @@ def personalised(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart:
     return _walk(start, both, 1 - restart, rounds, tolerance).select("node_key", F.col("r").alias("score"))
 
 
-def _walk(start: DataFrame, edges: DataFrame, keep: float, rounds: int, tolerance: float) -> DataFrame:
+#: A round's changed ranks are broadcast to the edges up to this size.
+_FRONT_BYTES = 16 << 20
+
+
+def _walk(start: DataFrame, edges: DataFrame, keep: float, rounds: int, tolerance: float, moved: list[int] | None = None) -> DataFrame:
     """r = (1 - keep) p + keep (M r + dangling p), until it changes by less than the tolerance.
 
-    A round is one join of ranks to out-edges and one aggregate, checkpointed: the next round reads
-    its ranks more than once. The driver gets two sums.
+    After the first round only changes walk on: what a node has gained (``due``) since it last passed
+    something on goes along its edges, r grows by what arrives. A change too small to matter waits
+    until more has come: all that waits adds up to less than half the tolerance in r, so that a
+    tolerance of 0 passes every change on and gives each round of the power iteration. The nodes of a
+    round are broadcast to the edges while their keys take less than ``_FRONT_BYTES``, so that no
+    edge is shuffled; beyond that both are joined by key. ``moved`` gets the nodes that passed on.
     """
     start = checkpointed(start)
     edges = edges.join(start.select(F.col("node_key").alias("src_key")), "src_key", "left_semi").join(start.select(F.col("node_key").alias("tgt_key")), "tgt_key", "left_semi")
@@ -372,15 +380,26 @@ def _walk(start: DataFrame, edges: DataFrame, keep: float, rounds: int, toleranc
     out = edges.groupBy("src_key").agg(F.sum("w").alias("total"))
     shares = checkpointed(edges.join(out, "src_key").select(F.col("src_key").alias("node_key"), "tgt_key", (F.col("w") / F.col("total")).alias("share")))
     sources = shares.select("node_key", F.lit(True).alias("flows")).distinct()
-    ranks = checkpointed(start.join(sources, "node_key", "left").select("node_key", "p", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("p").alias("r"), F.col("p").alias("old")))
-    for _ in range(rounds):
-        lost, change = ranks.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("r"))), F.lit(0.0)), F.sum(F.when(F.col("r") != F.col("old"), F.abs(F.col("r") - F.col("old"))))).first()
-        if change is not None and change < tolerance:
+    ranks = checkpointed(start.join(sources, "node_key", "left").select("node_key", "p", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("p").alias("r"), F.col("p").alias("due")))
+    least = tolerance * (1 - keep) / (2 * max(1, start.count()))
+    active = F.abs(F.col("due")) > least
+    passed = F.when(active, F.col("due")).otherwise(F.lit(0.0))
+    for turn in range(rounds):
+        lost, change, count, size = ranks.agg(
+            F.coalesce(F.sum(F.when(~F.col("flows"), passed)), F.lit(0.0)), F.coalesce(F.sum(F.abs("due")), F.lit(0.0)),
+            F.count_if(active & F.col("flows")), F.coalesce(F.sum(F.when(active & F.col("flows"), F.octet_length("node_key") + 32)), F.lit(0)),
+        ).first()
+        if turn and change < tolerance or not count and not lost:
             break
-        into = ranks.join(shares, "node_key").groupBy("tgt_key").agg(F.sum(F.col("r") * F.col("share")).alias("gain"))
-        step = ranks.join(into, ranks["node_key"] == into["tgt_key"], "left")
-        ranks = checkpointed(step.select("node_key", "p", "flows", ((1 - keep) * F.col("p") + keep * (F.coalesce("gain", F.lit(0.0)) + lost * F.col("p"))).alias("r"), F.col("r").alias("old")))
-    return ranks.drop("old")
+        if moved is not None:
+            moved.append(count)
+        front = ranks.where(active & F.col("flows")).select("node_key", "due")
+        into = shares.join(F.broadcast(front) if size < _FRONT_BYTES else front, "node_key").groupBy("tgt_key").agg(F.sum(F.col("due") * F.col("share")).alias("gain"))
+        arrived = keep * (F.coalesce("gain", F.lit(0.0)) + lost * F.col("p"))
+        step = ranks.join(into, ranks["node_key"] == into["tgt_key"], "left").withColumn("arrived", arrived)
+        left = 1.0 if turn else 1 - keep  # the walk starts with all of p, of which a part comes back each round
+        ranks = checkpointed(step.select("node_key", "p", "flows", (left * F.col("r") + F.col("arrived")).alias("r"), (left * F.col("due") - passed + F.col("arrived")).alias("due")))
+    return ranks.drop("due")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
