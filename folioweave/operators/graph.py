@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -380,25 +380,29 @@ def _walk(start: DataFrame, edges: DataFrame, keep: float, rounds: int, toleranc
     out = edges.groupBy("src_key").agg(F.sum("w").alias("total"))
     shares = checkpointed(edges.join(out, "src_key").select(F.col("src_key").alias("node_key"), "tgt_key", (F.col("w") / F.col("total")).alias("share")))
     sources = shares.select("node_key", F.lit(True).alias("flows")).distinct()
-    ranks = checkpointed(start.join(sources, "node_key", "left").select("node_key", "p", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("p").alias("r"), F.col("p").alias("due")))
     least = tolerance * (1 - keep) / (2 * max(1, start.count()))
     active = F.abs(F.col("due")) > least
     passed = F.when(active, F.col("due")).otherwise(F.lit(0.0))
+    sends = active & F.col("flows")
+
+    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
+        """The ranks written, and what the driver needs of them, summed while they are written."""
+        seen = Observation()
+        sums = F.coalesce(F.sum(F.when(~F.col("flows"), passed)), F.lit(0.0)).alias("lost"), F.coalesce(F.sum(F.abs("due")), F.lit(0.0)).alias("change"), F.count_if(sends).alias("count"), F.coalesce(F.sum(F.when(sends, F.octet_length("node_key") + 32)), F.lit(0)).alias("size")
+        return checkpointed(df.observe(seen, *sums)), seen.get
+
+    ranks, sums = kept(start.join(sources, "node_key", "left").select("node_key", "p", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("p").alias("r"), F.col("p").alias("due")))
     for turn in range(rounds):
-        lost, change, count, size = ranks.agg(
-            F.coalesce(F.sum(F.when(~F.col("flows"), passed)), F.lit(0.0)), F.coalesce(F.sum(F.abs("due")), F.lit(0.0)),
-            F.count_if(active & F.col("flows")), F.coalesce(F.sum(F.when(active & F.col("flows"), F.octet_length("node_key") + 32)), F.lit(0)),
-        ).first()
-        if turn and change < tolerance or not count and not lost:
+        if turn and sums["change"] < tolerance or not sums["count"] and not sums["lost"]:
             break
         if moved is not None:
-            moved.append(count)
-        front = ranks.where(active & F.col("flows")).select("node_key", "due")
-        into = shares.join(F.broadcast(front) if size < _FRONT_BYTES else front, "node_key").groupBy("tgt_key").agg(F.sum(F.col("due") * F.col("share")).alias("gain"))
-        arrived = keep * (F.coalesce("gain", F.lit(0.0)) + lost * F.col("p"))
+            moved.append(sums["count"])
+        front = ranks.where(sends).select("node_key", "due")
+        into = shares.join(F.broadcast(front) if sums["size"] < _FRONT_BYTES else front, "node_key").groupBy("tgt_key").agg(F.sum(F.col("due") * F.col("share")).alias("gain"))
+        arrived = keep * (F.coalesce("gain", F.lit(0.0)) + sums["lost"] * F.col("p"))
         step = ranks.join(into, ranks["node_key"] == into["tgt_key"], "left").withColumn("arrived", arrived)
         left = 1.0 if turn else 1 - keep  # the walk starts with all of p, of which a part comes back each round
-        ranks = checkpointed(step.select("node_key", "p", "flows", (left * F.col("r") + F.col("arrived")).alias("r"), (left * F.col("due") - passed + F.col("arrived")).alias("due")))
+        ranks, sums = kept(step.select("node_key", "p", "flows", (left * F.col("r") + F.col("arrived")).alias("r"), (left * F.col("due") - passed + F.col("arrived")).alias("due")))
     return ranks.drop("due")
 
 
