@@ -587,16 +587,17 @@ def referring_documents(edges: DataFrame, question: str, visible: DataFrame) ->
     return hits.join(visible, hits["src_key"] == visible["node_key"]).select("doc_id").distinct()
 
 
-def graph_view(nodes: DataFrame, edges: DataFrame, principal: Principal, types: list[str] | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+def graph_view(nodes: DataFrame, edges: DataFrame, principal: Principal, types: list[str] | None = None, limit: int | None = 500) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of what a principal may see: visible documents, entities that touch them, the
-    chosen types, the ``limit`` nodes of highest rank, and the edges between these."""
+    chosen types, the ``limit`` nodes of highest rank (None: all), and the edges between these."""
     visible = visible_documents(nodes, principal).select("node_key")
     touching = edges.join(visible, edges["src_key"] == visible["node_key"], "left_semi").select(F.col("tgt_key").alias("node_key")).unionByName(edges.join(visible, edges["tgt_key"] == visible["node_key"], "left_semi").select(F.col("src_key").alias("node_key"))).distinct()
     entities = nodes.where("node_type <> 'document'").join(touching, "node_key", "left_semi")
     shown = nodes.join(visible, "node_key", "left_semi").unionByName(entities)
     if types:
         shown = shown.where(F.col("node_type").isin(types))
-    shown = shown.orderBy(F.desc(F.coalesce("pagerank", F.lit(0.0))), "node_key").limit(max(1, limit))
+    if limit is not None:
+        shown = shown.orderBy(F.desc(F.coalesce("pagerank", F.lit(0.0))), "node_key").limit(max(1, limit))
     return shown, between(edges, shown)
 
 
@@ -615,7 +616,7 @@ def view_totals(nodes: DataFrame, edges: DataFrame, principal: Principal, types:
     """One row for a view: nodes, edges and communities shown, the nodes and edges there are in all, and
     whether the limit has cut the view."""
     shown, links = graph_view(nodes, edges, principal, types, limit)
-    may_be, _ = graph_view(nodes, edges, principal, types, 2**31 - 1)
+    may_be, _ = graph_view(nodes, edges, principal, types, None)
     own = shown.agg(F.count("*").alias("nodes_shown"), F.count_distinct("community_id").alias("communities_shown"))
     parts = [links.agg(F.count("*").alias("edges_shown")), nodes.agg(F.count("*").alias("nodes_total")), edges.agg(F.count("*").alias("edges_total")), may_be.agg(F.count("*").alias("visible"))]
     for part in parts:  # single rows

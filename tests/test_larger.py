@@ -29,3 +29,10 @@ def test_small_negative_means_keep_their_sign(spark, folder):
     assert found == dict(folder.sql("centroids"))
     signs = {k: [math.copysign(1, x) for x in v if x is not None] for k, v in found.items()}
     assert signs == {k: [math.copysign(1, x) for x in v if x is not None] for k, v in folder.sql("centroids")} and signs[0][0] == -1 and signs[1][0] == 1
+
+
+def test_graph_view_has_more_than_a_hundred_thousand_nodes(spark, folder):
+    d = folder("documents", spark.range(107_000).selectExpr("id as doc_id", "'Text' as text", "'en' as lang", "concat('src', id % 3) as source", "4L as n_chars"))
+    found = catalog.QUERIES["graph_view_acl"](spark, d)
+    assert found.select("src_key").distinct().count() == 107_000 * 19 // 20
+    assert sorted(map(tuple, found.collect())) == sorted(folder.sql("graph_view_acl"))
