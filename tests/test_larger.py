@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from folioweave import catalog
+from folioweave.sources import files
 
 
 @pytest.fixture
@@ -36,3 +37,10 @@ def test_graph_view_has_more_than_a_hundred_thousand_nodes(spark, folder):
     found = catalog.QUERIES["graph_view_acl"](spark, d)
     assert found.select("src_key").distinct().count() == 107_000 * 19 // 20
     assert sorted(map(tuple, found.collect())) == sorted(folder.sql("graph_view_acl"))
+
+
+def test_references_without_a_semicolon_are_text(spark, folder):
+    html = "<html><title>a &amp; b&amp</title><script>x && y</script><p>AT&T &copy; &copy 1 &quot</p><p>&am</p><p>&#39;&lt;b&gt;&</p></html>"
+    assert files.parse_html(html.encode()) == [(1, "a & b&amp\nAT&T © &copy 1 &quot\n&am\n'<b>&", "a & b&amp", None)]
+    d = folder("pages", spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    assert [tuple(r) for r in catalog.QUERIES["html_text"](spark, d).collect()] == folder.sql("html_text")
