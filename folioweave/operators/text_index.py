@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioweave.functions.batches import slices
 from folioweave.session import checkpointed, remove
 
 K1, B = 1.2, 0.75
@@ -48,9 +49,13 @@ def weight(tf: Column, df: Column, length: Column, n: Column, mean: Column) -> C
     return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+#: Bytes of text whose terms a worker holds at once, a longer text aside.
+HELD = 1 << 20
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The length and the terms, counted, of each text, which is a batch's last column."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, HELD)):
         found = [None if x is None else Counter(_WORD.findall(x)) for x in batch.columns[-1].to_pylist()]
         own = [pa.array([None if x is None else x.total() for x in found], pa.int64()), pa.array([list(x or ()) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) if x else [] for x in found], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "length", "terms", "counts"])
