@@ -16,11 +16,13 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith, WriterCommitMessage
 
+from folioweave.functions.batches import slices
 from folioweave.sources import files
 
 MEMBERS = "archive string, path string, content binary, error string"
@@ -176,7 +178,18 @@ class _Members(_Files):
         archive = zipfile.ZipFile(io.BytesIO(stream.read()) if piece.size <= self.target else stream)
         return archive, files.members(archive, self.most, self.bytes)
 
-    def read(self, partition: Pieces) -> Iterator[tuple]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in self.rows(partition):
+            rows.append(row)
+            held += len(row[2] or b"") + 256
+            if held >= files.HELD:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def rows(self, partition: Pieces) -> Iterator[tuple]:
         for piece in partition.pieces:
             try:
                 archive, members = self.members(piece)
@@ -187,7 +200,12 @@ class _Members(_Files):
                 yield (piece.path, *files.unpacked(archive, m))
 
 
-class _Archives(DataSourceWriter):
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"archive": pa.string(), "path": pa.string(), "content": pa.binary(), "error": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
+class _Archives(DataSourceArrowWriter):
     """An archive for each task, written under a hidden name and shown by the commit."""
 
     def __init__(self, options, overwrite: bool) -> None:
@@ -201,8 +219,7 @@ class _Archives(DataSourceWriter):
         system.create_dir(inner, recursive=True)
         used: dict[str, int] = {}
         with system.open_output_stream(hidden) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for row in iterator:
-                member, content = row["path"], row["content"]
+            for member, content in _members_of(iterator):
                 if not member:
                     raise ValueError("a member without a path")
                 problem = files.member_problem(member)
@@ -230,6 +247,12 @@ class _Archives(DataSourceWriter):
                 system.delete_file(info.path)
 
 
+def _members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes | None]]:
+    for whole in batches:
+        for batch in slices(whole.select(["path", "content"]), files.HELD):
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     hidden: str

@@ -3,10 +3,13 @@
 import math
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from folioweave import catalog
-from folioweave.sources import files
+from folioweave.functions.batches import slices
+from folioweave.operators import text_index
+from folioweave.sources import files, formats
 
 
 @pytest.fixture
@@ -44,3 +47,31 @@ def test_references_without_a_semicolon_are_text(spark, folder):
     assert files.parse_html(html.encode()) == [(1, "a & b&amp\nAT&T © &copy 1 &quot\n&am\n'<b>&", "a & b&amp", None)]
     d = folder("pages", spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
     assert [tuple(r) for r in catalog.QUERIES["html_text"](spark, d).collect()] == folder.sql("html_text")
+
+
+def test_slices_have_all_rows_in_order():
+    texts = ["x" * n for n in (0, 5, 3000, 10, 900, 900, 900)] + [None, "é" * 600]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["id", "text"])
+    parts = list(slices(batch.slice(1), 2000))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts[1:] and [p.num_rows for p in parts] == [1, 1, 2, 3, 1]
+    assert list(slices(batch.slice(9), 2000)) == []
+
+
+def test_terms_are_counted_in_parts():
+    texts = [f"wort{i} das das {'und ' * 500}" for i in range(3000)]
+    counted = list(text_index._counted(iter([pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["id", "text"])])))
+    assert max(b.num_rows for b in counted) < 600 and [x for b in counted for x in b.column(0).to_pylist()] == list(range(3000))
+    assert {x for b in counted for x in b.column(1).to_pylist()} == {503}
+    assert dict(zip(counted[0].column(2)[7].as_py(), counted[0].column(3)[7].as_py(), strict=True)) == {"wort7": 1, "das": 2, "und": 500}
+
+
+def test_files_are_parsed_and_archived_in_parts(spark, tmp_path):
+    content = [bytes(1 << 20) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"/a/{i}.txt" for i in range(20)]), pa.array(content)], names=["path", "content"])
+    parts = list(files.parsed_batches(iter([batch]), files.PARSERS))
+    assert max(p.num_rows for p in parts) <= 4 and [x for p in parts for x in p.column(1).to_pylist()] == [f"{i}.txt" for i in range(20)]
+    formats.register(spark)
+    spark.range(20).selectExpr("concat('m', id, '.txt') as path", "cast(repeat('y', 1000000) as binary) as content").coalesce(1).write.format("archive_members").mode("append").save(str(tmp_path / "a"))
+    reader = formats._Members({"path": str(tmp_path / "a")})
+    read = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(b.num_rows for b in read) <= 5 and sum(b.num_rows for b in read) == 20
