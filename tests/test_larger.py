@@ -1,14 +1,16 @@
 """What only larger tables show: cuts, batches that grow, rows sent around."""
 
 import math
+import random
 
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folioweave import catalog
 from folioweave.functions.batches import slices
-from folioweave.operators import text_index
+from folioweave.operators import graph, text_index
 from folioweave.sources import files, formats
 
 
@@ -75,3 +77,18 @@ def test_files_are_parsed_and_archived_in_parts(spark, tmp_path):
     reader = formats._Members({"path": str(tmp_path / "a")})
     read = [b for p in reader.partitions() for b in reader.read(p)]
     assert max(b.num_rows for b in read) <= 5 and sum(b.num_rows for b in read) == 20
+
+
+def test_rarest_shingles_leave_no_pair_out(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELLS", 64)  # all cells are shared
+    rng = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = {i: f"{common} " + " ".join(f"w{i // 2}x{j}" if rng.random() < 0.98 else f"z{rng.random()}" for j in range(60)) for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").unionByName(spark.createDataFrame([(900, ""), (901, None), (902, "kurz"), (903, "kurz ")], "id long, text string"))
+    runs = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    score = lambda a, b: len(runs[a] & runs[b]) / len(runs[a] | runs[b])
+    wanted = {(a, b): score(a, b) for a in texts for b in texts if a < b and score(a, b) >= 0.8} | {(902, 903): 1.0}
+    found = {(r["src"], r["dst"]): r["jaccard"] for r in graph.similar_texts(docs).collect()}
+    assert found.keys() == wanted.keys() and len(wanted) > 5 and max(abs(found[k] - wanted[k]) for k in wanted) < 1e-12
+    own = spark.createDataFrame([(i, 1000, list(range(i * 997, i * 997 + 1000))) for i in range(20)], "id long, n int, h array<long>")
+    assert {r["count"] for r in graph._rarest(own, 0.8).groupBy("id").count().collect()} == {201}
