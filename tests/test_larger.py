@@ -92,3 +92,13 @@ def test_rarest_shingles_leave_no_pair_out(spark, monkeypatch):
     assert found.keys() == wanted.keys() and len(wanted) > 5 and max(abs(found[k] - wanted[k]) for k in wanted) < 1e-12
     own = spark.createDataFrame([(i, 1000, list(range(i * 997, i * 997 + 1000))) for i in range(20)], "id long, n int, h array<long>")
     assert {r["count"] for r in graph._rarest(own, 0.8).groupBy("id").count().collect()} == {201}
+
+
+def test_walks_broadcast_a_bounded_sum(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_FRONT_BYTES", 4000)
+    sent, plain = [], F.broadcast
+    monkeypatch.setattr(graph.F, "broadcast", lambda df: sent.append(df.count()) or plain(df))
+    ring = spark.range(50).selectExpr("concat('n', id) as src_key", "concat('n', (id * 7 + 1) % 50) as tgt_key", "1 + id % 3 as w_eff")
+    ranks = graph.pagerank(ring.selectExpr("src_key as node_key"), ring, rounds=4, tolerance=0.0).collect()
+    assert len(ranks) == 50 and abs(sum(r["pagerank"] for r in ranks) - 1) < 1e-9
+    assert sum(sent) * 34 < 4000 and len(sent) <= 2
