@@ -1,7 +1,10 @@
 """Streams with kept state: equal to the rules over all rows, and state that leaves."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from folioweave.operators import listing
@@ -50,6 +53,73 @@ def test_settled_limits_of_one_user_in_small_batches(spark, tmp_path):
     assert got.where("allowed").count() == 120
 
 
+def test_settled_limits_dealt_to_slots(spark, tmp_path):
+    """A user with more rows than wait in one value, and others with fewer."""
+    second = 1_000_000
+    rows = [(1 if i % 3 else 2 + i % 11, i, 1_700_000_000 * second + (i * 7919 % 400) * second) for i in range(1500)]
+    batches = [rows[:700], rows[700:], [(99, 5000, 1_800_000_000 * second)]]
+    got, _ = fed(spark, tmp_path, batches, "user_id long, event_id long, ts long", "ts", "1000 seconds", lambda s: keyed.settled_limits(s, 5, 30, few=64))
+    want = listing.rate_limit(spark.createDataFrame(rows, "user_id long, event_id long, ts long").withColumn("ts", F.timestamp_micros("ts")), 5, 30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+class Kept:
+    """One key's state and timers; counts the calls to them."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps = 0, set(), {}
+
+    def getValueState(self, name, schema):
+        def update(value):
+            self.calls, self.maps[name] = self.calls + 1, value
+
+        def get():
+            self.calls += 1
+            return self.maps.get(name)
+
+        return SimpleNamespace(get=get, update=update, exists=lambda: get() is not None, clear=lambda: update(None))
+
+    def getMapState(self, name, key, value):
+        rows = self.maps[name] = {}
+
+        def called(what):
+            def call(*args):
+                self.calls += 1
+                return what(*args)
+
+            return call
+
+        return SimpleNamespace(iterator=called(lambda: list(rows.items())), getValue=called(rows.get), updateValue=called(rows.__setitem__), removeKey=called(rows.pop))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("few, most", [(4096, 12), (10, 10_000), (0, 10_000)])
+def test_calls_to_the_state_do_not_follow_the_slots(few, most):
+    """900 requests of a user in 300 slots: the same rows however they wait, and a few calls where one value holds them."""
+    rng, second, limits, kept = random.Random(1), 1_000_000, keyed._Limits(2, 20, few), Kept()
+    rows = [(int(rng.uniform(0, 6000)) * second, i) for i in range(900)]
+    limits.init(kept)
+    for part in (rows[:500], rows[500:]):
+        list(limits.handleInputRows((1,), iter([pd.DataFrame({"ts": pd.to_datetime([t for t, _ in part], unit="us"), "event_id": [i for _, i in part]})]), None))
+    out = []
+    for now in (2_000_000, 10_000_000):
+        for at in [t for t in kept.timers if t <= now]:
+            expired, values = SimpleNamespace(getExpiryTimeInMs=lambda at=at: at), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now)
+            out += [tuple(r) for frame in limits.handleExpiredTimer((1,), values, expired) for r in frame[["event_id", "allowed"]].values.tolist()]
+            kept.timers.discard(at)
+    start, used, want = None, 0, []
+    for at, i in sorted(rows):
+        if start is None or at >= start + 20 * second:
+            start, used = at, 0
+        want.append((i, used < 2))
+        used += used < 2
+    assert sorted(out) == sorted(want) and kept.calls <= most
+    assert not kept.maps["slots"] and not kept.maps["waiting"]
+
+
 def test_ended_sessions(spark, tmp_path):
     minute = 60_000_000
     t = 1_700_000_000_000_000
