@@ -90,3 +90,13 @@ def test_index_of_nothing(spark, tmp_path):
     assert ranked(index, FILTERS["all"]) == []
     index.append(spark.createDataFrame([("a", "/a/", "de", None), ("b", "/a/", "de", ""), ("c", "/a/", "de", "Alpha")], SCHEMA))
     assert [r[0] for r in ranked(index, FILTERS["all"])] == ["c"]
+
+
+def test_single_questions_build_no_index(spark, monkeypatch):
+    """A registered question over a folder reads its texts once; only ``bm25_index_topk`` builds an index."""
+    from folioweave import catalog
+
+    monkeypatch.setattr(catalog, "_INDEXES", {})
+    for name in ("content_budget", "retrieve", "hybrid_rrf", "hybrid_acl", "restricted_search"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert not catalog._INDEXES, name
