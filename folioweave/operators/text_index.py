@@ -20,10 +20,11 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,6 +41,8 @@ _WORD = re.compile(r"[^\W_]+")
 DIRECT = 200_000
 #: Blocks whose texts set the score that others must reach.
 LEADERS = 64
+#: Postings of a partition while an index is built.
+DEALT = 1_000_000
 LOG = "segment int, replaces array<int>, texts long, deletes boolean, buckets array<int>"
 
 Keep = Callable[[DataFrame], DataFrame]
@@ -56,8 +59,15 @@ HELD = 1 << 20
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The length and the terms, counted, of each text, which is a batch's last column."""
     for batch in (part for whole in batches for part in slices(whole, HELD)):
-        found = [None if x is None else Counter(_WORD.findall(x)) for x in batch.columns[-1].to_pylist()]
-        own = [pa.array([None if x is None else x.total() for x in found], pa.int64()), pa.array([list(x or ()) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) if x else [] for x in found], pa.list_(pa.int64()))]
+        found = [None if x is None else _WORD.findall(x) for x in batch.columns[-1].to_pylist()]
+        words = pa.array(list(chain.from_iterable(x for x in found if x)), pa.string()).dictionary_encode()
+        kinds = max(1, len(words.dictionary))
+        # a text's place and a term's number as one number: equal ones are counted by a sort
+        at = np.repeat(np.arange(len(found), dtype=np.int64), [len(x or ()) for x in found]) * kinds
+        pairs, counts = np.unique(at + words.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(pairs, np.arange(len(found) + 1, dtype=np.int64) * kinds).astype(np.int32))
+        lists = lambda values: pa.ListArray.from_arrays(ends, values)
+        own = [pa.array([None if x is None else len(x) for x in found], pa.int64()), lists(words.dictionary.take(pa.array(pairs % kinds))), lists(pa.array(counts.astype(np.int64)))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "length", "terms", "counts"])
 
 
@@ -131,10 +141,17 @@ class TextIndex:
         sized = counted.withColumn("size", F.floor(F.log2(F.greatest(F.col("length"), F.lit(1)))).cast("int"))
         each = sized.select(self.key, *self.by, "size", "length", F.explode(F.arrays_zip("terms", "counts")).alias("e"))
         each = each.select(self.key, *self.by, "size", "length", F.col("e.terms").alias("term"), F.col("e.counts").alias("tf")).withColumn("bucket", self._bucket(F.col("term")))
-        # a term of every text is dealt by its texts, too: no single task's
-        dealt = each.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(8)))
+        size = sized.groupBy(*self._block()).agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("m")).agg(F.max("n"), F.sum("m")).first()
+        # postings of a term and block lie together, dealt by their texts where these are many
+        salt = F.pmod(F.xxhash64(self.key), F.lit(-(-(size[0] or 1) // DEALT)))
+        dealt = self._by_bucket(each, size[1] or 0, "term", *self._block(), salt)
         self._store(self._next(), sized.select(self.key, *self.by, "size", "length"), dealt, [])
 
+    def _by_bucket(self, rows: DataFrame, count: int, *by) -> DataFrame:
+        """A partition has rows of one bucket, ``DEALT`` or fewer on average; ``by`` says which."""
+        parts = -(-max(1, count) // (DEALT * self.buckets))
+        return rows.repartitionById(self.buckets * parts, (F.col("bucket") * parts + F.pmod(F.xxhash64(*by), F.lit(parts))).cast("int"))
+
     def _store(self, n: int, texts: DataFrame, postings: DataFrame, replaces: list[int]) -> None:
         texts.write.mode("overwrite").parquet(f"{self.path}/texts/segment={n}")
         at = f"{self.path}/postings/segment={n}"
@@ -144,7 +161,8 @@ class TextIndex:
         written = self.spark.read.schema(self._schema(texts, "postings")).option("basePath", at).parquet(at)
         blocks = written.groupBy("bucket", "term", *self._block()).agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("length").alias("least"))
         at = f"{self.path}/blocks/segment={n}"
-        blocks.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        blocks = checkpointed(blocks)
+        self._by_bucket(blocks, blocks.count(), "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at)
         used = [r["bucket"] for r in self.spark.read.schema(self._schema(texts, "blocks")).option("basePath", at).parquet(at).select("bucket").distinct().collect()]
         self._log(n, replaces, texts.count(), False, used)
 

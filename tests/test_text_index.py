@@ -100,3 +100,16 @@ def test_single_questions_build_no_index(spark, monkeypatch):
     for name in ("content_budget", "retrieve", "hybrid_rrf", "hybrid_acl", "restricted_search"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
         assert not catalog._INDEXES, name
+
+
+def test_an_index_is_built_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """No task has all postings or blocks of a bucket; equal words, nulls and texts without words count as before."""
+    monkeypatch.setattr(text_index, "DEALT", 100)
+    rows = [(f"k{i}", "a b" if i % 3 else f"a x{i} é_é a {'w ' * (i % 5)}") for i in range(600)] + [("none", None), ("empty", "--")]
+    index = text_index.TextIndex(spark, f"file://{tmp_path}/i", buckets=2).write(spark.createDataFrame(rows, "chunk_id string, text string").repartition(3))
+    found = retrieval.bm25(spark.createDataFrame(rows, "chunk_id string, text string"), "a é w x3", 50)
+    assert index.best(["a", "w", "x3", "é"], 50).collect() == found.collect()
+    for name in ("postings", "blocks"):
+        files = list((tmp_path / "i" / name).rglob("part-*.parquet"))
+        sizes = [spark.read.parquet(str(f)).count() for f in files]
+        assert max(sizes) < sum(sizes) / 2 and len({f.name.split("-")[1] for f in files}) == len(files), name
