@@ -102,3 +102,56 @@ def test_walks_broadcast_a_bounded_sum(spark, monkeypatch):
     ranks = graph.pagerank(ring.selectExpr("src_key as node_key"), ring, rounds=4, tolerance=0.0).collect()
     assert len(ranks) == 50 and abs(sum(r["pagerank"] for r in ranks) - 1) < 1e-9
     assert sum(sent) * 34 < 4000 and len(sent) <= 2
+
+
+def two_sided(spark, documents, hubs=12):
+    """Edges of documents to three of the hubs each, by their number: documents with the same remainder have the same links."""
+    ends = lambda i: {f"h{i % hubs}", f"h{(i % 3) * 2}", f"h{i % 4 + 6}"}
+    return spark.createDataFrame([(f"d{i:05}", h, 1.0 + (h == "h2")) for i in range(documents) for h in sorted(ends(i))], "src_key string, tgt_key string, w_eff double")
+
+
+def test_classes_of_alike_nodes_hold_every_link(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ALIKE", 9)  # some hubs have more links, some fewer
+    more = spark.createDataFrame([("x", "y", 1.0), ("x", "z", 1.0), ("h0", "h1", 2.0), ("e1", "h3", 1.0), ("e2", "h3", 2.0), ("s0", "t0", 1.0), ("s0", "t1", 1.0), ("s1", "t0", 1.0), ("s1", "t1", 1.0)], "src_key string, tgt_key string, w_eff double")
+    links = graph.undirected(two_sided(spark, 60).unionByName(more))
+    own = links.groupBy("node").agg(F.sum("w").alias("k"), F.count("*").alias("links"))
+    place, between = graph._alike(links, own.unionByName(spark.createDataFrame([("alone", 3.0, 0), ("aloft", 3.0, 0), ("apart", 4.0, 0)], "node string, k double, links long")))
+    classes = {r["node"]: r["q"] for r in place.collect()}
+    wanted = {(r["node"], r["other"]): r["w"] for r in links.collect()}
+    near = {n: (sorted((b, w) for (a, b), w in wanted.items() if a == n)) for n in classes}
+    assert len(classes) == own.count() + 3 and {classes[n] for n in ("alone", "aloft", "apart")} == {"aloft", "apart"}
+    for n, q in classes.items():  # the first of those with the same links, or alone
+        assert q == (min(m for m in classes if near[m] == near[n]) if 0 < len(near[n]) <= 9 else classes[n] if not near[n] else n)
+    linked = {(r["q"], r["p"]): r["w"] for r in between.collect()}
+    assert {(a, b): linked[classes[a], classes[b]] for a in classes for b in classes if (classes[a], classes[b]) in linked} == wanted
+    assert classes["d00012"] == "d00000" and classes["e1"] != classes["e2"] and classes["s1"] == "s0" and classes["t1"] == "t0"
+
+
+def test_communities_weigh_alike_nodes_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def look(links, *_):
+        raise Seen(links.count())
+
+    monkeypatch.setattr(graph, "_local_moves", look)
+    sizes = []
+    for documents in (300, 3000):
+        with pytest.raises(Seen) as seen:
+            graph.communities(spark.createDataFrame([], "node_key string"), two_sided(spark, documents))
+        sizes.append(seen.value.args[0])
+    assert sizes[0] == sizes[1] < 100  # links weighed in a round: by class, not by document
+
+
+def test_moves_of_classes_are_those_of_their_nodes(spark):
+    links = graph.checkpointed(graph.undirected(two_sided(spark, 500)))
+    place, between = graph._alike(links, links.groupBy("node").agg(F.sum("w").alias("k"), F.count("*").alias("links")))
+    at = graph.checkpointed(place.withColumn("c", F.when(F.xxhash64("node") % 3 == 0, F.col("node")).otherwise(F.concat(F.lit("c"), F.pmod(F.xxhash64("node"), F.lit(5))))))
+    total = at.agg(F.sum("k")).first()[0]
+
+    def moves(links, at):
+        found = graph._wanted(links, at.groupBy("q", "k", "c").agg(F.count("*").alias("n")), total, 10.0)
+        return {r["node"]: tuple(r)[1:] for r in at.join(found.withColumnRenamed("c", "to").withColumnRenamed("own", "c"), ["q", "k", "c"]).select("node", "to", F.round("gain", 6), "links_gain").collect()}
+
+    single = moves(links.withColumnsRenamed({"node": "q", "other": "p"}), at.withColumn("q", F.col("node")))
+    assert moves(between, at) == single and len(single) > 300
