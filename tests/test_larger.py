@@ -155,3 +155,13 @@ def test_moves_of_classes_are_those_of_their_nodes(spark):
 
     single = moves(links.withColumnsRenamed({"node": "q", "other": "p"}), at.withColumn("q", F.col("node")))
     assert moves(between, at) == single and len(single) > 300
+
+
+def test_texts_are_searched_once_for_nodes_and_edges(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "/a/", "x.txt", ["t"], "DIN", "DIN 4108-2", None, "indexed"), (2, None, None, [], None, None, 1, "indexed")], "doc_id long, folder string, file_name string, tags array<string>, issuer string, norm_id string, superseded_by long, status string")
+    spark.createDataFrame([(1, "Siehe DIN EN ISO 9001 und § 7a."), (2, None), (2, "laut DIN 4108-2")], "doc_id long, text string").write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    plain, shared = graph.first_layer(docs, chunks), graph.first_layer(docs, chunks, both=True)
+    for one, other in zip(plain, shared, strict=True):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) and one.count() > 4
+        assert set(chunks.inputFiles()) <= set(one.inputFiles()) and not set(chunks.inputFiles()) & set(other.inputFiles())
