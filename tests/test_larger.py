@@ -4,13 +4,14 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioweave import catalog
 from folioweave.functions.batches import slices
-from folioweave.operators import graph, text_index
+from folioweave.operators import graph, moves, text_index
 from folioweave.sources import files, formats
 
 
@@ -165,3 +166,42 @@ def test_texts_are_searched_once_for_nodes_and_edges(spark, tmp_path):
     for one, other in zip(plain, shared, strict=True):
         assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) and one.count() > 4
         assert set(chunks.inputFiles()) <= set(one.inputFiles()) and not set(chunks.inputFiles()) & set(other.inputFiles())
+
+
+def tangled(spark, nodes=100):
+    """Groups of nodes with links inside and out, hubs, and nodes with the same links."""
+    rng = np.random.default_rng(8)
+    pairs = {(f"n{a:03}", f"n{b:03}") for a, b in rng.integers(0, nodes, (nodes * 20, 2)) if a < b and (a % 6 == b % 6 or rng.random() < 0.04)}
+    pairs |= {(f"t{i:03}", f"n{j + i % 5:03}") for i in range(2 * nodes) for j in (0, 40, 80)} | {(f"n{i:03}", f"hub{i % 3}") for i in range(0, nodes, 2)}
+    return spark.createDataFrame([(a, b, 1.0 + len(b) % 2) for a, b in sorted(pairs)], "src_key string, tgt_key string, w_eff double")
+
+
+def test_hashes_of_arrays_are_those_of_spark(spark):
+    rows = spark.range(50).selectExpr("xxhash64(concat('n', id)) as h", *[f"xxhash64(concat('n', id), {x}) as h{i}" for i, x in enumerate((1801, 0, -7))]).toPandas()
+    for i, x in enumerate((1801, 0, -7)):
+        assert (moves.hashed(rows["h"].to_numpy(), x).view(np.int64) == rows[f"h{i}"].to_numpy()).all()
+
+
+def test_rounds_in_one_task_equal_rounds_of_jobs(spark, monkeypatch):
+    links = graph.checkpointed(graph.undirected(tangled(spark)))
+    own = graph.checkpointed(links.groupBy("node").agg(F.sum("w").alias("k"), F.count("*").alias("links")))
+    place, between = graph._alike(links, own)
+    total, count = own.agg(F.sum("k"), F.count("*")).first()
+    monkeypatch.setattr(graph, "FEW_NODES", -1)
+    wanted = graph._local_moves(between, place, total, total / count)
+    rows = [sorted(map(tuple, x.select(*sorted(x.columns)).collect())) for x in wanted[:2]]
+    monkeypatch.setattr(graph, "FEW_NODES", count)
+    begun, plain = [], graph._settled
+    monkeypatch.setattr(graph, "_settled", lambda *a: begun.append(a[-2]) or plain(*a))
+    for few in (900, graph.FEW_LINKS):
+        monkeypatch.setattr(graph, "FEW_LINKS", few)
+        found = graph._local_moves(between, place, total, total / count)
+        assert [sorted(map(tuple, x.select(*sorted(x.columns)).collect())) for x in found[:2]] == rows and found[2] and wanted[2]
+    assert begun[0] > 0 and begun[1] == 0 and len({r[0] for r in rows[0]}) < 60  # from some round on, and from the first
+
+
+def test_rounds_of_a_small_level_are_no_jobs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_wanted", None)
+    found = graph.communities(spark.createDataFrame([("alone",)], "node_key string"), two_sided(spark, 300))
+    assert [tuple(r) for r in found.collect()] == [("alone", "alone")]
+    assert graph.communities(spark.createDataFrame([("a",)], "node_key string"), two_sided(spark, 0)).count() == 1
