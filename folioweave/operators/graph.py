@@ -41,10 +41,10 @@ def first_layer(docs: DataFrame, chunks: DataFrame, both: bool = False) -> tuple
     tag = own.select("src", "folder", F.explode("tags").alias("label")).withColumn("key", T.fast_key(F.col("label"))).where("key <> ''")
     by = own.where("issuer is not null").select("src", "folder", F.col("issuer").alias("label"), T.fast_key(F.col("issuer")).alias("key")).where("key <> ''")
     norm = own.where("norm_id is not null").select("src", "doc_id", "superseded_by", "folder", F.col("norm_id").alias("label"), T.norm_key(F.col("norm_id")).alias("key")).where("key <> ''")
-    # references are read where the texts lie: only they are shuffled
+    # references are read where the texts lie: only they are shuffled, and meet documents by key, as these are too many to broadcast
     named = chunks.select("doc_id", F.explode(T.references(F.col("text"))).alias("ref"))
     named = checkpointed(named) if both else named
-    refs = named.join(docs.select("doc_id", "folder"), "doc_id").select(doc.alias("src"), "folder", "ref")
+    refs = named.join(docs.select("doc_id", "folder").hint("merge"), "doc_id").select(doc.alias("src"), "folder", "ref")
     refs = refs.select("src", "folder", F.substring_index("ref", ":", 1).alias("kind"), F.col("ref").alias("tgt"), F.substring_index("ref", ":", -1).alias("key"))
 
     row = lambda df, kind, key, label: df.select(F.lit(kind).alias("node_type") if isinstance(kind, str) else kind.alias("node_type"), key.alias("canonical_key"), label.alias("label"), "folder", (F.col("doc_id") if kind == "document" else F.lit(None).cast("long")).alias("doc_id"))
@@ -69,7 +69,7 @@ def superseded(norm: DataFrame) -> DataFrame:
     """Newer norm to older norm, by the document that supersedes; none to itself."""
     newer = norm.select(F.col("doc_id").alias("superseded_by"), node_key("norm", F.col("key")).alias("src_key"))
     older = norm.where("superseded_by is not null").select("superseded_by", node_key("norm", F.col("key")).alias("tgt_key"))
-    return older.join(newer, "superseded_by").where("src_key <> tgt_key").select("src_key", "tgt_key", F.lit("supersedes").alias("relation")).distinct()
+    return older.join(newer.hint("merge"), "superseded_by").where("src_key <> tgt_key").select("src_key", "tgt_key", F.lit("supersedes").alias("relation")).distinct()
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -398,6 +398,15 @@ def personalised(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart:
     return _walk(start, both, 1 - restart, rounds, tolerance).select("node_key", F.col("r").alias("score"))
 
 
+#: Rows from which on a written table is not broadcast: its compressed files say too little of the memory that takes.
+SENT_ROWS = 1 << 18
+
+
+def by_key(table: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows, which joins do not broadcast if they are many, however small its files."""
+    return table.hint("merge") if rows > SENT_ROWS else table
+
+
 #: A walk's changed ranks are broadcast to the edges up to this size, all rounds together.
 _FRONT_BYTES = 64 << 20
 
@@ -411,16 +420,19 @@ def _walk(start: DataFrame, edges: DataFrame, keep: float, rounds: int, toleranc
     tolerance of 0 passes every change on and gives each round of the power iteration. The nodes of a
     round are broadcast to the edges while their keys take less than ``_FRONT_BYTES``, so that no
     edge is shuffled; once the rounds so far have sent that much, both are joined by key, and Spark
-    isn't left to broadcast either: what passes the driver doesn't grow with rounds times nodes.
+    isn't left to broadcast either: what passes the driver doesn't grow with rounds times nodes. Nor are
+    all nodes broadcast to the edges, which Spark would do by the size of their compressed files.
     ``moved`` gets the nodes that passed on.
     """
     start = checkpointed(start)
+    nodes, bytes_ = start.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("node_key") + 32), F.lit(0))).first()
+    start, large = by_key(start, nodes), bytes_ > _FRONT_BYTES // 64
     edges = edges.join(start.select(F.col("node_key").alias("src_key")), "src_key", "left_semi").join(start.select(F.col("node_key").alias("tgt_key")), "tgt_key", "left_semi")
-    edges = edges.groupBy("src_key", "tgt_key").agg(F.sum("w").alias("w"))
-    out = edges.groupBy("src_key").agg(F.sum("w").alias("total"))
+    edges = checkpointed(edges.groupBy("src_key", "tgt_key").agg(F.sum("w").alias("w")))
+    out = by_key(edges.groupBy("src_key").agg(F.sum("w").alias("total")), nodes)
     shares = checkpointed(edges.join(out, "src_key").select(F.col("src_key").alias("node_key"), "tgt_key", (F.col("w") / F.col("total")).alias("share")))
-    sources = shares.select("node_key", F.lit(True).alias("flows")).distinct()
-    least = tolerance * (1 - keep) / (2 * max(1, start.count()))
+    sources = by_key(shares.select("node_key", F.lit(True).alias("flows")).distinct(), nodes)
+    least = tolerance * (1 - keep) / (2 * max(1, nodes))
     active = F.abs(F.col("due")) > least
     passed = F.when(active, F.col("due")).otherwise(F.lit(0.0))
     sends = active & F.col("flows")
@@ -432,7 +444,7 @@ def _walk(start: DataFrame, edges: DataFrame, keep: float, rounds: int, toleranc
         return checkpointed(df.observe(seen, *sums)), seen.get
 
     ranks, sums = kept(start.join(sources, "node_key", "left").select("node_key", "p", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("p").alias("r"), F.col("p").alias("due")))
-    sent, large = 0, start.agg(F.coalesce(F.sum(F.octet_length("node_key") + 32), F.lit(0))).first()[0] > _FRONT_BYTES // 64
+    sent = 0
     for turn in range(rounds):
         if turn and sums["change"] < tolerance or not sums["count"] and not sums["lost"]:
             break
@@ -458,13 +470,14 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def participation(members: DataFrame, edges: DataFrame) -> DataFrame:
     """node_key, participation from ``members`` (node_key, community_id): 1 - sum (k_c / k)^2."""
-    own = undirected(edges).join(members.select(F.col("node_key").alias("other"), "community_id"), "other")
+    own = undirected(edges).join(members.hint("merge").select(F.col("node_key").alias("other"), "community_id"), "other")  # all nodes: not broadcast
     k = own.groupBy("node", "community_id").agg(F.sum("w").alias("k")).groupBy("node").agg((1 - F.sum(F.col("k") ** 2) / F.sum("k") ** 2).alias("participation"))
     return members.select("node_key").join(k, F.col("node_key") == F.col("node"), "left").select("node_key", F.coalesce("participation", F.lit(0.0)).alias("participation"))
 
 
 def conductance(members: DataFrame, edges: DataFrame) -> DataFrame:
     """community_id, conductance: cut over the smaller volume; null where a side has none."""
+    members = members.hint("merge")  # all nodes: not broadcast
     e = undirected(edges).join(members.select(F.col("node_key").alias("node"), "community_id"), "node").join(members.select(F.col("node_key").alias("other"), F.col("community_id").alias("other_id")), "other")
     volume = e.groupBy("community_id").agg(F.sum("w").alias("volume"), F.sum(F.when(F.col("community_id") != F.col("other_id"), F.col("w")).otherwise(0.0)).alias("cut"))
     total = e.agg(F.sum("w").alias("total"))
@@ -478,7 +491,7 @@ def describe_communities(members: DataFrame, ranks: DataFrame) -> DataFrame:
 
     Members stream through their task in order: no community is held whole. Each counts once.
     """
-    joined = members.select("community_id", "node_key").distinct().join(ranks, "node_key")
+    joined = members.select("community_id", "node_key").distinct().join(ranks.hint("merge"), "node_key")  # all nodes: not broadcast
     kind = members.schema["community_id"].dataType
     rows = joined.select("community_id", "node_key", "pagerank").repartition("community_id").sortWithinPartitions("community_id", "node_key")
 
@@ -517,41 +530,45 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = checkpointed(undirected(edges))
     own = checkpointed(links.groupBy("node").agg(F.sum("w").alias("k"), F.count("*").alias("links")))
     total, count = own.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.count("*")).first()
+    rows, links, own = count, by_key(links, count), by_key(own, count)
     members = own.select(F.col("node").alias("node_key"), "node")
     while count:
-        place, between = _alike(links, own)
-        at, held, moved = _local_moves(between, place, total, total / count)
+        place, between = _alike(links, own, rows)
+        at, held, moved = _local_moves(between, place, total, total / count, rows)
         if not moved:
             break
-        members = checkpointed(members.join(at.select("node", "c"), "node").select("node_key", F.col("c").alias("node")))
+        members = by_key(checkpointed(members.join(at.select("node", "c"), "node").select("node_key", F.col("c").alias("node"))), count)
         ends = between.join(held.select("q", F.col("c").alias("a"), "n"), "q").join(held.select(F.col("q").alias("p"), F.col("c").alias("b"), F.col("n").alias("m")), "p")
         links = checkpointed(ends.where("a <> b").groupBy(F.col("a").alias("node"), F.col("b").alias("other")).agg(F.sum(F.col("w") * F.col("n") * F.col("m")).alias("w")))
         size = held.groupBy(F.col("c").alias("node")).agg(F.sum(F.col("n") * F.col("k")).alias("k"))
         own = checkpointed(size.join(links.groupBy("node").agg(F.count("*").alias("links")), "node", "left").select("node", "k", F.coalesce("links", F.lit(0)).alias("links")))
+        rows = own.count()
+        links, own = by_key(links, rows), by_key(own, rows)
     named = members.groupBy("node").agg(F.min("node_key").alias("community_id"))
     placed = members.join(named, "node").select("node_key", "community_id")
     return nodes.select("node_key").distinct().join(placed, "node_key", "left").select("node_key", F.coalesce("community_id", "node_key").alias("community_id"))
 
 
-def _alike(links: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _alike(links: DataFrame, own: DataFrame, rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """(node, k, q), the class of each node, named by its first; (q, p, w), the links of classes: all nodes of q with all of p.
 
     A class is what has the same k and the same links; nodes with more than ``ALIKE`` links are classes
-    of their own, so that no list is long. No node is linked with one of its class.
+    of their own, so that no list is long. No node is linked with one of its class. There are about ``rows`` nodes.
     """
     many = checkpointed(own.where(F.col("links") > ALIKE).select("node", "k"))
+    many = by_key(many, many.count())
     few = own.where(F.col("links") <= ALIKE).select("node", "k")
     lists = links.join(many, "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("other", "w"))).alias("to"))
-    keyed = checkpointed(few.join(lists, "node", "left").select("node", "k", F.sha2(F.to_json(F.struct("k", "to")), 256).alias("key")))
-    first = checkpointed(keyed.groupBy("key").agg(F.min("node").alias("q")))
-    place = checkpointed(keyed.join(first, "key").select("node", "k", "q").unionByName(many.select("node", "k", F.col("node").alias("q"))))
+    keyed = by_key(checkpointed(few.join(lists, "node", "left").select("node", "k", F.sha2(F.to_json(F.struct("k", "to")), 256).alias("key"))), rows)
+    first = by_key(checkpointed(keyed.groupBy("key").agg(F.min("node").alias("q"))), rows)
+    place = by_key(checkpointed(keyed.join(first, "key").select("node", "k", "q").unionByName(many.select("node", "k", F.col("node").alias("q")))), rows)
     near = links.join(first.select(F.col("q").alias("node")), "node", "left_semi").join(place.select(F.col("node").alias("other"), F.col("q").alias("p")), "other").select(F.col("node").alias("q"), "p", "w")
     hubs = links.join(many.select("node"), "node", "left_semi").join(many.select(F.col("node").alias("other")), "other", "left_semi").select(F.col("node").alias("q"), F.col("other").alias("p"), "w")
     pairs = near.unionByName(near.select(F.col("p").alias("q"), F.col("q").alias("p"), "w")).unionByName(hubs)
-    return place, checkpointed(pairs.groupBy("q", "p").agg(F.max("w").alias("w")))
+    return place, by_key(checkpointed(pairs.groupBy("q", "p").agg(F.max("w").alias("w"))), rows)
 
 
-def _local_moves(links: DataFrame, place: DataFrame, total: float, unit: float) -> tuple[DataFrame, DataFrame, bool]:
+def _local_moves(links: DataFrame, place: DataFrame, total: float, unit: float, rows: int = 0) -> tuple[DataFrame, DataFrame, bool]:
     """(node, k, q, c; q, k, c and how many of a class are there; whether any moved) once no node gains by a move
     to a neighbouring community.
 
@@ -571,13 +588,13 @@ def _local_moves(links: DataFrame, place: DataFrame, total: float, unit: float)
     """
     at, turn, moved, careful = place.withColumn("c", F.col("node")), 0, False, False
     held = at.select("q", "k", "c", F.lit(1).alias("n"))
-    degree = checkpointed(links.groupBy("q").agg(F.count("*").alias("links")))
+    degree = by_key(checkpointed(links.groupBy("q").agg(F.count("*").alias("links"))), rows)
     few = place.count() <= FEW_NODES
     while True:
         if few and held.join(degree, "q").agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0] <= FEW_LINKS:
-            return _settled(links, at, total, unit, turn, careful)
+            return _settled(links, at, total, unit, turn, careful, rows)
         seen = Observation()
-        wanted = checkpointed(_wanted(links, held, total, unit).observe(seen, F.count("*").alias("count")))
+        wanted = by_key(checkpointed(_wanted(links, held, total, unit).observe(seen, F.count("*").alias("count"))), rows)
         if not seen.get["count"]:
             return at, held, moved
         chosen = _disjoint(_last(wanted, at)) if careful else _thinned(_between_colours(wanted, turn), total)
@@ -585,8 +602,8 @@ def _local_moves(links: DataFrame, place: DataFrame, total: float, unit: float)
         goes = F.col("node") == F.col("last") if careful else draw < F.col("share")
         chosen = chosen.select("q", F.col("own").alias("before"), F.col("c").alias("to"), "links_gain", "last" if careful else "share")
         tried = at.withColumnRenamed("c", "before").join(chosen, ["q", "before"], "left").withColumn("goes", F.coalesce(goes, F.lit(False)))
-        tried = checkpointed(tried.select("node", "k", "q", F.when(F.col("goes"), F.col("to")).otherwise(F.col("before")).alias("c"), "before", F.when(F.col("goes"), F.col("links_gain")).alias("links_gain")))
-        counts = checkpointed(tried.groupBy("q", "k", "before", "c").agg(F.count("*").alias("n"), F.max("links_gain").alias("links_gain")))
+        tried = by_key(checkpointed(tried.select("node", "k", "q", F.when(F.col("goes"), F.col("to")).otherwise(F.col("before")).alias("c"), "before", F.when(F.col("goes"), F.col("links_gain")).alias("links_gain"))), rows)
+        counts = by_key(checkpointed(tried.groupBy("q", "k", "before", "c").agg(F.count("*").alias("n"), F.max("links_gain").alias("links_gain"))), rows)
         # moves that are best for both of their communities rise by their gains, whatever the sums' last digits
         if careful or _gain(counts, total) > 1e-9 * unit:
             at, moved, careful = tried.select("node", "k", "q", "c"), True, False
@@ -596,10 +613,10 @@ def _local_moves(links: DataFrame, place: DataFrame, total: float, unit: float)
         turn += 1
 
 
-def _settled(links: DataFrame, at: DataFrame, total: float, unit: float, turn: int, careful: bool) -> tuple[DataFrame, DataFrame, bool]:
+def _settled(links: DataFrame, at: DataFrame, total: float, unit: float, turn: int, careful: bool, n: int = 0) -> tuple[DataFrame, DataFrame, bool]:
     """What ``_local_moves`` returns, its rounds from a turn on reckoned in one task."""
     rows = at.select("node", "q", "c", "k", F.xxhash64("node").alias("h")).unionByName(links.select(F.lit(None).cast("string").alias("node"), "q", F.col("p").alias("c"), F.col("w").alias("k"), F.lit(None).cast("long").alias("h")))
-    end = checkpointed(rows.coalesce(1).mapInArrow(lambda batches: moves.settled(batches, total, unit, SEED, turn, careful), "node string, k double, q string, c string"))
+    end = by_key(checkpointed(rows.coalesce(1).mapInArrow(lambda batches: moves.settled(batches, total, unit, SEED, turn, careful), "node string, k double, q string, c string")), n)
     return end, end.groupBy("q", "k", "c").agg(F.count("*").alias("n")), not end.where("c <> node").isEmpty()
 
 
@@ -693,6 +710,7 @@ def referring_documents(edges: DataFrame, question: str, visible: DataFrame) ->
     """Visible documents that refer to what a question names."""
     asked = edges.sparkSession.createDataFrame([(question,)], "q string").select(F.explode(T.references(F.col("q"))).alias("tgt_key"))
     hits = edges.where("relation = 'references'").join(F.broadcast(asked), "tgt_key", "left_semi")  # the references of one question
+    visible = visible.hint("merge")  # all documents may be: not broadcast
     return hits.join(visible, hits["src_key"] == visible["node_key"]).select("doc_id").distinct()
 
 

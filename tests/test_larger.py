@@ -192,7 +192,7 @@ def test_rounds_in_one_task_equal_rounds_of_jobs(spark, monkeypatch):
     rows = [sorted(map(tuple, x.select(*sorted(x.columns)).collect())) for x in wanted[:2]]
     monkeypatch.setattr(graph, "FEW_NODES", count)
     begun, plain = [], graph._settled
-    monkeypatch.setattr(graph, "_settled", lambda *a: begun.append(a[-2]) or plain(*a))
+    monkeypatch.setattr(graph, "_settled", lambda *a: begun.append(a[4]) or plain(*a))
     for few in (900, graph.FEW_LINKS):
         monkeypatch.setattr(graph, "FEW_LINKS", few)
         found = graph._local_moves(between, place, total, total / count)

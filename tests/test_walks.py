@@ -63,3 +63,16 @@ def test_walks_without_links_or_seeds(spark, linked):
     assert {round(r["pagerank"], 12) for r in alone.collect()} == {round(1 / 603, 12)}
     none = graph.personalised(nodes, edges, nodes.limit(0))
     assert {r["score"] for r in none.collect()} == {0.0} and graph.pagerank(nodes.limit(0), edges).count() == 0
+
+
+def test_all_nodes_are_not_broadcast(spark, linked, monkeypatch):
+    plans, plain = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or plain(df))
+    monkeypatch.setattr(graph, "SENT_ROWS", 600, raising=False)
+    monkeypatch.setattr(graph, "_FRONT_BYTES", 0)
+    nodes, edges, rows = linked
+    ranks = graph.pagerank(nodes, edges, rounds=2, tolerance=0.0)
+    members = nodes.selectExpr("node_key", "node_key as community_id")
+    graph.checkpointed(graph.participation(members, edges))
+    assert ranks.count() == 603 and sum("SortMergeJoin" in x for x in plans) > 4
+    assert not [x for x in plans if "BroadcastHashJoin" in x]
