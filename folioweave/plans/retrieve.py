@@ -118,8 +118,8 @@ def walk_candidates(nodes: DataFrame, edges: DataFrame, visible: DataFrame, seed
     """doc_id of the visible documents that walks from the seeds reach most, seeds aside; other
     documents are no part of the graph that is walked."""
     seen = nodes.where("node_type <> 'document'").select("node_key").unionByName(visible.select("node_key"))
-    scores = graph.personalised(seen, graph.between(edges, seen), seeds, request.restart)
-    best = scores.join(visible, "node_key").join(seeds, "node_key", "left_anti")
+    scores = graph.personalised(seen, edges, seeds, request.restart)  # which leaves out edges to other nodes
+    best = scores.join(visible.hint("merge"), "node_key").join(seeds, "node_key", "left_anti")
     return best.orderBy(F.desc("score"), "node_key").limit(request.walk_documents).select("doc_id")
 
 
