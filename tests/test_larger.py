@@ -205,3 +205,27 @@ def test_rounds_of_a_small_level_are_no_jobs(spark, monkeypatch):
     found = graph.communities(spark.createDataFrame([("alone",)], "node_key string"), two_sided(spark, 300))
     assert [tuple(r) for r in found.collect()] == [("alone", "alone")]
     assert graph.communities(spark.createDataFrame([("a",)], "node_key string"), two_sided(spark, 0)).count() == 1
+
+
+def test_only_texts_that_meet_are_written(spark, monkeypatch):
+    written, plain = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: written.append(plain(df)) or written[-1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(60)] + [" ".join(f"w7x{j}" for j in range(49)), "w3x0 " * 9]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, texts[0], texts[7]])], "id long, text string")
+    found = [(r["src"], r["dst"], r["jaccard"]) for r in graph.similar_texts(docs, but=spark.createDataFrame([(62,), (63,)], "id long")).collect()]
+    assert found == [(7, 60, 45 / 46)]
+    assert [sorted(r["id"] for r in x.collect()) for x in written if "text" in x.columns] == [[7, 60]]
+    assert not [x for x in written if any(kind.startswith("array") for _, kind in x.dtypes)]
+
+
+def test_places_of_shared_shingles_rule_out_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = {i: [f"w{i // 4}x{j}" for j in range(40 + i // 4 % 30)] for i in range(160)}
+    for i, words in texts.items():
+        for _ in range(i % 4):
+            words[rng.randrange(len(words))] = f"z{rng.random()}"
+    runs = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    for least in (0.5, 0.8):
+        wanted = {(a, b) for a in texts for b in texts if a < b and len(runs[a] & runs[b]) >= least * len(runs[a] | runs[b]) - 1e-9}
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "id long, text string")
+        assert {(r["src"], r["dst"]) for r in graph.similar_texts(docs, least).collect()} == wanted and len(wanted) > 10
